@@ -1,6 +1,6 @@
 """Words and word shingles of Arrow text columns as 64-bit hashes, in numpy.
 
-Words are runs of bytes other than space and tab to carriage return; A-Z count as a-z.
+Words are runs of bytes other than space and tab to carriage return.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 _BASE = 0x9E3779B97F4A7C15
@@ -74,12 +75,13 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """fold: A-Z count as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -95,7 +97,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """For each row its sorted distinct shingle hashes; a shorter text with words is one shingle."""
+    """For each row its sorted distinct hashes of folded shingles; a shorter text with words is one shingle."""
     for _, offsets, data in text_slices(column):
         starts, ends, first = words(offsets, data)
         hashes = word_hashes(data, starts, ends)
