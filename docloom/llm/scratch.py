@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A table of whole numbers, booleans and nulls that is part of the plan; names: as in "a b c"."""
+    show = lambda x: "CAST(NULL AS BIGINT)" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}L"
+    columns = names.split()
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"0L AS {c}" for c in columns)).limit(0)
+    body = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
+
+
 class Scratch:
     """Parquet tables of one operator call.
 
