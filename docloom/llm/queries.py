@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import bpe
 from docloom.llm.minhash import near_duplicates
+from docloom.llm.packing import pack_documents
 from docloom.llm.quality import judge
 from docloom.llm.sharding import shard_by_bytes
 
@@ -89,6 +90,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -103,6 +108,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
