@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe
+from docloom.llm.html_main import extract_main_text
 from docloom.llm.minhash import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import judge
@@ -94,6 +95,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_html_main_text": op8_html_main_text,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
