@@ -13,9 +13,11 @@ from docloom.llm.minhash import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import judge
 from docloom.llm.sharding import shard_by_bytes
+from docloom.session import ship_code
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
