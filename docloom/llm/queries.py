@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import bpe
 from docloom.llm.html_main import extract_main_text
+from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.minhash import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.quality import judge
@@ -97,6 +98,31 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) x),
+w AS (
+  SELECT doc_id, pos, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
+t AS (
+  SELECT doc_id, pos, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS tok
+  FROM w WHERE len(w) > 0),
+d AS (SELECT tok, min(doc_id * 1000000 + pos) AS o, row_number() OVER () AS k FROM t GROUP BY tok),
+e AS (SELECT k, o, len(tok) AS n, unnest(tok) AS s FROM d),
+p AS (SELECT x.k, x.n + y.n - count(*) AS u, count(*) AS c FROM e x JOIN e y ON x.s = y.s AND y.o < x.o GROUP BY x.k, y.k, x.n, y.n),
+gone AS (SELECT DISTINCT k FROM p WHERE 100 * c >= 80 * u),
+keep AS (SELECT t.doc_id, t.pos FROM t JOIN d ON t.tok = d.tok AND t.doc_id * 1000000 + t.pos = d.o WHERE d.k NOT IN (SELECT k FROM gone)),
+f AS (SELECT w.doc_id, w.pos, w.line, len(w.w) = 0 OR keep.pos IS NOT NULL AS stays FROM w LEFT JOIN keep ON keep.doc_id = w.doc_id AND keep.pos = w.pos)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS text, count(*)::BIGINT AS n_lines,
+       count(*) FILTER (WHERE NOT stays)::BIGINT AS n_removed
+FROM f GROUP BY doc_id
+"""
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -116,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_main_text": op8_html_main_text,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
@@ -123,4 +150,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op7_line_dedup": OP7_SQL,
 }
