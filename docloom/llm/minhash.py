@@ -7,11 +7,14 @@ ones, so that short texts band as well), an estimate of the Jaccard index from e
 corrected for chance collisions of compressed values, drops hopeless candidates, and full shingle
 sets decide about the others.
 
-Scale. Texts with equal shingle sets are one node from the start. Within a bucket of candidates
-nodes are first compared with two leaders, not with each other; after that only pairs that still
-lie in different components are compared, since others cannot change the result. No group is
-gathered in one task: leaders' texts are dealt out with salts, minima are pre-aggregated, and
-components are found by label propagation over written tables.
+Scale. Texts with equal shingle sets are one node from the start. In a bucket of candidates nodes
+are first compared with two leaders, the most central nodes of different components, not with each
+other; a few rounds of that join the core of each large group. After that only pairs that still lie
+in different components can change the result. In small buckets they are compared; the nodes of
+large ones go through an exact prefix filter: ordered by rarity, the first shingles of two linked
+sets must meet, and sets far from the core have rare ones there. No group is gathered in one task:
+leaders' texts are dealt out with salts, minima are pre-aggregated, and components are found by
+label propagation over written tables.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.scratch import Scratch
@@ -38,8 +41,10 @@ EMPTY = 0xFFFF
 SLACK = 6.0
 #: Leaders' texts are dealt out to so many tasks.
 SALTS = 64
-#: Mixed buckets of more nodes get further rounds of leaders before pairs are listed.
-LARGE_BUCKET, LEADER_ROUNDS = 24, 6
+#: Buckets of more nodes get further rounds of leaders, then the prefix filter.
+LARGE_BUCKET, LEADER_ROUNDS = 12, 3
+#: Ratio of the size classes in which the prefix filter looks for partners.
+CLASS_RATIO = 1.04
 
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -192,25 +197,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc_id", "n_shingles", "regs", "bands")).alias("x"))
     nodes = scratch.keep(first.select("mark", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.regs", "x.bands"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "lo", "hi")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
     buckets = scratch.keep(banded.join(shared, "bucket"), "buckets")
-    texts = scratch.keep(base.where("text IS NOT NULL").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    side = nodes.select("node", "n", "regs")
-    linked = _Links(scratch, side, texts, width, percent)
-    linked.test(_pairs(buckets, F.col("lo")).union(_pairs(buckets, F.col("hi"))))
-    for turn in range(LEADER_ROUNDS + 1):
-        mixed = linked.mixed(buckets)
-        found = mixed.agg(F.count("*").alias("rows"), F.max("size").alias("size")).first()
-        if not found["rows"]:
+    central = scratch.keep(buckets.groupBy("node").agg(F.sum("size").alias("score")), "central")
+    texts = scratch.keep(base.where("text IS NOT NULL").join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "texts")
+
+    linked = _Links(scratch, nodes.select("node", "n", "regs"), texts, width, percent)
+    buckets = buckets.join(central, "node")
+    mixed = linked.mixed(buckets)
+    for turn in range(LEADER_ROUNDS):
+        rows = mixed if not turn else mixed.where(F.col("size") > LARGE_BUCKET)
+        if turn and not rows.limit(1).count():
             break
-        if turn < LEADER_ROUNDS and found["size"] > LARGE_BUCKET:
-            linked.test(_pairs(mixed, F.col("leader").getField("node"), F.col("leader").getField("comp")).union(_pairs(mixed, F.col("other").getField("node"), F.col("other").getField("comp"))))
-            continue
-        a, b = mixed.select("bucket", "node", "comp"), mixed.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        linked.test(a.join(b, "bucket").where("node < b AND comp <> comp_b").select(F.col("node").alias("a"), "b"))
-        linked.label()
-        break
+        linked.test(_pairs(rows, "leader").union(_pairs(rows, "other")))
+        mixed = linked.mixed(buckets)
+    a, b = (mixed.where(F.col("size") <= LARGE_BUCKET).select("bucket", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    near = a.join(b, "bucket").where("a < b AND comp_a <> comp_b").select("a", "b")
+    rest = mixed.where(F.col("size") > LARGE_BUCKET).select("node", "comp").distinct()
+    if rest.limit(1).count():
+        near = near.union(_prefix_pairs(scratch, rest, texts, width, percent))
+    linked.test(near)
 
     label = linked.label()
     of_mark = nodes.select("mark", "node").join(label, "node", "left").select("mark", F.coalesce("comp", "node").alias("comp"))
@@ -220,9 +226,54 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _pairs(buckets: DataFrame, leader: Column, other_than: Column | None = None) -> DataFrame:
-    rows = buckets.where((F.col("node") != leader) if other_than is None else (F.col("comp") != other_than))
-    return rows.select(F.least("node", leader).alias("a"), F.greatest("node", leader).alias("b"))
+def _pairs(mixed: DataFrame, leader: str) -> DataFrame:
+    """Each node with the leader of its bucket, unless they are in one component."""
+    at = F.col(leader).getField("node")
+    return mixed.where(F.col("comp") != F.col(leader).getField("comp")).select(F.least("node", at).alias("a"), F.greatest("node", at).alias("b"))
+
+
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for node, found in zip(ids, shingle_sets(batch.column(1), width), strict=True):
+                size = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, node)), pa.array(np.full(size, size, np.int64)), pa.array(found.view(np.int64))], names=["node", "n", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(scratch: Scratch, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All pairs of nodes in different components whose sets can be linked, by an exact prefix filter.
+
+    Sets of n and m elements are linked only if they share at least o = percent * (n + m) / (100 +
+    percent) elements, and then, in one order of all elements, the first n - o + 1 of one and the
+    first m - o + 1 of the other meet. Rare elements come first. A node looks for partners by
+    classes of size, so that no more of its elements count than the class allows, and the elements'
+    prevalent component only answers: two of its nodes need no comparison.
+    """
+    part = percent / (100 + percent)
+    overlap = lambda n, m: F.ceil(F.lit(part) * (n + m) - F.lit(1e-6))
+    rows = scratch.keep(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingle_rows(width), "node long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS_RATIO))).cast("int")
+    first = rows.join(often, "shingle").withColumn("at", rank).where((F.col("at") <= F.col("n") - low_of(percent, "n")) & (F.col("often") > 1))
+    first = scratch.keep(first.join(nodes, "node").select("shingle", "node", "comp", "n", "at", size_class(F.col("n")).alias("class")), "prefixes")
+    by_comp = first.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
+    main = by_comp.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "main")
+    low, high = low_of(percent, "n"), F.floor(F.col("n") * 100 / percent + F.lit(1e-6))
+    asking = first.join(main, "shingle").where("comp <> main").withColumn("class", F.explode(F.sequence(size_class(low) - 1, size_class(high) + 1)))
+    least = F.greatest(low, F.floor(F.pow(F.lit(CLASS_RATIO), F.col("class"))) - 1)
+    asking = asking.where(F.col("at") <= F.col("n") - overlap(F.col("n"), least)).select("shingle", "class", F.col("node").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"))
+    most = overlap(F.col("n"), F.col("n_x"))
+    ok = (F.col("comp") != F.col("comp_x")) & (F.col("n").between(low_of(percent, "n_x"), F.floor(F.col("n_x") * 100 / percent + F.lit(1e-6)))) & (F.col("at_x") <= F.col("n_x") - most) & (F.col("at") <= F.col("n") - most)
+    return asking.join(first, ["shingle", "class"]).where(ok).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+
+def low_of(percent: int, size: str) -> Column:
+    """The smallest set that can be linked with one of that size."""
+    return F.ceil(F.lit(percent / 100) * F.col(size) - F.lit(1e-6))
 
 
 class _Links:
@@ -260,10 +311,13 @@ class _Links:
         return self.known
 
     def mixed(self, buckets: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold more than one component, with two leaders of different ones."""
-        rows = buckets.select("bucket", "node").join(self.label(), "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        rank = F.xxhash64("node", F.lit(self.turn))
-        low = F.min_by(F.struct("node", "comp"), F.struct("comp", rank))
-        high = F.max_by(F.struct("node", "comp"), F.struct("comp", rank))
-        of = rows.groupBy("bucket").agg(low.alias("leader"), high.alias("other"), F.count("*").alias("size")).where("leader.comp <> other.comp")
-        return self.scratch.keep(rows.join(of, "bucket"), f"mixed{self.turn}")
+        """Rows of the buckets that hold more than one component, with the most central node of all
+        and the most central one of another component."""
+        rows = buckets
+        if self.edges is not None:
+            rows = rows.join(self.label(), "node", "left")
+        rows = rows.select("bucket", "size", "node", "score", F.coalesce("comp", "node").alias("comp") if self.edges is not None else F.col("node").alias("comp"))
+        best = lambda name: F.max(F.struct("score", "node", "comp")).alias(name)
+        led = rows.join(rows.groupBy("bucket").agg(best("leader")), "bucket")
+        other = led.where(F.col("comp") != F.col("leader.comp")).groupBy("bucket").agg(best("other"))
+        return self.scratch.keep(led.join(other, "bucket"), f"mixed{self.turn}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe
+from docloom.llm.hnsw import nearest
 from docloom.llm.html_main import extract_main_text
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.minhash import near_duplicates
@@ -88,6 +89,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -141,6 +147,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_hnsw_neighbours": op3_hnsw_neighbours,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_html_main_text": op8_html_main_text,
