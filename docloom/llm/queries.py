@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from docloom.llm import bpe
 from docloom.llm.hnsw import nearest
 from docloom.llm.html_main import extract_main_text
+from docloom.llm.licenses import licenses_sql, scan_licenses
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.minhash import near_duplicates
 from docloom.llm.packing import pack_documents
+from docloom.llm.preferences import format_preferences, gathered, neighbouring_pairs
 from docloom.llm.quality import judge
 from docloom.llm.sharding import shard_by_bytes
 from docloom.session import ship_code
@@ -104,6 +106,40 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    pairs = neighbouring_pairs(turns.select(F.col("conv_id").cast("long").alias("conv_id")).where(F.col("conv_id").isNotNull()))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    rows = format_preferences(pairs, gathered(turns))
+    return rows.withColumns({"chosen_spans": shown("chosen_spans"), "rejected_spans": shown("rejected_spans")})
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM t),
+b AS (SELECT pair_id, coalesce(c.m, []) AS c, coalesce(r.m, []) AS r FROM p LEFT JOIN t c ON c.conv_id = 2 * pair_id LEFT JOIN t r ON r.conv_id = 2 * pair_id + 1),
+n AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(c), len(r)) + 1), lambda i: c[i] = r[i]), false) - 1, least(len(c), len(r))) AS n FROM b),
+s AS (SELECT pair_id, n, list_slice(c, 1, n) AS p, list_slice(c, n + 1, len(c)) AS c, list_slice(r, n + 1, len(r)) AS r FROM n)
+SELECT pair_id, n::INTEGER AS n_common,
+       array_to_string(list_transform(p, lambda t: '<|im_start|>' || t.r || chr(10) || t.x || '<|im_end|>' || chr(10)), '') AS prompt,
+       array_to_string(list_transform(c, lambda t: '<|im_start|>' || t.r || chr(10) || t.x || '<|im_end|>' || chr(10)), '') AS chosen,
+       array_to_string(list_transform(r, lambda t: '<|im_start|>' || t.r || chr(10) || t.x || '<|im_end|>' || chr(10)), '') AS rejected,
+       array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].r = 'assistant'), lambda i:
+         (coalesce(list_sum(list_transform(c[:i - 1], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT + 22) || '-' ||
+         (coalesce(list_sum(list_transform(c[:i], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT)), ',') AS chosen_spans,
+       array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].r = 'assistant'), lambda i:
+         (coalesce(list_sum(list_transform(r[:i - 1], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT + 22) || '-' ||
+         (coalesce(list_sum(list_transform(r[:i], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT)), ',') AS rejected_spans
+FROM s
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
 
@@ -149,13 +185,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_hnsw_neighbours": op3_hnsw_neighbours,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
+    "op6_preference_format": op6_preference_format,
     "op7_line_dedup": op7_line_dedup,
     "op8_html_main_text": op8_html_main_text,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {
-    "op1_minhash_near_dedup": OP1_SQL,
-    "op2_quality_rules": OP2_SQL,
-    "op7_line_dedup": OP7_SQL,
-}
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op1_minhash_near_dedup": OP1_SQL,
+        "op2_quality_rules": OP2_SQL,
+        "op5_license_scan": licenses_sql(),
+        "op6_preference_format": OP6_SQL,
+        "op7_line_dedup": OP7_SQL,
+    }
