@@ -1,10 +1,53 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns
+documents with the same columns; the last returns packed pieces. `run` writes each stage's rows as
+Parquet in the shared scratch folder and reads them again, so that a lost executor repeats one
+stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from docloom.llm.line_dedup import dedup_lines
+from docloom.llm.minhash import keep_one_of_each
+from docloom.llm.packing import pack_documents
+from docloom.llm.quality import keep_good
+from docloom.llm.queries import table, tokenizer_path
+from docloom.llm.scratch import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass all quality rules."""
+    return keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier line. One whose every line with a word is such a
+    line is a copy and goes; one that had no words stays. n_chars follows the text."""
+    out = dedup_lines(docs, report=True).where(r"n_removed = 0 OR text IS NULL OR text RLIKE '[^\x20\x09-\x0D]'")
+    return out.selectExpr(*(f"CAST(char_length(text) AS {t}) AS n_chars" if c == "n_chars" else f"`{c}`" for c, t in docs.dtypes))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
+    return keep_one_of_each(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("packing", packing)]
+#: Packing is no SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
