@@ -9,6 +9,7 @@ stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.minhash import keep_one_of_each
@@ -26,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line. One whose every line with a word is such a
     line is a copy and goes; one that had no words stays. n_chars follows the text."""
-    out = dedup_lines(docs, report=True).where(r"n_removed = 0 OR text IS NULL OR text RLIKE '[^\x20\x09-\x0D]'")
+    out = dedup_lines(docs, report=True).where((F.col("n_removed") == 0) | F.col("text").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
     return out.selectExpr(*(f"CAST(char_length(text) AS {t}) AS n_chars" if c == "n_chars" else f"`{c}`" for c, t in docs.dtypes))
 
 
