@@ -226,6 +226,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose id is that of their component, with all columns; rows of null ids stay."""
+    kept = near_duplicates(docs, doc_id, text, width, percent).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id_")), "left_semi")
+
+
 def _pairs(mixed: DataFrame, leader: str) -> DataFrame:
     """Each node with the leader of its bucket, unless they are in one component."""
     at = F.col(leader).getField("node")
