@@ -29,7 +29,7 @@ CACHE_PIECES, CACHE_PARTS = 1 << 18, 1 << 19
 _ID_BITS, _AT_BITS = 20, 40
 _AT_MASK = (1 << _AT_BITS) - 1
 # fixed values: the white space of the split pattern, as Unicode's White_Space property has it
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # fixed value: the split pattern of the vocabulary
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: The same cuts as far as ASCII white space makes them; what it leaves whole is cut by _PIECE.
