@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.wordhash import text_slices
+from docloom.llm.wordhash import held, text_slices
 
 #: Pieces and their parts whose ids a worker remembers at most.
 CACHE_PIECES, CACHE_PARTS = 1 << 18, 1 << 19
@@ -151,17 +151,8 @@ class _Parts(Bounded):
         return array("I", self.model.merge(part.encode())).tobytes()
 
 
-_LOADED: dict[int, ByteBpe] = {}
-
-
 def _model(content) -> ByteBpe:
-    """One model for each vocabulary in a Python worker."""
-    text = content.value
-    key = hash(text)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBpe(text)
-    return _LOADED[key]
+    return held(("byte-bpe", hash(content.value)), lambda: ByteBpe(content.value))
 
 
 def _shipped(docs: DataFrame, path: str):

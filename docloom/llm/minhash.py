@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.scratch import Scratch
-from docloom.llm.wordhash import mix, shingle_sets
+from docloom.llm.wordhash import let_go, mix, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -101,6 +101,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             size, mark, regs, keys = [], [], [], []
             for found in shingle_sets(batch.column(1), width):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.bpe import Bounded, byte_symbols
 from docloom.llm.scratch import Scratch, literal_table
-from docloom.llm.wordhash import text_slices
+from docloom.llm.wordhash import held, text_slices
 
 CAPACITY, END_ID = 4096, 1
 SALTS = 64
@@ -207,9 +207,6 @@ class _Parts(Bounded):
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
-_LOADED: dict[int, _Words] = {}
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, cut every capacity tokens.
 
@@ -220,11 +217,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(content.value)
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = _Words(content.value)
-        of, end = _LOADED[key].__getitem__, np.array([end_id], "<u4").tobytes()
+        of = held(("words", hash(content.value)), lambda: _Words(content.value)).__getitem__
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for row, offsets, data in text_slices(batch.column(1)):
                 whole, at, out = data.tobytes(), offsets.tolist(), []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.wordhash import mix, text_slices, windows, word_hashes, words
+from docloom.llm.wordhash import let_go, mix, text_slices, windows, word_hashes, words
 
 #: Rows on which costs and rejections are measured.
 SAMPLE_ROWS = 2000
@@ -163,6 +163,7 @@ def ordered(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows:
 
 def _cascade(rules: list[Rule], report: list[str], always: list[Rule]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             kept, failed, extra = [], [], [[] for _ in report]
             for _, offsets, data in text_slices(batch.column(1)):

@@ -5,6 +5,7 @@ Words are runs of bytes other than space and tab to carriage return.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,24 @@ SLICE_BYTES = 1 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """The one large model of this Python worker; another operator's is let go, as workers live on."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """For operators without a model: free what another operator has left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
