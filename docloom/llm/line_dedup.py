@@ -39,9 +39,12 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h, pos, w, k1, k2: every line with a word, its lower-cased words and two hashes of them."""
-    body = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _lines(docs: DataFrame, only: str | None = None) -> DataFrame:
+    """doc_id, h, pos, w, k1, k2: every line with a word (of the places in column only), its
+    lower-cased words and two hashes of them."""
+    body = docs.select("doc_id", F.xxhash64("text").alias("h"), *([only] if only else []), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    if only:
+        body = body.where(F.array_contains(only, F.col("pos")))
     line = F.lower(F.btrim("line", F.lit(_SPACE)))
     rows = _once(body.withColumn("line", line).where("line <> ''"), "w", F.split("line", "[ \\t-\\r]+"))
     return rows.select("doc_id", "h", "pos", "w", F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"))
@@ -76,7 +79,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     seen = lines.groupBy("k1", "k2").agg(F.min(order).alias("o"), F.count("*").alias("c"))
     first = scratch.keep(seen.select("k1", "k2", *(F.col(f"o.{x}").alias(x) for x in _ORDER), "c"), "first")
 
-    counts = lines.select(F.explode(_hashes(width)).alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("c"))
+    # the places are exploded, not the hashes, so that hashing runs in generated code
+    place = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))))
+    placed = lines.select("w", place.alias("i"))
+    shingle = F.xxhash64(*(F.get(F.col("w"), F.col("i") + k) for k in range(width)))
+    counts = placed.select(F.when(F.size("w") >= width, shingle).otherwise(F.xxhash64("w")).alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count("*").alias("c"))
     found = {r["b"]: r["c"] for r in counts.collect()}  # BUCKETS rows at most
     classes = ",".join(str(min(126, int(4 * math.log2(found.get(b, 0) + 1)))) for b in range(BUCKETS))
 
@@ -89,13 +96,17 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1
     once = once.where(F.col("n") >= min(least, 4))
     prefix = once.select("k1", "k2", "n", F.posexplode(F.slice("tok", F.lit(1), F.col("n") - _share(percent, F.col("n")) + 1)).alias("at", "t")).repartition("t")
-    shared = prefix.groupBy("t").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("t")
+    # asking for every column lets both sides of the join below read one exchange
+    spread = prefix.groupBy("t").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("k2", "n", "at")))
+    shared = spread.where("lo <> hi OR least_k2 IS NULL OR least_n < 0 OR least_at < 0").select("t")
     rows = prefix.join(shared.hint("shuffle_hash"), "t").distinct()
     rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "shared")
 
-    keys = rows.select("k1", "k2", "o.*").distinct()
-    sets = _tokens(lines.join(keys, ["k1", "k2", *_ORDER], "left_semi"), classes, width).select("k1", "k2", "tok").dropDuplicates(["k1", "k2"])
-    sets = scratch.keep(sets, "sets")
+    # whole texts move once to the places of the lines that meet others; lines don't move as words
+    places = rows.select("o.*").distinct().groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(F.collect_set("pos").alias("at_"))
+    held = docs.join(places, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("h_"))).select("doc_id", "text", "at_")
+    sets = _tokens(_lines(held, "at_"), classes, width).select("k1", "k2", "tok")
+    sets = scratch.keep(sets.groupBy("k1", "k2").agg(F.first("tok").alias("tok")), "sets")
 
     leader = rows.groupBy("t").agg(F.min(F.struct("o", "k1", "k2", "n", "at")).alias("y"))
     x, y = rows.alias("x"), leader.select("t", "y.*").alias("y")
