@@ -2,10 +2,11 @@
 
 The standard library's parser streams events; blocks of text between block-level tags are the
 lines. Each line has a ratio of its characters to its tags, the ratios are smoothed by a Gaussian,
-and lines over a threshold of one standard deviation form the content cluster. Lines inside
+and lines over a threshold of one standard deviation form the content cluster, but for those whose
+own ratio is under a tenth of it. Lines inside
 menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts are out
-beforehand. The content lines then choose the region of the page: an article or main element that
-they lie in, else the innermost element that holds most of them. All remaining lines of that
+beforehand. The content lines then choose the region of the page: the article or else the main
+element that holds all of them, or the innermost element that holds most. All remaining lines of that
 region are its text, short ones too.
 
 Each page is one row of one task: no shuffle.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from docloom.llm.wordhash import text_slices
 
 SIGMA, RADIUS = 1.0, 2
-#: Part of the content cluster's characters that the chosen element must hold.
+#: Part of the threshold that a content line's own ratio must reach for the region to hold the line.
+OWN = 0.1
+#: Part of the content cluster's characters that the chosen element must hold, if it is no article or main.
 MOST = 0.7
 
 # fixed values: what HTML says about its elements
@@ -137,11 +140,13 @@ def smoothed(ratios: list[float]) -> list[float]:
 
 
 def content_lines(ratios: list[float]) -> list[bool]:
-    """The cluster of lines whose smoothed ratio is over the standard deviation; the top lines if none is."""
+    """The cluster of lines whose smoothed ratio is over the standard deviation; the top lines if none is.
+
+    A line far under it, which only its neighbours lift, is no part: it may be a teaser's heading."""
     level = smoothed(ratios)
     mean = sum(level) / len(level)
     bar = math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
-    found = [x > bar for x in level]
+    found = [x > bar and own >= OWN * bar for x, own in zip(level, ratios, strict=True)]
     return found if any(found) else [x == max(level) for x in level]
 
 
@@ -161,19 +166,18 @@ def main_text(html: str) -> str:
             yield number
             number = elements[number][1]
 
-    weight: dict[int, int] = {}
+    held: dict[int, int] = {}  # characters of content lines in each element
     for (text, _, at), good in zip(lines, content, strict=True):
-        for number in around(at):
-            weight[number] = weight.get(number, 0) + len(text) * good
-    holders = [{n for n in weight if elements[n][0] == tag} for tag in ("article", "main")]
-    region = next((h for h in holders if h), None)
+        for number in around(at if good else -1):
+            held[number] = held.get(number, 0) + len(text)
+    whole = [n for n in held if held[n] == held[0]]
+    region = next((n for tag in ("article", "main") for n in sorted(whole) if elements[n][0] == tag), None)
     if region is None:
-        enough = [n for n in weight if weight[n] >= MOST * weight[0] and n != 0] or [0]
-        deepest = max(enough, key=lambda n: (sum(1 for _ in around(n)), n))
-        while elements[deepest][0] not in _OPEN and elements[deepest][1] >= 0:
-            deepest = elements[deepest][1]  # a paragraph is no region
-        region = {deepest}
-    return " ".join(text for text, _, at in lines if any(n in region for n in around(at)))
+        enough = [n for n in held if held[n] >= MOST * held[0]]
+        region = max(enough, key=lambda n: (sum(1 for _ in around(n)), n))
+        while elements[region][0] not in _OPEN and elements[region][1] >= 0:
+            region = elements[region][1]  # a paragraph is no region
+    return " ".join(text for text, _, at in lines if region in around(at))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

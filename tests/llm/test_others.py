@@ -130,6 +130,14 @@ def test_main_text():
     assert main_text("") == main_text("<p") == "" and main_text("a &amp; b") == "a & b"
 
 
+def test_main_text_is_where_the_content_lines_are():
+    long = "Long text of the page, with words. " * 12
+    cards = "".join(f"<article><h3>Card {i}</h3><a href=x>more</a></article>" for i in range(3))
+    assert main_text(f"<body><div class=post><p>{long}<p>{long}</div>{cards}") == (long + long).strip()
+    assert main_text(f"<body><main><p>{long}<article><p>Card</article><p>{long}</main><p>out") == f"{long}Card {long}".strip()
+    assert main_text(f"<body><article><p>{long}<p>short</article><div><p>out</div>") == f"{long}short"
+
+
 def test_pages_with_nulls_and_clashing_names(spark):
     rows = spark.createDataFrame([(1, None, "k"), (None, "<p>x</p>", None)], "page_id long, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in extract_main_text(rows).collect()) == [("", 0), ("x", 1)]
