@@ -6,7 +6,7 @@ and lines over a threshold of one standard deviation form the content cluster, b
 own ratio is under a tenth of it. Lines inside
 menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts are out
 beforehand. The content lines then choose the region of the page: the article or else the main
-element that holds all of them, or the innermost element that holds most. All remaining lines of that
+element that holds all of them, or the innermost container that does. All remaining lines of that
 region are its text, short ones too.
 
 Each page is one row of one task: no shuffle.
@@ -29,13 +29,12 @@ from docloom.llm.wordhash import text_slices
 SIGMA, RADIUS = 1.0, 2
 #: Part of the threshold that a content line's own ratio must reach for the region to hold the line.
 OWN = 0.1
-#: Part of the content cluster's characters that the chosen element must hold, if it is no article or main.
-MOST = 0.7
 
 # fixed values: what HTML says about its elements
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OPEN = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td template th tr ul".split())
 _BLOCK = _OPEN | frozenset("address br caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr li p pre summary thead tfoot".split())
+_REGION = frozenset("article body center div html main section".split())
 _SELF_CLOSING = frozenset("p li dd dt option".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # fixed values: elements that never hold the article
@@ -166,17 +165,16 @@ def main_text(html: str) -> str:
             yield number
             number = elements[number][1]
 
-    held: dict[int, int] = {}  # characters of content lines in each element
-    for (text, _, at), good in zip(lines, content, strict=True):
+    held: dict[int, int] = {}  # content lines in each element
+    for (_, _, at), good in zip(lines, content, strict=True):
         for number in around(at if good else -1):
-            held[number] = held.get(number, 0) + len(text)
+            held[number] = held.get(number, 0) + 1
     whole = [n for n in held if held[n] == held[0]]
     region = next((n for tag in ("article", "main") for n in sorted(whole) if elements[n][0] == tag), None)
     if region is None:
-        enough = [n for n in held if held[n] >= MOST * held[0]]
-        region = max(enough, key=lambda n: (sum(1 for _ in around(n)), n))
-        while elements[region][0] not in _OPEN and elements[region][1] >= 0:
-            region = elements[region][1]  # a paragraph is no region
+        region = max(whole, key=lambda n: (sum(1 for _ in around(n)), n))
+        while elements[region][0] not in _REGION and elements[region][1] >= 0:
+            region = elements[region][1]  # a paragraph, quote, list or table is no region
     return " ".join(text for text, _, at in lines if region in around(at))
 
 

@@ -138,6 +138,16 @@ def test_main_text_is_where_the_content_lines_are():
     assert main_text(f"<body><article><p>{long}<p>short</article><div><p>out</div>") == f"{long}short"
 
 
+def test_main_text_holds_every_content_line():
+    long, part = "Long text of the page, with words. " * 12, "One more part of the text, with words. " * 7
+    parts = f"<section><p>{long}<p>{long}</section><section><p>{part}</section>"
+    assert main_text(f"<body><div id=content>{parts}</div>") == (long + long + part).strip()
+    assert main_text(f"<body><article><p>{long}</article><article><p>Yes.</article><article><p>{long}</article>") == f"{long}Yes. {long}".strip()
+    for tag in ("<blockquote>", "<ul><li>", "<table><tr><td>"):
+        end = "".join(f"</{t[1:]}" for t in reversed(tag.replace("><", "> <").split()))
+        assert main_text(f"<body><div id=c><p>Before.{tag}{long}{long}{end}<p>After.</div>") == f"Before. {long}{long}After."
+
+
 def test_pages_with_nulls_and_clashing_names(spark):
     rows = spark.createDataFrame([(1, None, "k"), (None, "<p>x</p>", None)], "page_id long, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in extract_main_text(rows).collect()) == [("", 0), ("x", 1)]
