@@ -6,7 +6,7 @@ tokens puts rare ones first in one order for all lines. Two lines of n and m tok
 index t share at least o = t / (1 + t) * (n + m) tokens, hence a token among the first n - o + 1 of
 one and the first m - o + 1 of the other (prefix filter), whose places leave room for o common
 tokens (positional filter), and their sizes differ little (length filter). What remains is verified
-on whole token sets. A line that matches an earlier one, by (document id, text hash, place), goes.
+on whole token sets. Sets of 3 tokens at most need an equal set and meet by the set's hash. A line that matches an earlier one, by (document id, text hash, place), goes.
 
 Scale. Equal lines are one line from the first aggregation on. Lines that make up more than one in
 2,000 of all (2,000 at most) enter the token exchange by their first occurrence only. Tokens of one
@@ -92,15 +92,21 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     hot = first.where(F.col("c") * HOT_PART > total).select("k1", "k2", order.alias("only"))
     once = lines.join(F.broadcast(hot), ["k1", "k2"], "left").where(F.col("only").isNull() | (F.col("only") == order))
     once = _tokens(once.where(F.size("w") >= width), classes, width).withColumn("n", F.size("tok"))
-    # fewer tokens can be matched by an equal set only; for sizes of 4 and more sets may differ
+    # fewer tokens can be matched by an equal set only, whose hash is then the one token; for sizes of 4 and more sets may differ
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1
-    once = once.where(F.col("n") >= min(least, 4))
-    prefix = once.select("k1", "k2", "n", F.posexplode(F.slice("tok", F.lit(1), F.col("n") - _share(percent, F.col("n")) + 1)).alias("at", "t")).repartition("t")
+    few = F.col("n") < min(least, 4)
+    # unequal lines have an equal set of 3 tokens at most only if their shingles go round in a circle, so that words come again
+    once = once.where(~few | (F.size(F.array_distinct("w")) < F.size("w")))
+    prefix = F.when(few, F.array(F.xxhash64("tok"))).otherwise(F.slice("tok", F.lit(1), F.col("n") - _share(percent, F.col("n")) + 1))
+    prefix = once.select("k1", "k2", "n", F.posexplode(prefix).alias("at", "t")).repartition("t")
     # asking for every column lets both sides of the join below read one exchange
     spread = prefix.groupBy("t").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("k2", "n", "at")))
     shared = spread.where("lo <> hi OR least_k2 IS NULL OR least_n < 0 OR least_at < 0").select("t")
     rows = prefix.join(shared.hint("shuffle_hash"), "t").distinct()
     rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "shared")
+    equal, rows = rows.where(few), rows.where(~few)
+    earliest = equal.groupBy("t", "n").agg(F.min("o").alias("o_"))
+    repeats = equal.join(earliest, ["t", "n"]).where(F.col("o") > F.col("o_")).select("k1", "k2")
 
     # whole texts move once to the places of the lines that meet others; lines don't move as words
     places = rows.select("o.*").distinct().groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(F.collect_set("pos").alias("at_"))
@@ -113,7 +119,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     gone = scratch.keep(_verified(_possible(x.join(y, "t"), percent), sets, percent), "gone1")
     left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
     more = scratch.keep(_verified(_possible(left.join(rows.alias("y"), "t"), percent), sets, percent), "gone2")
-    return first, gone.union(more)
+    return first, gone.union(more).union(repeats)
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:

@@ -107,3 +107,11 @@ def test_lines_equal_brute_force(spark):
     got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
     assert got == brute_lines(rows)
     assert dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_unequal_lines_with_few_equal_shingles(spark):
+    lines = ["- - - - -", "- - - - - - -", "a b a b a b", "b a b a b a", "a b a b a b a b", "Ha ha ha ha ha", "ha " * 9, "a b c " * 3, "a b c " * 5, "a b c d e f", "a b c d e", "- - - -", "- -", "x - - - - -"]
+    rows = [(i, f"{x}\nown {i}") for i, x in enumerate(lines)] + [(50, "\n".join(lines))]
+    want = brute_lines(rows)
+    assert want[1] == "own 1" and want[3] == "own 3" and want[8] == "own 8" and want[9] != "own 9"
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()} == want
