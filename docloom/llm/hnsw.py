@@ -186,7 +186,8 @@ def build_index(rows: DataFrame, scratch: Scratch, keep_ids: int, shard_rows: in
     """A row for each shard's graph. Every usable row is indexed; equal vectors are one node with their keep_ids smallest ids."""
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
-    small = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("rank_") <= keep_ids)
+    # repeated rows go before ranks are given: they take no place of other ids, and no task sees all of them
+    small = rows.select("vec_id", "embedding").distinct().withColumn("rank_", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("rank_") <= keep_ids)
     nodes = small.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     dealt = nodes.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), "ids", "embedding")
     dealt = dealt.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "embedding")

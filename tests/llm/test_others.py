@@ -123,6 +123,16 @@ def test_neighbours_against_brute_force(spark):
     assert hnsw.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_no_place_of_other_ids(spark):
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    rows = [(7, near)] * 11 + [(8, near)] + [(i, far) for i in range(20, 40) for _ in range(2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, near), (100, far)], "vec_id long, embedding array<float>")
+    got = hnsw.nearest(table, asked, k=10).collect()
+    found = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (7, 100)}
+    assert found == {7: [8, *range(20, 29)], 100: list(range(20, 30))}
+
+
 def test_main_text():
     page = '<body class="x"><div class="menu">m</div><div id="c"><h1>T</h1><p>' + "Long text. " * 20 + '<p>Short.<p class="notice">n<p>a&nbsp;&lt;b&gt;</div><div class="comments">c</div><footer>f</footer><script>"</p>"</script>'
     assert main_text(page) == "T " + "Long text. " * 20 + "Short. a <b>"
