@@ -1,10 +1,10 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line. Its features are the content words and word pairs that occur in the training
+A paragraph is a line, or a group of neighbouring lines over which a notice may be wrapped. Its features are the content words and word pairs that occur in the training
 notices; a multinomial logistic regression, trained here on variants of short notices and on plain
 sentences, gives each family a score. The class `unknown` takes part like a family, and a family
-counts only above a probability that was set on held-out variants. A prediction stands if the line
-also holds enough of the word pairs of one of the family's notices. Weights are whole thousandths,
+counts only above a probability that was set on held-out variants. A prediction stands if the
+paragraph also holds enough of the word pairs of one of the family's notices. Weights are whole thousandths,
 so that sums are exact everywhere.
 
 Main path: DataFrame functions. Training happens on the driver, on the notices below, of a fixed
@@ -25,6 +25,8 @@ VARIANTS = 10
 #: Percent of a notice's word pairs that a line must hold.
 CONFIRM = 60
 SCALE = 1000
+#: Words that a wrapped notice may have more than the longest notice, for words put in between.
+SLACK = 8
 
 # fixed values: how licences name themselves
 NOTICES: dict[str, list[str]] = {
@@ -142,24 +144,55 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(line), "[^a-z0-9]+")
 
 
+def _paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, h, pos, end and w (words): the lines that hold a content word (end is pos), and the
+    groups of neighbouring lines pos to end over which a notice can be wrapped.
+
+    Every line of a group has a word; the lines between its first and last have as many words as a
+    notice can have, and of the first and last as many count, next to the others. First and last
+    line hold a content word or stand beside a line that does.
+    """
+    most = max(len(words_of(t)) for texts in NOTICES.values() for t in texts) + SLACK
+    content = F.array(*map(F.lit, content_words()))
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.filter(_words(x), lambda y: y != ""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.explode(F.array(lines)).alias("all"))
+    good = F.transform("all", lambda w: F.arrays_overlap(w, content))
+    rows = rows.select("*", F.explode(F.array(good)).alias("good")).where(F.exists("good", lambda x: x))
+    near = lambda i: F.coalesce(F.get("good", i), F.lit(False)) | F.coalesce(F.get("good", i + 1), F.lit(False))
+    starts = F.filter(F.transform("all", lambda w, i: F.when(near(i), F.struct(i.alias("pos"), F.get("good", i).alias("own"), F.slice("all", i + 1, most + 2).alias("w"), F.slice("good", i + 1, most + 2).alias("good")))), lambda x: x.isNotNull())
+    starts = rows.select("doc_id", "h", F.inline(starts))
+    lone = starts.where("own").select("doc_id", "h", "pos", F.col("pos").alias("end"), F.col("w")[0].alias("w"))
+
+    first = F.slice(F.col("w")[0], F.greatest(F.size(F.col("w")[0]) - most + 1, F.lit(1)), F.lit(most))
+    rest = F.transform(F.slice("w", 2, most + 1), lambda w: F.slice(w, 1, most + 1))
+    several = starts.where("size(w) > 1").select("doc_id", "h", "pos", "good", F.explode(F.array(first)).alias("first"), F.col("w")).where("size(first) > 0")
+    several = several.select("doc_id", "h", "pos", "good", "first", F.explode(F.array(rest)).alias("rest"))
+    several = several.select("*", F.explode(F.sequence(F.lit(1), F.size("rest"))).alias("k"))
+    between = F.aggregate(F.slice("rest", F.lit(1), F.col("k") - 1), F.lit(0), lambda n, w: n + F.size(w))
+    full = F.forall(F.slice("rest", F.lit(1), F.col("k")), lambda w: F.size(w) > 0)
+    ends = F.get("good", F.col("k")) | F.get("good", F.col("k") - 1)
+    several = several.where(ends & full & (between <= most))
+    group = F.concat("first", F.flatten(F.slice("rest", F.lit(1), F.col("k") - 1)), F.slice(F.get("rest", F.col("k") - 1), 1, most))
+    return lone.union(several.select("doc_id", "h", "pos", (F.col("pos") + F.col("k")).alias("end"), group.alias("w")))
+
+
 def license_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), pos, family and confirmed: every line that has a feature.
+    """doc_id, h (hash of the text), pos, end, family and confirmed: every line (end is pos) and
+    every group of lines pos to end that has a feature.
 
     family is unknown where no family reaches the least probability; confirmed says whether a
-    family's line holds CONFIRM percent of one of its notices. Letters count in lower case.
+    family's lines hold CONFIRM percent of one of its notices. Letters count in lower case.
     """
     spark = docs.sparkSession
-    classes, _, bias, least = model()
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    words = lines.select("doc_id", "h", "pos", F.explode(F.array(_words(F.col("line")))).alias("w"))
-    content = F.array(*map(F.lit, content_words()))
-    words = words.where(F.arrays_overlap("w", content)).select("doc_id", "h", "pos", F.explode(F.array(F.filter("w", lambda x: x != ""))).alias("w"))
+    classes, features, bias, least = model()
+    words = _paragraphs(docs, doc_id, text).select("doc_id", "h", "pos", "end", F.explode(F.array("w")).alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    # a line is its words once: repeated rows of one document meet here
-    grams = words.select("doc_id", "h", "pos", F.explode(F.array_distinct(F.concat("w", pairs))).alias("f"))
+    # a paragraph is its features once: repeated rows of one document meet here
+    key = ["doc_id", "h", "pos", "end"]
+    known = spark.sql(f"SELECT * FROM VALUES {_quoted([(f,) for f in features])} AS t(f)")
+    grams = words.select(*key, F.explode(F.array_distinct(F.concat("w", pairs))).alias("f")).join(F.broadcast(known), "f")
     weights = spark.sql(f"SELECT * FROM VALUES {_quoted(weight_rows())} AS t(f, c, v)")
     notices = spark.sql(f"SELECT * FROM VALUES {_quoted(notice_pairs())} AS t(k, family, f, of)")
-    key = ["doc_id", "h", "pos"]
     grams = grams.distinct()
     hits = grams.join(F.broadcast(weights), "f")
     sums = hits.groupBy(*key).agg(*(F.coalesce(F.sum(F.when(F.col("c") == k, F.col("v"))), F.lit(0)).alias(f"s{k}") for k in range(len(classes))))
@@ -178,14 +211,28 @@ def license_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, licenses, n_license_lines and n_unconfirmed for every row of docs.
 
-    licenses: the families of confirmed lines, sorted, joined by commas; empty if none.
-    n_unconfirmed: lines that a family claims but no notice confirms. A null or empty text has none.
+    licenses: the families of confirmed lines and groups of lines, sorted, joined by commas; empty
+    if none. A group counts if no confirmed line and no smaller confirmed group of its family lies
+    in it. n_license_lines: confirmed lines and lines of such groups. n_unconfirmed: other lines
+    that a family claims but no notice confirms. A null or empty text has none.
     Rows that agree in id and text share their result; other columns play no part; an empty table
     gives an empty result.
     """
-    found = license_lines(docs.where(F.col(text).isNotNull()), doc_id, text).where("family <> 'unknown'")
-    by_text = found.groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licenses"),
+    found = license_lines(docs.where(F.col(text).isNotNull()), doc_id, text).where("family <> 'unknown' AND (confirmed OR pos = end)")
+    found = found.groupBy("doc_id", "h", "family").agg(F.collect_set(F.when(F.col("confirmed"), F.struct("pos", "end"))).alias("ok"), F.collect_set(F.when(~F.col("confirmed"), F.col("pos"))).alias("open"))
+    # only the last group of each first line that ends before all later groups end holds no other
+    least = F.aggregate(
+        F.sort_array(F.transform("ok", lambda x: F.struct((-x["pos"]).alias("back"), x["end"].alias("end")))),
+        F.array().cast("array<struct<back:int,end:int>>"),
+        lambda done, x: F.when((F.size(done) == 0) | (x["end"] < F.try_element_at(done, F.lit(-1))["end"]), F.concat(done, F.array(x))).otherwise(done),
+    )
+    least = F.array_distinct(F.flatten(F.transform(least, lambda x: F.sequence(-x["back"], x["end"]))))
+    found = found.select("doc_id", "h", "family", F.explode(F.array(least)).alias("in"), "open")
+    found = found.select("doc_id", "h", "family", F.explode(F.concat(F.transform("in", lambda p: F.struct(p.alias("pos"), F.lit(True).alias("confirmed"))), F.transform(F.array_except("open", "in"), lambda p: F.struct(p.alias("pos"), F.lit(False).alias("confirmed"))))).alias("x")).select("doc_id", "h", "family", "x.*")
+    # a line counts once, as confirmed if any family is
+    lines = found.groupBy("doc_id", "h", "pos").agg(F.max("confirmed").alias("confirmed"), F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("families"))
+    by_text = lines.groupBy(F.col("doc_id").alias("id_"), F.col("h").alias("h_")).agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("licenses"),
         F.count_if("confirmed").alias("n_license_lines"),
         F.count_if(~F.col("confirmed")).alias("n_unconfirmed"),
     )

@@ -175,6 +175,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_wrapped_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    comment = lambda t: "\n".join(f" * {x}" for x in t.split("\n"))
+    texts = [gpl, bsd, "some words\n" + comment(bsd) + "\nmore words", comment(gpl) + "\n\n" + bsd, "\n".join(bsd.split()), "all\nrights reserved.", "x released under the\nMIT License.", bsd.replace("\n", "\n\n"), "word " * 300 + "\nReleased under the MIT License.\nShe studied at MIT."]
+    got = {r["doc_id"]: (r["licenses"], r["n_license_lines"]) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[i][0] for i in range(9)] == ["gpl-3.0", "bsd-3-clause", "bsd-3-clause", "bsd-3-clause,gpl-3.0", "bsd-3-clause", "proprietary", "mit", "", "mit"]
+    assert got[5][1] == got[6][1] == 2 and got[8][1] == 1
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None), (2, 0, None, "only"), (None, 0, "user", "x")]
     t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
