@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from docloom.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.6, 0.4
+#: About so many queries, and so many vectors, of a block.
+BLOCK_QUERIES, BLOCK_VECTORS = 1024, 8192
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,6 +85,62 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | N
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """dim, b and rows (columns): rows dealt by their id, the first of columns, into blocks of about size."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.select(F.size(columns[1]).alias("dim"), F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int").alias("b"), *columns)
+    return dealt.groupBy("dim", "b").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+
+def _best(k: int, same: bool):
+    """Pairs of a block of queries and a block of vectors to the k best of each query in the block."""
+
+    def unit(rows: pa.StructArray) -> np.ndarray:
+        v = rows.field(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+        size = np.sqrt((v * v).sum(1, keepdims=True))
+        return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, found = (batch.column(j)[i].values for j in (0, 1))
+                ids, own = found.field(0).to_numpy(), asked.field(0).to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, score = ids[order], np.round(unit(asked) @ unit(found)[order].T, 6) + 0.0
+                if same:
+                    a, b = (x.field(2).to_numpy(zero_copy_only=False).astype(np.float64) for x in (asked, found))
+                    score[a[:, None] != b[order][None, :]] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(score, top, 1)
+                at, place = np.nonzero(best > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(ids[top[at, place]]), pa.array(best[at, place])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def dense_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score, rank as dense gives them, for any number of queries (query_id, query_vector).
+
+    Blocks of queries meet blocks of vectors, and a task gives each query's k best of a block. same
+    names a column of numbers of both tables in which hits equal their query; null equals nothing.
+    Rows without an id, and vectors that are null or empty or hold a null or a non-finite number,
+    take no part; vectors of another length than the query's are no candidates.
+    """
+    more = [same] if same else []
+
+    def fine(rows: DataFrame, own: str, vector: str) -> DataFrame:
+        rows = rows.select(F.col(own).cast("long").alias(own), F.col(vector).cast("array<double>").alias(vector), *(F.col(c).cast("double").alias(c) for c in more))
+        good = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return rows.where(F.col(own).isNotNull() & F.col(vector).isNotNull() & good)
+
+    asked = _blocks(fine(queries, "query_id", "query_vector"), BLOCK_QUERIES, "query_id", "query_vector", *more).select("dim", F.col("b").alias("q"), F.col("rows").alias("asked"))
+    held = _blocks(fine(vectors, vec_id, embedding), BLOCK_VECTORS, vec_id, embedding, *more)
+    pairs = asked.join(held, "dim").repartition("dim", "q", "b").select("asked", "rows")
+    scored = pairs.mapInArrow(_best(k, same is not None), "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def normalized(hits: DataFrame, score: str = "score", to: str = "normalized") -> DataFrame:
     """Scores over the query's highest; all 0 if that is not positive."""
     most = F.max(score).over(Window.partitionBy("query_id"))

@@ -138,6 +138,38 @@ def hybrid_normalize(spark, d):
     return search.normalized(hits).select("query_id", F.col("vec_id").alias("id"), F.round("normalized", 6).alias("normalized"))
 
 
+# the four queries above search for the ten vectors that their SQL states; these search for every vector whose id is divisible by 100
+
+
+def all_vector_questions(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+
+
+@query()
+def dense_topk_all(spark, d):
+    return search.dense_blocks(read(spark, d, "embeddings"), all_vector_questions(spark, d), 10)
+
+
+@query()
+def dense_filtered_topk_all(spark, d):
+    return search.dense_blocks(read(spark, d, "embeddings"), all_vector_questions(spark, d), 10, same="label")
+
+
+@query()
+def hybrid_fusion_all(spark, d):
+    """Every query's vector hits, fused with the hits of the benchmark text of its id if there is one."""
+    asked = all_vector_questions(spark, d)
+    dense = search.dense_blocks(read(spark, d, "embeddings"), asked, 20).withColumnRenamed("vec_id", "id")
+    texts = questions(spark, d).join(asked.select("query_id"), "query_id", "left_semi")
+    return search.fused(dense, search.bm25(documents(spark, d), texts, 20).withColumnRenamed("doc_id", "id"), 20)
+
+
+@query()
+def hybrid_normalize_all(spark, d):
+    hits = search.dense_blocks(read(spark, d, "embeddings"), all_vector_questions(spark, d), 20)
+    return search.normalized(hits).select("query_id", F.col("vec_id").alias("id"), F.round("normalized", 6).alias("normalized"))
+
+
 def hit_texts(spark, d) -> DataFrame:
     """BM25 hits with their texts, queries and source."""
     hits = search.bm25(documents(spark, d), questions(spark, d), 20)

@@ -1,9 +1,11 @@
 import math
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, cite, corpus, dialog, evaluation, search
+from docloom.plans import catalog
 from docloom.sources import files
 
 
@@ -112,3 +114,27 @@ def test_files(spark, tmp_path):
         from pyspark.sql.types import StringType, StructField, StructType
 
         assert files.json_items(spark, str(tmp_path / name), StructType([StructField("id", StringType())])).count() == 1
+
+
+def test_every_hundredth_vector_is_searched_for(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = [(i, [float(x) for x in rng.normal(size=8)], int(rng.integers(0, 3))) for i in range(1201)]
+    v[5], v[700], v[11] = (5, [0.0] * 8, 0), (700, v[300][1], None), (11, None, 1)
+    spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"word{i % 7} text") for i in range(300)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"word{i % 7} other") for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 200)
+    d, wanted = str(tmp_path), set(range(0, 1201, 100))
+    asked, table = catalog.all_vector_questions(spark, d), catalog.read(spark, d, "embeddings").where("embedding IS NOT NULL")
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows.collect())
+    got = key(catalog.QUERIES["dense_topk_all"](spark, d))
+    assert {r[0] for r in got} == wanted and got == key(search.dense(table, asked, 10))
+    got = key(catalog.QUERIES["dense_filtered_topk_all"](spark, d))
+    own = asked.withColumnRenamed("label", "query_label")
+    assert {r[0] for r in got} == wanted - {700} and got == key(search.dense(table, own, 10, where=F.col("label") == F.col("query_label")))
+    fused = lambda rows: sorted((r["query_id"], r["rank"], r["id"], r["bm25_score"], r["hybrid_score"]) for r in rows.collect())
+    sparse = search.bm25(catalog.documents(spark, d), catalog.questions(spark, d).where("query_id IN (0, 100, 200)"), 20).withColumnRenamed("doc_id", "id")
+    got = fused(catalog.QUERIES["hybrid_fusion_all"](spark, d))
+    assert {r[0] for r in got} == wanted and got == fused(search.fused(search.dense(table, asked, 20).withColumnRenamed("vec_id", "id"), sparse, 20))
+    assert {r["query_id"] for r in catalog.QUERIES["hybrid_normalize_all"](spark, d).collect()} == wanted
