@@ -262,10 +262,12 @@ def _prefix_pairs(scratch: Scratch, nodes: DataFrame, texts: DataFrame, width: i
     part = percent / (100 + percent)
     overlap = lambda n, m: F.ceil(F.lit(part) * (n + m) - F.lit(1e-6))
     rows = scratch.keep(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingle_rows(width), "node long, n long, shingle long"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    # a shingle of one node alone meets nothing: such ones come first in the order and are only counted
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS_RATIO))).cast("int")
-    first = rows.join(often, "shingle").withColumn("at", rank).where((F.col("at") <= F.col("n") - low_of(percent, "n")) & (F.col("often") > 1))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    first = rows.join(often, "shingle").withColumn("at", alone + rank).where(F.col("at") <= F.col("n") - low_of(percent, "n"))
     first = scratch.keep(first.join(nodes, "node").select("shingle", "node", "comp", "n", "at", size_class(F.col("n")).alias("class")), "prefixes")
     by_comp = first.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
     main = by_comp.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "main")
