@@ -45,9 +45,9 @@ TOPICS = ["how", "what", "when", "where", "why", "can", "should", "move", "insta
 QUERY_COMPONENTS = ["ice", "freezer", "dispenser", "water", "filter", "icemaker", "ice maker"]
 HIT_COMPONENTS = ["icemaker", "ice maker", "ice cube", "water dispenser", "water filter"]
 # fixed values: what a followed link's path holds
-SUPPORT_PATHS = (
-    "troubleshoot support error manual guide laundry washer kitchen dishwasher refrigerat service-and-support front_load top_load compact product_info faq gea-support".split()
-)
+SUPPORT_PATHS = [
+    "troubleshoot", "support", "error", "manual", "guide", "laundry", "washer", "kitchen", "dishwasher", "refrigerat", "service-and-support", "front_load", "top_load", "compact", "product_info", "faq", "gea-support",
+]
 # fixed values: words that a strict host's paths must hold, by category
 STRICT_PATHS: dict[str, list[str]] = {"washer": ["washer", "dryer", "laundry", "washing", "drying"], "refrigerator": ["refrigerator", "freezer", "fridge", "cooling"], "dishwasher": ["dishwasher", "dish", "washing"]}
 STRICT_HOSTS = ["geappliances.com", "www.geappliances.com"]
@@ -72,9 +72,10 @@ def category(text: Column | str, rules: Rules = TEXT_CATEGORIES) -> Column:
 
 
 def whole_word_category(text: Column | str, rules: Rules = CLIENT_CATEGORIES) -> Column:
+    """Words are bounded by what is no ASCII letter, digit or underscore, as on the client."""
     out = None
     for label, names in rules:
-        hit = col(text).rlike(r"(?i)\b(" + "|".join(names) + r")\b")
+        hit = col(text).rlike(r"(?i)(?<![A-Za-z0-9_])(" + "|".join(names) + r")(?![A-Za-z0-9_])")
         out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
     return out
 

@@ -32,18 +32,33 @@ def citations(answers: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def quote(claim: Column | str, passage: Column | str) -> Column:
-    """The claim's own words in the passage if they stand there; else at most 50 words from the
-    place where most of the claim's first five long words follow; else the first 50 words."""
+    """The claim's own words in the passage if they stand there; else at most 50 words from the first
+    place after which, within 200 characters, most of the claim's first five long words stand; else
+    the first 50 words. A null passage or claim gives null.
+
+    The number of words after a place changes only where a word leaves or enters the 200 characters,
+    so the first best place is the first one or one at which an occurrence just comes into sight.
+    """
     p, c = col(passage), col(claim)
     low = F.lower(p)
     at = F.position(F.lower(c), low)
     keys = F.slice(F.filter(words(F.lower(c)), lambda w: F.char_length(w) > 3), 1, 5)
-    hits = lambda i, text, ks: F.size(F.filter(ks, lambda w: F.contains(F.substring(text, i, LOOK_CHARS), w)))
-    places = F.sequence(F.lit(1), F.greatest(F.char_length(p), F.lit(1)))
-    counts = let(low, lambda text: let(keys, lambda ks: F.transform(places, lambda i: hits(i, text, ks))))
+    # the pieces between occurrences of a word give their places in one pass over the passage
     cut = lambda text: F.array_join(F.slice(words(text), 1, QUOTE_WORDS), " ")
-    near = lambda n: F.when(F.array_max(n) > 0, cut(F.substring(p, F.array_position(n, F.array_max(n)).cast("int"), QUOTE_CHARS))).otherwise(cut(p))
-    return F.when(at > 0, F.substring(p, at, F.char_length(c))).otherwise(let(counts, near))
+
+    def places(text: Column, w: Column) -> Column:
+        """Where w stands; of occurrences that overlap one another only the first counts."""
+        parts = F.split(text, F.concat(F.lit(r"\Q"), w, F.lit(r"\E")), -1)
+        zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+        walked = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), zero, lambda s, x: F.struct((s["at"] + F.char_length(x) + F.char_length(w)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.char_length(x))).alias("out")))
+        return walked["out"]
+
+    first = lambda at, w: F.greatest(at + F.char_length(w) - LOOK_CHARS, F.lit(1))
+    spans = lambda text, ks: F.transform(ks, lambda w: F.transform(places(text, w), lambda at: F.struct(first(at, w).alias("from"), at.alias("to"))))
+    counts = lambda all_: F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform(all_, lambda one: F.transform(one, lambda x: x["from"]))))), lambda i: F.struct(F.size(F.filter(all_, lambda one: F.exists(one, lambda x: (x["from"] <= i) & (i <= x["to"])))).alias("n"), (-i).alias("back")))
+    best = let(let(low, lambda text: spans(text, keys)), lambda all_: F.array_max(counts(all_)))
+    near = let(best, lambda b: F.when(b.isNull() | (b["n"] == 0), cut(p)).otherwise(cut(F.substring(p, -b["back"], QUOTE_CHARS))))
+    return F.when(at > 0, F.substring(p, at, F.char_length(c))).otherwise(near)
 
 
 def valid_quote(quote_text: Column | str, passage: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import shingles
+from docloom.scratch import Scratch
 
 
 def first_of_each(rows: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -17,33 +18,95 @@ def first_of_each(rows: DataFrame, key: Column, order: Column) -> DataFrame:
 def near_pairs(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85) -> DataFrame:
     """a, b, jaccard: rows at most lookback places apart by id whose 5-word shingles agree.
 
-    Rows are numbered without a global sort: ids are ranked in ranges. A shingle meets only rows in
-    the same or the next stretch of lookback places, so that common shingles stay local.
+    Rows are numbered without a global sort (see numbered). A null text has no pair.
     """
-    n = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id").select("id", "place", F.explode(F.array(shingles("text"))).alias("s"))
-    sized = n.select("id", "place", F.size("s").alias("n"), F.explode("s").alias("x")).withColumn("stretch", F.floor(F.col("place") / lookback))
-    a = sized.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), "x", "stretch")
-    b = sized.withColumn("stretch", F.explode(F.array(F.col("stretch"), F.col("stretch") - 1))).select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), "x", "stretch")
-    met = a.join(b, ["x", "stretch"]).where((F.col("pb") > F.col("pa")) & (F.col("pb") - F.col("pa") <= lookback))
-    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    scratch = Scratch(rows.sparkSession, "near")
+    return _pairs_within(_placed(rows, doc_id, text, scratch), lookback, percent).select("a", "b", "jaccard")
+
+
+def _placed(rows: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """id, place, n and x: a row for each shingle of each text, written once."""
+    n = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", scratch).select("id", "place", F.explode(F.array(shingles("text"))).alias("s"))
+    return scratch.keep(n.select("id", "place", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "place", "n", F.xxhash64("s").alias("x"), F.hash("s").alias("y")), "placed")
+
+
+def _pairs_within(placed: DataFrame, lookback: int, percent: int) -> DataFrame:
+    """a, b, pa, pb, jaccard. A shingle (two hashes, 96 bits) meets only rows in the same or the next
+    stretch of lookback places, so that common shingles stay local."""
+    sized = placed.withColumn("stretch", F.floor(F.col("place") / lookback))
+    a = sized.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), "x", "y", "stretch")
+    b = sized.withColumn("stretch", F.explode(F.array(F.col("stretch"), F.col("stretch") - 1))).select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), "x", "y", "stretch")
+    met = a.join(b, ["x", "y", "stretch"]).where((F.col("pb") > F.col("pa")) & (F.col("pb") - F.col("pa") <= lookback))
+    both = met.groupBy("a", "b", "pa", "pb", "na", "nb").agg(F.count("*").alias("c"))
     union = F.col("na") + F.col("nb") - F.col("c")
-    return both.where(100 * F.col("c") >= percent * union).select("a", "b", F.round(F.col("c") / union, 6).alias("jaccard"))
+    return both.where(100 * F.col("c") >= percent * union).select("a", "b", "pa", "pb", F.round(F.col("c") / union, 6).alias("jaccard"))
 
 
-def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """rows with their place (from 0) by order: counted by range, then within it, never in one task."""
+def numbered(rows: DataFrame, order: str, scratch: Scratch, name: str = "place") -> DataFrame:
+    """rows with their place (from 0) by order: counted by range, then within it, never in one task.
+
+    The ranges are drawn once: the rows are written with the number of their range and their place
+    in it, and counts and places both come from the written table.
+    """
     ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
-    ranged = ranged.withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = scratch.keep(ranged.withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranged")
     counts = ranged.groupBy("p_").agg(F.count("*").alias("c_"))
     before = F.coalesce(F.sum("c_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
     return ranged.join(F.broadcast(counts.select("p_", before.alias("b_"))), "p_").withColumn(name, F.col("b_") + F.col("i_")).drop("p_", "i_", "b_")
 
 
 def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85) -> DataFrame:
-    """id and kept: a row goes if one of the lookback rows before it is a near duplicate, kept itself
-    or not, so that no row has to wait for the verdict on another."""
-    gone = near_pairs(rows, doc_id, text, lookback, percent).select(F.col("b").alias("id")).distinct().withColumn("gone", F.lit(True))
-    return rows.select(F.col(doc_id).alias("id")).join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
+    """id and kept: a row goes if one of the last lookback rows that are kept before it is a near duplicate.
+
+    The rule is sequential, but only rows of near pairs can go. Their verdicts are iterated: with the
+    rows thought gone so far, two rows lie as many kept places apart as places, less the gone ones
+    between them, and a row goes if a kept near row lies within reach. Each pass settles at least the
+    first unsettled row and all that do not hang on it; the rule has one solution, so that a pass
+    without change has found it. If gone rows stretch somebody's reach beyond the places that were
+    searched for pairs, the search is repeated with the longer reach.
+    """
+    scratch = Scratch(rows.sparkSession, "survivors")
+    placed = _placed(rows, doc_id, text, scratch)
+    reach, turn = lookback, 0
+    while True:
+        pairs = scratch.keep(_pairs_within(placed, reach, percent).select("pa", "pb"), f"pairs{reach}")
+        gone = scratch.keep(pairs.select(F.col("pb").alias("p")).distinct(), f"gone{turn}")
+        while True:
+            # kept places between: those of gone rows come off
+            far = _gone_between(pairs, gone).where(F.col("pb") - F.col("pa") - F.col("between") <= lookback)
+            turn += 1
+            new = scratch.keep(far.join(gone.select(F.col("p").alias("pa")), "pa", "left_anti").select(F.col("pb").alias("p")).distinct(), f"gone{turn}")
+            changed = new.join(gone, "p", "left_anti").limit(1).count() + gone.join(new, "p", "left_anti").limit(1).count()
+            scratch.drop(f"gone{turn - 1}")
+            gone = new
+            if not changed:
+                break
+        most = _longest_reach(gone, lookback)
+        if most <= reach:
+            break
+        reach = max(most, 2 * reach)
+    ids = placed.join(gone, placed["place"] == gone["p"], "left_semi").select("id").distinct().withColumn("gone", F.lit(True))
+    return rows.select(F.col(doc_id).alias("id")).join(ids, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
+
+
+def _gone_between(pairs: DataFrame, gone: DataFrame) -> DataFrame:
+    """pairs with between: how many gone rows lie strictly between the two."""
+    near = pairs.select("pa", "pb", F.explode(F.sequence(F.col("pa") + 1, F.col("pb") - 1)).alias("p")).where("p < pb AND p > pa")
+    counted = near.join(gone, "p").groupBy("pa", "pb").agg(F.count("*").alias("between"))
+    return pairs.join(counted, ["pa", "pb"], "left").withColumn("between", F.coalesce("between", F.lit(0)))
+
+
+def _longest_reach(gone: DataFrame, lookback: int) -> int:
+    """No more places than this hold the last lookback kept rows before any row: lookback and the most
+    gone rows of two neighbouring stretches, counted until stretches are long enough."""
+    length = 2 * lookback
+    while True:
+        by = gone.groupBy(F.floor(F.col("p") / length).alias("s")).agg(F.count("*").alias("c"))
+        both = by.select("c", F.explode(F.array("s", F.col("s") + 1)).alias("s")).groupBy("s").agg(F.sum("c").alias("c"))
+        most = both.agg(F.max("c")).first()[0] or 0
+        if lookback + most <= length:
+            return lookback + most
+        length *= 2
 
 
 def not_done(new: DataFrame, manifest: DataFrame, key: str = "url") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,56 +11,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
+from docloom.scratch import Scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.6, 0.4
 #: About so many queries, and so many vectors, of a block.
 BLOCK_QUERIES, BLOCK_VECTORS = 1024, 8192
+#: Bytes of the texts whose postings one task of the inverted index scores.
+BUCKET_BYTES = 32_000_000
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf: one pre-aggregated shuffle over the exploded tokens."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """A written inverted index. postings (doc_id, term, tf, length) are dealt by document, so that a
+    task scores whole documents and keeps its k best before any exchange; terms: term, df, idf."""
 
+    documents: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    mean: float
 
-def lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and its number of tokens; empty documents count too."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.size(tokens(text)), F.lit(0)).alias("length"))
 
+def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, length and counts (term, tf) of each document, with no exchange: a document is one row.
+    A null text has no tokens; the document counts all the same."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(F.coalesce(F.sort_array(tokens(text)), F.array().cast("array<string>")))).alias("t"))
+    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("doc_id", "t", F.explode(F.array(starts)).alias("s"))
+    count = lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("tf"))
+    return rows.select("doc_id", F.size("t").alias("length"), F.transform("s", count).alias("counts"))
 
-def term_weights(posting: DataFrame, size: DataFrame) -> DataFrame:
-    """term, df, idf: terms in more than half of the documents get a part of the mean weight."""
-    corpus = size.agg(F.count("*").alias("n"))
-    df = posting.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+def term_weights(posting: DataFrame, n: int) -> DataFrame:
+    """term, df, idf: terms in more than half of the n documents get a part of the mean weight."""
+    raw = posting.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """The index of all docs, written once in the shared folder. Ids are distinct."""
+    scratch = Scratch(docs.sparkSession, "bm25")
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text)))).first()
+    buckets = max(8, (size or 0) // BUCKET_BYTES)
+    rows = term_counts(docs, doc_id, text).select("doc_id", F.inline("counts"), "length").select("doc_id", "term", "tf", "length")
+    posting = scratch.keep_bucketed(rows.repartition(buckets, "doc_id"), "postings", buckets, "doc_id", ["term"])
+    terms = scratch.keep(term_weights(posting, n), "terms")
+    total = posting.agg(F.sum("tf")).first()[0] or 0
+    return Index(docs.select(F.col(doc_id).alias("doc_id")), posting, terms, n, total / max(n, 1))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 10, where: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents of each query.
 
-    queries: query_id and query. Corpus statistics cover all docs; `where` (on docs' columns) cuts
-    hits before the k best are taken. A repeated query word counts as often as it stands there.
-    Scores are rounded to 6 places, ties go to the smaller id, and documents without any query word
-    fill up to k with score 0.
+    docs: a table of documents, or its index, which many calls can share. queries: query_id and
+    query. Corpus statistics cover all docs; where (a table with doc_id) cuts hits before the k best
+    are taken. A repeated query word counts as often as it stands there. Scores are rounded to 6
+    places, ties go to the smaller id, and documents without any query word fill up to k with score 0.
+    An empty query has no words: its hits are the first k documents.
     """
-    posting, size = postings(docs, doc_id, text), lengths(docs, doc_id, text)
-    mean = size.agg(F.avg("length").alias("mean"))
-    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weights = term_weights(posting, size)
-    allowed = docs if where is None else docs.where(where)
-    hits = posting.join(asked, "term").join(weights.select("term", "idf"), "term").join(size, "doc_id").crossJoin(F.broadcast(mean))
-    if where is not None:
-        hits = hits.join(allowed.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    index = docs if isinstance(docs, Index) else build_index(docs, doc_id, text)
+    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term")
+    allowed = index.documents if where is None else where.select(F.col(doc_id).alias("doc_id")).distinct()
+    hits = index.postings if where is None else index.postings.join(allowed, "doc_id", "left_semi")
+    hits = hits.join(asked.select("query_id", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight")), "term")
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(max(index.mean, 1e-9))))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # with fewer than k hits, the first 2k documents hold all that can fill up
     short = queries.select("query_id").join(best.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
-    first = allowed.select(F.col(doc_id).alias("doc_id")).orderBy("doc_id").limit(2 * k)
+    first = allowed.orderBy("doc_id").limit(2 * k)
     spare = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return best.drop("rank").unionByName(spare).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -71,20 +96,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score, rank: the k vectors of highest cosine, exactly.
-
-    queries: query_id, query_vector and columns that `where` uses; a stated set of queries that is
-    held against all rows. Each task keeps its k best of each query before the exchange.
-    """
-    pairs = vectors.crossJoin(F.broadcast(queries))  # the caller's batch of queries
-    if where is not None:
-        pairs = pairs.where(where)
-    scored = pairs.select("query_id", F.col(vec_id).alias("vec_id"), F.round(cosine(F.col(embedding), F.col("query_vector")), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def _blocks(rows: DataFrame, size: int, *columns: str) -> DataFrame:
     """dim, b and rows (columns): rows dealt by their id, the first of columns, into blocks of about size."""
     n = max(1, -(-rows.count() // size))
@@ -118,8 +129,9 @@ def _best(k: int, same: bool):
     return run
 
 
-def dense_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score, rank as dense gives them, for any number of queries (query_id, query_vector).
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score, rank: the k vectors of highest cosine, exactly, for any number of queries
+    (query_id, query_vector). Scores are rounded to 6 places, ties go to the smaller id.
 
     Blocks of queries meet blocks of vectors, and a task gives each query's k best of a block. same
     names a column of numbers of both tables in which hits equal their query; null equals nothing.

@@ -12,6 +12,7 @@ from docloom.functions import text as T
 from docloom.functions import udfs as U
 from docloom.operators import chunking, cite, corpus, dialog, evaluation, search
 from docloom.session import ship_code
+from docloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,31 +65,44 @@ hit AS (
 BM25_TOP = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM hit{} QUALIFY rank <= {}"
 
 
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def bm25_index(spark, d) -> search.Index:
+    """The inverted index of the documents, written once for an application and the files as they are."""
+    docs = documents(spark, d)
+    key = (spark.sparkContext.applicationId, d, *files.stamps(spark, docs))
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(docs)
+    return _INDEXES[key]
+
+
 @query(f"WITH {BM25_CTE} {BM25_TOP.format('', 10)}")
 def bm25_topk(spark, d):
-    return search.bm25(documents(spark, d), questions(spark, d), 10)
+    return search.bm25(bm25_index(spark, d), questions(spark, d), 10)
 
 
 @query(f"""WITH {BM25_CTE}, every AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(h.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN hit h ON h.query_id = b.item_id AND h.doc_id = d.doc_id WHERE d.lang = 'de')
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM every QUALIFY rank <= 10""")
 def bm25_filtered_topk(spark, d):
-    return search.bm25(documents(spark, d), questions(spark, d), 10, where=F.col("lang") == "de")
+    return search.bm25(bm25_index(spark, d), questions(spark, d), 10, where=documents(spark, d).where("lang = 'de'"))
 
 
-@query(f"WITH {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH tok AS (SELECT doc_id, unnest(list_distinct({TOKENS('text')})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM (SELECT term, count(*) AS df FROM tok GROUP BY term) x, n), mean AS (SELECT avg(r) AS m FROM raw)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25::DOUBLE * m ELSE r END, 6) AS idf FROM raw, mean""")
 def bm25_idf_stats(spark, d):
-    docs = documents(spark, d)
-    return search.term_weights(search.postings(docs), search.lengths(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def vector_questions(spark, d) -> DataFrame:
-    """The stated queries: the first ten vectors."""
-    return read(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+    """The stated queries: every vector whose id is divisible by 100."""
+    return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
 
 
 DENSE_CTE = """
 sim AS (SELECT q.vec_id AS query_id, v.vec_id, q.label AS ql, v.label AS vl, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-        FROM embeddings q, embeddings v WHERE q.vec_id < 10)"""
+        FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
 DENSE_TOP = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM sim{} QUALIFY rank <= {}"
 
 
@@ -99,7 +113,7 @@ def dense_topk(spark, d):
 
 @query(f"WITH {DENSE_CTE} {DENSE_TOP.format(' WHERE ql = vl', 10)}")
 def dense_filtered_topk(spark, d):
-    return search.dense(read(spark, d, "embeddings"), vector_questions(spark, d), 10, where=F.col("label") == F.col("query_label"))
+    return search.dense(read(spark, d, "embeddings"), vector_questions(spark, d), 10, same="label")
 
 
 @query("""SELECT count(*) AS vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_dimension,
@@ -110,14 +124,15 @@ def dense_norm_check(spark, d):
 
 
 def fused_hits(spark, d, k: int = 20) -> DataFrame:
-    """Vectors and documents share ids by convention; query n is benchmark text n and vector n."""
-    dense = search.dense(read(spark, d, "embeddings"), vector_questions(spark, d), k).withColumnRenamed("vec_id", "id")
-    sparse = search.bm25(documents(spark, d), questions(spark, d).where("query_id < 10"), k).withColumnRenamed("doc_id", "id")
-    return search.fused(dense, sparse, k)
+    """Vectors and documents share ids by convention; a query is a vector, and the benchmark text of its id if there is one."""
+    asked = vector_questions(spark, d)
+    dense = search.dense(read(spark, d, "embeddings"), asked, k).withColumnRenamed("vec_id", "id")
+    texts = questions(spark, d).join(asked.select("query_id"), "query_id", "left_semi")
+    return search.fused(dense, search.bm25(bm25_index(spark, d), texts, k).withColumnRenamed("doc_id", "id"), k)
 
 
 FUSED_CTE = f"""{BM25_CTE}, {DENSE_CTE},
-dn AS ({DENSE_TOP.format('', 20)}), sp AS ({BM25_TOP.format(' WHERE query_id < 10', 20)}),
+dn AS ({DENSE_TOP.format('', 20)}), sp AS ({BM25_TOP.format(' WHERE query_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)', 20)}),
 dd AS (SELECT query_id, vec_id AS id, score, rank, CASE WHEN max(score) OVER q <= 0 THEN 0 ELSE score / max(score) OVER q END AS d FROM dn WINDOW q AS (PARTITION BY query_id)),
 ss AS (SELECT query_id, doc_id AS id, score, rank, CASE WHEN max(score) OVER q <= 0 THEN 0 ELSE score / max(score) OVER q END AS s FROM sp WINDOW q AS (PARTITION BY query_id)),
 f AS (SELECT coalesce(dd.query_id, ss.query_id) AS query_id, coalesce(dd.id, ss.id) AS id, coalesce(dd.score, 0) AS dense_score, coalesce(ss.score, 0) AS bm25_score,
@@ -138,42 +153,10 @@ def hybrid_normalize(spark, d):
     return search.normalized(hits).select("query_id", F.col("vec_id").alias("id"), F.round("normalized", 6).alias("normalized"))
 
 
-# the four queries above search for the ten vectors that their SQL states; these search for every vector whose id is divisible by 100
-
-
-def all_vector_questions(spark, d) -> DataFrame:
-    return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
-
-
-@query()
-def dense_topk_all(spark, d):
-    return search.dense_blocks(read(spark, d, "embeddings"), all_vector_questions(spark, d), 10)
-
-
-@query()
-def dense_filtered_topk_all(spark, d):
-    return search.dense_blocks(read(spark, d, "embeddings"), all_vector_questions(spark, d), 10, same="label")
-
-
-@query()
-def hybrid_fusion_all(spark, d):
-    """Every query's vector hits, fused with the hits of the benchmark text of its id if there is one."""
-    asked = all_vector_questions(spark, d)
-    dense = search.dense_blocks(read(spark, d, "embeddings"), asked, 20).withColumnRenamed("vec_id", "id")
-    texts = questions(spark, d).join(asked.select("query_id"), "query_id", "left_semi")
-    return search.fused(dense, search.bm25(documents(spark, d), texts, 20).withColumnRenamed("doc_id", "id"), 20)
-
-
-@query()
-def hybrid_normalize_all(spark, d):
-    hits = search.dense_blocks(read(spark, d, "embeddings"), all_vector_questions(spark, d), 20)
-    return search.normalized(hits).select("query_id", F.col("vec_id").alias("id"), F.round("normalized", 6).alias("normalized"))
-
-
 def hit_texts(spark, d) -> DataFrame:
     """BM25 hits with their texts, queries and source."""
-    hits = search.bm25(documents(spark, d), questions(spark, d), 20)
-    return hits.join(documents(spark, d).select("doc_id", "text", "lang", "source"), "doc_id").join(F.broadcast(questions(spark, d)), "query_id")
+    hits = search.bm25(bm25_index(spark, d), questions(spark, d), 20)
+    return hits.join(documents(spark, d).select("doc_id", "text", "lang", "source"), "doc_id").join(questions(spark, d), "query_id")
 
 
 HIT_CTE = f"""{BM25_CTE}, top AS ({BM25_TOP.format('', 20)}),
@@ -391,20 +374,26 @@ def exact_dedup(spark, d):
     return corpus.first_of_each(rows, F.col("content_hash"), F.col("doc_id"))
 
 
-NEAR_CTE = f"""
+NEAR_ALL = f"""
 w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, {WORDS('lower(text)')} AS w FROM documents),
 s AS (SELECT doc_id, rn, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND b.rn > a.rn AND b.rn - a.rn <= 50 GROUP BY 1, 2),
-near AS (SELECT a, b, round(c::DOUBLE / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c))"""
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.rn AS ra, b.rn AS rb, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND b.rn > a.rn GROUP BY ALL),
+far AS (SELECT a, b, ra, rb, round(c::DOUBLE / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c))"""
 
 
-@query(f"WITH {NEAR_CTE} SELECT * FROM near")
+@query(f"WITH {NEAR_ALL.replace('b.rn > a.rn', 'b.rn > a.rn AND b.rn - a.rn <= 50')} SELECT a, b, jaccard FROM far")
 def near_dup_pairs(spark, d):
     return corpus.near_pairs(documents(spark, d))
 
 
-@query(f"WITH {NEAR_CTE} SELECT doc_id AS id, doc_id NOT IN (SELECT b FROM near) AS kept FROM documents")
+@query(f"""WITH RECURSIVE {NEAR_ALL},
+l AS MATERIALIZED (SELECT d.rn, d.doc_id, coalesce(x.near, []) AS near FROM w d LEFT JOIN (SELECT rb, list(ra) AS near FROM far GROUP BY rb) x ON x.rb = d.rn),
+st(rn, id, kept) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT l.rn, l.doc_id, CASE WHEN len(list_intersect(st.kept, l.near)) > 0 THEN st.kept ELSE list_concat(st.kept, [l.rn])[-50:] END FROM st JOIN l ON l.rn = st.rn + 1)
+SELECT id, list_contains(kept, rn) AS kept FROM st WHERE rn > 0""")
 def near_dup_survivors(spark, d):
     return corpus.near_survivors(documents(spark, d))
 

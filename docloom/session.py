@@ -36,6 +36,7 @@ def local_session(name: str = "docloom", cores: str = "*", shuffle_partitions: i
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g",
+        "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="docloom-"),
         "spark.sql.adaptive.enabled": "true",
     }
     spark = SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=settings).getOrCreate()

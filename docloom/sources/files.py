@@ -14,6 +14,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def stamps(spark: SparkSession, table: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of each file of a table, to tell whether it is still the same."""
+    out = []
+    for name in sorted(table.inputFiles()):
+        target = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
     """Rows of a JSON-lines table; none if the path is missing. Blank lines are passed over."""
     if not exists(spark, path):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import content_hash
+from docloom.scratch import shared_dir
 
 
 def new_contents(stream: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def new_contents(stream: DataFrame) -> DataFrame:
 def stream_documents(spark: SparkSession, path: str) -> DataFrame:
     """Runs all that is there through the stream and returns the hashes it has kept."""
     schema = spark.read.parquet(path).schema
-    name = f"contents_{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/docloom/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).format("parquet").load(path if not path.endswith(".parquet") or _is_dir(spark, path) else path + "*")
-    run = new_contents(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run = new_contents(source).writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("content_hash")
+    return spark.read.schema("doc_id long, content_hash string").parquet(f"{root}/rows").select("content_hash")
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
