@@ -1,26 +1,12 @@
-"""Written tables that cut lineage, kept in the folder all executors share."""
+"""Written tables (see docloom.scratch) and small tables that are part of a plan."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
+from docloom.scratch import Scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+__all__ = ["Scratch", "literal_table", "shared_dir"]
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
@@ -31,39 +17,3 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFra
         return spark.sql("SELECT " + ", ".join(f"0L AS {c}" for c in columns)).limit(0)
     body = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
-
-
-class Scratch:
-    """Parquet tables of one operator call.
-
-    `keep` writes a frame once and gives it back as a scan, so that a lost executor costs the
-    re-read of a file and not a recomputation. `drop` deletes tables that nothing reads any
-    more; the rest go when the application ends, because the returned frame may still read them.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
-
-    def drop(self, *tables: str) -> None:
-        for table in tables:
-            self._delete(self.path(table))
-
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001  the session has ended before the interpreter
-            pass
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
