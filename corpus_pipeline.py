@@ -9,7 +9,6 @@ stage at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.minhash import keep_one_of_each
@@ -20,24 +19,29 @@ from docloom.llm.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass all quality rules."""
+    """Documents that pass all quality rules, with all their columns. A null text has no words and goes;
+    rows that repeat are judged alike."""
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line. One whose every line with a word is such a
-    line is a copy and goes; one that had no words stays. n_chars follows the text."""
-    out = dedup_lines(docs, report=True).where((F.col("n_removed") == 0) | F.col("text").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
+    line is a copy and goes; one that had no words stays, and so does a null text. Rows that agree in
+    id and text lose the same lines. n_chars, if it is there, follows the text; other columns are carried."""
+    out = dedup_lines(docs, drop_copies=True)
     return out.selectExpr(*(f"CAST(char_length(text) AS {t}) AS n_chars" if c == "n_chars" else f"`{c}`" for c, t in docs.dtypes))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
+    """One document, that of the smallest id, of each group of near duplicates (five words, 0.8), with all
+    its columns. Null texts and texts without words are alike to nothing and stay, as do rows without
+    an id; rows that repeat the kept id stay as rows."""
     return keep_one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens. A null text is the end token
+    alone; every row is packed, repeated ones too; only ids and texts play a part."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
