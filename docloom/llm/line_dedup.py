@@ -253,11 +253,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     # at most HOT_PART rows
     hot = {(r["k1"], r["k2"]): (r["doc_id"], r["h"], r["pos"]) for r in first.where(F.col("c") * HOT_PART > total).collect()}
 
-    prefix = low.mapInArrow(_prefixes(percent, width, frequent, hot), "t long, k1 long, k2 int, n int, at int").repartition("t")
-    # asking for every column lets both sides of the join below read one exchange
-    spread = prefix.groupBy("t").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), *(F.min(c).alias(f"least_{c}") for c in ("k2", "n", "at")))
-    shared = spread.where("lo <> hi OR least_k2 IS NULL OR least_n < 0 OR least_at < -1").select("t")
-    rows = prefix.join(shared.hint("shuffle_hash"), "t").distinct()
+    # one exchange, by token; a token of one line alone goes there
+    prefix = low.mapInArrow(_prefixes(percent, width, frequent, hot), "t long, k1 long, k2 int, n int, at int")
+    of = Window.partitionBy("t")
+    spread = prefix.select("*", *(f(c).over(of).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("lo", F.min), ("hi", F.max))))
+    rows = spread.where("lo_k1 <> hi_k1 OR lo_k2 <> hi_k2").select("t", "k1", "k2", "n", "at").distinct()
     rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "shared")
     equal, rows = rows.where("at < 0"), rows.where("at >= 0")
     earliest = equal.groupBy("t", "n").agg(F.min("o").alias("o_"))
@@ -268,19 +268,19 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     # of the earliest lines of its tokens a line is held against the one of most tokens
     best = F.row_number().over(Window.partitionBy("x_k1", "x_k2").orderBy(F.desc("shared"), "y_k1", "y_k2"))
     met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
-    gone = scratch.keep(_verified(met, _texts(docs, rows, met), percent, width), "gone1")
+    texts = scratch.keep(_texts(docs, rows), "texts")
+    gone = scratch.keep(_verified(met, texts, percent, width), "gone1")
     left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
     more = _possible(left.join(rows.alias("y"), "t"), percent).where("shared >= need")
     more = scratch.keep(more.join(met, _PAIR, "left_anti").select(*_PAIR), "met2")
     if more.limit(1).count():
-        gone = gone.union(scratch.keep(_verified(more, _texts(docs, rows, more), percent, width), "gone2"))
+        gone = gone.union(scratch.keep(_verified(more, texts, percent, width), "gone2"))
     return first, gone.union(repeats)
 
 
-def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """k1, k2, line: the lines of the pairs, each taken from its first occurrence."""
-    asked = pairs.select(F.col("x_k1").alias("k1"), F.col("x_k2").alias("k2")).union(pairs.select("y_k1", "y_k2")).distinct()
-    places = rows.select("k1", "k2", "o").distinct().join(asked, ["k1", "k2"], "left_semi")
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """k1, k2, line: the lines that share a token, each taken from its first occurrence."""
+    places = rows.select("k1", "k2", "o").distinct()
     places = places.groupBy(F.col("o.doc_id").alias("id_"), F.col("o.h").alias("h_")).agg(F.collect_list(F.struct(F.col("o.pos").alias("pos"), "k1", "k2")).alias("at_"))
     held = docs.join(places, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
     held = held.select("at_", F.explode(F.array(F.split(F.lower("text"), "\n"))).alias("parts")).select("parts", F.inline("at_"))
