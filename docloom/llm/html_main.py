@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ _MARKS = frozenset(
 )
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
-_CUT_TAG = re.compile(r"<[/a-zA-Z!?][^>]*\Z")
+_TAG = re.compile(r"<[/a-zA-Z!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -66,21 +68,34 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+class _Open(NamedTuple):
+    """An open element; out: in what is not the article, inside: in an article or main element, header:
+    out only because of a header of the article."""
+
+    tag: str
+    number: int
+    out: bool
+    inside: bool
+    header: bool
+
+
 class _Lines(HTMLParser):
-    """Lines of a page as (text, tags, path of open elements' numbers); elements by number: (tag, parent)."""
+    """Lines of a page as (text, tags, number of the innermost element); elements by number: (tag, parent),
+    parents first. What an event costs does not grow with the depth of nesting, but for elements it closes."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.elements: list[tuple[str, int]] = [("", -1)]
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, out
+        self.stack: list[_Open] = [_Open("", 0, False, False, False)]
+        self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.tags = 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.stack[-1][1]))
+            self.lines.append((text, self.tags, self.stack[-1].number))
             self.tags = 0
         self.parts = []
 
@@ -90,34 +105,41 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             return
-        if tag in _BLOCK and self.stack[-1][0] in _SELF_CLOSING and (tag not in ("ul", "ol", "dl", "div") or self.stack[-1][0] == "p"):
-            self.stack.pop()
-        _, parent, out = self.stack[-1]
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        bad = tag in _OUT or tag not in ("html", "body", "article", "main") and tag not in _HEADING and _marked(tag, attrs)
+        top = self.stack[-1]
+        if tag in _BLOCK and top.tag in _SELF_CLOSING and (tag not in ("ul", "ol", "dl", "div") or top.tag == "p"):
+            self._pop(len(self.stack) - 1)
+        _, parent, out, inside, header = self.stack[-1]
+        bad = tag in _OUT or tag == "header" and not out or tag not in ("html", "body", "article", "main") and tag not in _HEADING and _marked(tag, attrs)
         bad = bad or tag == "article" and inside and _marked(tag, attrs)
-        if tag == "header" and not out:
-            bad = True
-        if out and inside and tag in _HEADING and self._only_header():
-            bad, out = False, False  # the heading of an article that stands in the article's own header
+        if out and header and tag in _HEADING:
+            bad, out, header = False, False, False  # the heading of an article that stands in the article's own header
+        elif out:
+            header = header and tag in ("header", "div", "section")
+        elif bad:
+            header = inside and tag == "header"
         if bad or out or tag in _OPEN or tag in _SELF_CLOSING or tag in _HEADING:
             self.elements.append((tag, parent))
-            self.stack.append((tag, len(self.elements) - 1, out or bad))
+            self.stack.append(_Open(tag, len(self.elements) - 1, out or bad, inside or tag in ("article", "main"), header))
+            self.open[tag] += 1
 
-    def _only_header(self) -> bool:
-        outs = [i for i, x in enumerate(self.stack) if x[2]]
-        return bool(outs) and self.stack[outs[0]][0] == "header" and all(self.stack[i][0] in ("header", "div", "section") for i in outs) and any(t in ("article", "main") for t, _, _ in self.stack[: outs[0]])
+    def _pop(self, i: int) -> None:
+        for x in self.stack[i:]:
+            self.open[x.tag] -= 1
+        del self.stack[i:]
 
     def handle_endtag(self, tag):
         if tag in _BLOCK:
             self._end_line()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                self._end_line() if any(t in _BLOCK for t, _, _ in self.stack[i:]) else None
-                del self.stack[i:]
+            if self.stack[i].tag == tag:
+                if any(x.tag in _BLOCK for x in self.stack[i:]):
+                    self._end_line()
+                self._pop(i)
                 return
-            if self.stack[i][0] in _OPEN and tag not in _OPEN:
+            if self.stack[i].tag in _OPEN and tag not in _OPEN:
                 return  # an end tag of text level doesn't end an element around it
 
     def handle_startendtag(self, tag, attrs):
@@ -126,7 +148,7 @@ class _Lines(HTMLParser):
         self.tags += 1
 
     def handle_data(self, data):
-        if not self.stack[-1][2]:
+        if not self.stack[-1].out:
             self.parts.append(data)
 
 
@@ -149,33 +171,40 @@ def content_lines(ratios: list[float]) -> list[bool]:
     return found if any(found) else [x == max(level) for x in level]
 
 
+def without_cut_tag(html: str) -> str:
+    """html without a last tag that no > ends."""
+    end = html.rfind(">") + 1
+    cut = _TAG.search(html, end)
+    return html[: cut.start()] if cut else html
+
+
 def main_text(html: str) -> str:
     """The main text of a page; empty if there is none."""
     parser = _Lines()
-    parser.feed(_CUT_TAG.sub("", html))
+    parser.feed(without_cut_tag(html))
     parser.close()
     parser._end_line()
     lines, elements = parser.lines, parser.elements
     if not lines:
         return ""
     content = content_lines([len(text) / max(1, tags) for text, tags, _ in lines])
-
-    def around(number: int) -> Iterator[int]:
-        while number >= 0:
-            yield number
-            number = elements[number][1]
-
-    held: dict[int, int] = {}  # content lines in each element
+    held, depth = [0] * len(elements), [0] * len(elements)  # content lines in each element
     for (_, _, at), good in zip(lines, content, strict=True):
-        for number in around(at if good else -1):
-            held[number] = held.get(number, 0) + 1
-    whole = [n for n in held if held[n] == held[0]]
-    region = next((n for tag in ("article", "main") for n in sorted(whole) if elements[n][0] == tag), None)
+        held[at] += good
+    for n in range(len(elements) - 1, 0, -1):
+        held[elements[n][1]] += held[n]
+    for n in range(1, len(elements)):
+        depth[n] = depth[elements[n][1]] + 1
+    whole = [n for n in range(len(elements)) if held[n] == held[0]]
+    region = next((n for tag in ("article", "main") for n in whole if elements[n][0] == tag), None)
     if region is None:
-        region = max(whole, key=lambda n: (sum(1 for _ in around(n)), n))
+        region = max(whole, key=lambda n: (depth[n], n))
         while elements[region][0] not in _REGION and elements[region][1] >= 0:
             region = elements[region][1]  # a paragraph, quote, list or table is no region
-    return " ".join(text for text, _, at in lines if region in around(at))
+    inside = [False] * len(elements)
+    for n in range(len(elements)):
+        inside[n] = n == region or n > 0 and inside[elements[n][1]]
+    return " ".join(text for text, _, at in lines if inside[at])
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
