@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from docloom.llm.wordhash import held, text_slices
 
 CAPACITY, END_ID = 4096, 1
 SALTS = 64
-#: Choices tried at a bin, nodes of one enumeration, bins opened by the search over all bins.
+#: Choices tried at a bin, fillings seen in one enumeration, bins opened by the search over all bins.
 BRANCHES, FILL_NODES, SEARCH_NODES = 3, 400, 6_000
 CACHE_WORDS = 1 << 18
 # fixed value: the split pattern of the vocabulary
@@ -58,36 +59,38 @@ def dominated(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
 def fillings(space: int, sizes: list[int], count: dict[int, int]) -> list[tuple[int, ...]]:
     """Undominated maximal fillings of space, best fit first, larger items first among equals.
 
-    sizes: ascending, those with a count. The enumeration is depth first, from the largest item
-    that fits, and ends at FILL_NODES nodes or BRANCHES fillings without waste.
+    sizes: ascending, those with a count. A step of the enumeration takes so many items of one size,
+    many first, and goes on with smaller sizes, so that its depth is the number of sizes, not of
+    items. It ends at FILL_NODES steps or BRANCHES fillings without waste.
     """
-    found: list[tuple[int, ...]] = []
-    left = dict(count)
+    found: list[tuple[tuple[int, int], ...]] = []
     nodes = perfect = 0
 
-    def fill(space: int, upto: int, taken: list[int]) -> None:
+    def maximal(rest: int, taken: dict[int, int]) -> bool:
+        return all(count[s] <= taken.get(s, 0) for s in sizes[: bisect_right(sizes, rest)])
+
+    def fill(space: int, upto: int, taken: tuple[tuple[int, int], ...]) -> None:
         nonlocal nodes, perfect
-        at = bisect_right(sizes, space, 0, upto)
-        grown = tried = 0
-        while at > 0 and nodes < FILL_NODES and perfect < BRANCHES and tried < 12:
+        at, grown = bisect_right(sizes, space, 0, upto), False
+        while at > 0 and nodes < FILL_NODES and perfect < BRANCHES:
             at -= 1
             size = sizes[at]
-            if left.get(size, 0) <= 0:
-                continue
+            for k in range(min(count[size], space // size), 0, -1):
+                grown = True
+                fill(space - k * size, at, (*taken, (size, k)))
+                if nodes >= FILL_NODES or perfect >= BRANCHES:
+                    break
+        if not grown:
             nodes += 1
-            grown, tried = 1, tried + 1
-            left[size] -= 1
-            taken.append(size)
-            fill(space - size, at + 1, taken)
-            taken.pop()
-            left[size] += 1
-        if not grown and (space == 0 or nodes < FILL_NODES or not found):
-            found.append(tuple(taken))
-            perfect += space == 0
-
-    fill(space, len(sizes), [])
+            if not found or maximal(space, dict(taken)):
+                found.append(taken)
+                perfect += space == 0
+
+    fill(space, len(sizes), ())
     out: list[tuple[int, ...]] = []
-    for f in sorted(set(found), key=lambda f: (-sum(f), len(f), [-x for x in f])):
+    flat = [tuple(s for s, k in f for _ in range(k)) for f in dict.fromkeys(found)]
+    for f in sorted(flat, key=lambda f: (-sum(f), len(f), [-x for x in f])):
+        # pairs of fillings of more items are not compared: a dominated one costs a try, no sequence
         if not any(len(f) <= 8 and len(g) <= 8 and dominated(f, g) for g in out):
             out.append(f)
         if len(out) == BRANCHES:
@@ -103,12 +106,12 @@ def _descend(count: dict[int, int], capacity: int, choices: list[int], allowed:
     while sizes:
         top = sizes[-1]
         left[top] -= 1
-        options = fillings(capacity - top, sizes, left)
+        options = fillings(capacity - top, sizes if left[top] else sizes[:-1], left)
         left[top] += 1
         pick = choices[len(plan)] if len(plan) < len(choices) else 0
         width.append(len(options))
         pattern = (top, *options[min(pick, len(options) - 1)])
-        need = {s: pattern.count(s) for s in pattern}
+        need = Counter(pattern)
         uses = min(left[s] // k for s, k in need.items())
         waste += (capacity - sum(pattern)) * uses
         if waste > allowed:
@@ -255,8 +258,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranges, used, first = [], dict.fromkeys(by_length, 0), 0
     for pattern, uses in complete_bins(by_length, capacity):
         at = 0
-        for size in sorted(set(pattern), reverse=True):
-            each = pattern.count(size)
+        for size, each in sorted(Counter(pattern).items(), reverse=True):
             ranges.append((size, used[size], used[size] + each * uses, each, first, at))
             used[size] += each * uses
             at += each * size
