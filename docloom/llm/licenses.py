@@ -1,10 +1,11 @@
 """Licence notices by a trained paragraph classifier.
 
 A paragraph is a line, or a group of neighbouring lines over which a notice may be wrapped. Its features are the content words and word pairs that occur in the training
-notices; a multinomial logistic regression, trained here on variants of short notices and on plain
-sentences, gives each family a score. The class `unknown` takes part like a family, and a family
-counts only above a probability that was set on held-out variants. A prediction stands if the
-paragraph also holds enough of the word pairs of one of the family's notices. Weights are whole thousandths,
+notices; a multinomial logistic regression, trained here on variants of notices, of sentences made of
+the licences' names, and of plain sentences, gives each family a score. The class `unknown` takes part
+like a family, and a family counts only above a probability that was set on sentences of other
+patterns, held out whole. A prediction stands if the paragraph also holds enough of the word pairs of
+one of the family's templates. Weights are whole thousandths,
 so that sums are exact everywhere.
 
 Main path: DataFrame functions. Training happens on the driver, on the notices below, of a fixed
@@ -20,9 +21,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Variants of each notice for training and as many held out.
-VARIANTS = 10
-#: Percent of a notice's word pairs that a line must hold.
+#: Variants of each notice, and of each sentence made of a pattern and a name, for training.
+VARIANTS, MADE_VARIANTS = 10, 5
+#: Percent of a template's word pairs that a line must hold.
 CONFIRM = 60
 SCALE = 1000
 #: Words that a wrapped notice may have more than the longest notice, for words put in between.
@@ -46,16 +47,45 @@ NOTICES: dict[str, list[str]] = {
     "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Licensed under CC0 1.0 Universal."],
     "proprietary": ["All rights reserved.", "Copyright, all rights reserved. No part may be reproduced without permission."],
 }
-# plain sentences for the class unknown, with words of the notices
+# fixed values: the names of licences as sentences use them
+NAMES: dict[str, list[str]] = {
+    "mit": ["MIT License", "MIT licence", "MIT"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache licence v2", "Apache-2.0"],
+    "gpl-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL version 3", "GPLv3", "GPL-3.0"],
+    "lgpl-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL version 3", "LGPLv3", "LGPL-3.0"],
+    "agpl-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL version 3", "AGPLv3", "AGPL-3.0"],
+    "bsd-3-clause": ["BSD 3-Clause License", "3-clause BSD license", "new BSD license", "BSD-3-Clause"],
+    "mpl-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
+    "isc": ["ISC License", "ISC licence", "ISC"],
+    "epl-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0", "EPL-2.0"],
+    "bsl-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"],
+    "cc-by-4.0": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0", "CC BY 4.0"],
+    "cc-by-sa-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0", "CC BY-SA 4.0"],
+    "cc-by-nc-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0"],
+    "cc0-1.0": ["Creative Commons Zero 1.0", "CC0 1.0 Universal", "CC0 1.0"],
+}
+# what such sentences say around a name; every fourth is held out, whole
+PATTERNS = [
+    "Released under the {}.", "Licensed under the {}", "This project is licensed under the terms of the {}", "Distributed under the {}", "SPDX-License-Identifier: {}", "The code is {}-licensed.", "License: {}", "You can use this under {} terms",
+    "Made available under {}.", "Use of this source code is governed by the {}", "It is covered by the {}", "Published under the {}",
+]
+# pieces of such sentences that confirm a name
+TEMPLATES = ["under the {}", "under {}", "the {} terms", "under {} terms", "is {} licensed", "license {}", "license identifier {}", "by the {}", "of the {}"]
+# plain sentences for the class unknown, with words of the notices; every fourth is held out
 OTHER = [
     "The driver showed her license at the gate.", "He was released from the hospital under supervision.", "The general public may visit the museum free of charge.", "Version 2.0 of the game comes out in May.",
     "She studied at MIT in Boston.", "The Apache helicopter landed in the field.", "A permission slip is required for this trip.", "The source of the river lies in the north.", "Creative work is common in this international school.",
     "These conditions are met in binary stars.", "The fishing license costs 4 dollars.", "Rights and duties of the author under the new law.", "Use the following form to redistribute funds.", "GNU is an animal of the plains.",
     "Copyright law is taught in the third term.", "The software is new and the documentation is short.", "Licensed plumber, version unknown.", "no part of the work was done", "terms of trade", "a license to print money",
+    "Researchers at MIT published a paper.", "The BSD family of systems is old.", "The eclipse of the sun was visible in public places.", "Boost your sales with this software.", "The ISC conference takes place in Hamburg.", "She published under a pseudonym.",
+    "The council is governed by the mayor.", "The damage is covered by the insurance.", "Food was distributed under the bridge.", "The Apache server was released in version 2.0.", "Mozilla made a browser available to the public.", "The commons are shared fields.",
+    "The clause was struck from the contract.", "Use of this road is governed by the law.", "MIT is a university.", "The attribution of the painting is disputed.", "Public license plates are blue.", "The universal joint is 4.0 inches long.", "An international license is needed to drive abroad.", "He waived his rights.",
 ]
 # fixed value: words too common to be features on their own
-STOP = frozenset("a an and are as at be by for from in is it its may no not of on or part that the this to under use was were with without you your all any can do file form following free new work person project".split())
-_FILL = "ouer thand inre lequ benti storna ulima orvent rapid green seven under of the in and for by with this".split()
+STOP = frozenset(
+    "a an and are as at available be by can code covered do any all file following for form free from governed in is it its made may new no not of on or part person project published that the this to under use was were with without work you your distributed".split()
+)
+_FILL = "house river stone market paper winter garden simple rapid green seven under of the in and for by with this".split()
 
 
 def words_of(text: str) -> list[str]:
@@ -79,39 +109,52 @@ def _variants(text: str, rng: np.random.Generator, n: int) -> list[set[str]]:
     return out
 
 
+def sentences(held: bool) -> list[tuple[str, list[str]]]:
+    """(class, texts): to train on, or those of the patterns and plain sentences that are held out."""
+    pick = lambda xs: [x for k, x in enumerate(xs) if (k % 4 == 3) == held]
+    out = [("unknown", pick(OTHER))]
+    for family in dict.fromkeys([*NOTICES, *NAMES]):
+        out.append((family, ([] if held else NOTICES.get(family, [])) + [p.format(x) for x in NAMES.get(family, []) for p in pick(PATTERNS)]))
+    return out
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[list[str], dict[str, list[int]], list[int], float]:
     """(classes, unknown first; weights by feature; biases; least probability), whole thousandths."""
     rng = np.random.default_rng(11)
-    classes = ["unknown", *NOTICES]
-    vocabulary = sorted({f for texts in NOTICES.values() for t in texts for f in features_of(words_of(t))})
+    known = sentences(held=False)
+    classes = [c for c, _ in known]
+    vocabulary = sorted({f for c, texts in known[1:] for t in texts for f in features_of(words_of(t))})
     place = {f: i for i, f in enumerate(vocabulary)}
 
-    def sample(n: int):
+    def sample(told: list[tuple[str, list[str]]]):
         rows, labels = [], []
-        for label, texts in enumerate([OTHER, *NOTICES.values()]):
+        for label, (_, texts) in enumerate(told):
             for t in texts:
-                for found in _variants(t, rng, n):
-                    row = np.zeros(len(place))
+                for found in _variants(t, rng, VARIANTS if t not in made else MADE_VARIANTS):
+                    row = np.zeros(len(place), np.float32)
                     row[[place[f] for f in found if f in place]] = 1
                     rows.append(row)
                     labels.append(label)
         return np.array(rows), np.array(labels)
 
-    x, y = sample(VARIANTS)
-    held_x, held_y = sample(VARIANTS)
-    w, b, goal = np.zeros((len(place), len(classes))), np.zeros(len(classes)), np.eye(len(classes))[y]
+    made = {p.format(x) for names in NAMES.values() for x in names for p in PATTERNS}
+    x, y = sample(known)
+    held_x, held_y = sample(sentences(held=True))
+    w, b, goal = np.zeros((len(place), len(classes)), np.float32), np.zeros(len(classes), np.float32), np.eye(len(classes), dtype=np.float32)[y]
     b[0] = 2.0  # a line without features is unknown
-    for _ in range(250):
+    for _ in range(1000):
         p = _softmax(x @ w + b)
         w -= 2.0 * (x.T @ (p - goal) / len(x) + 1e-4 * w)
         b[1:] -= 2.0 * (p - goal).mean(0)[1:]
     weights, bias = np.rint(w * SCALE).astype(int), np.rint(b * SCALE).astype(int)
     p = _softmax((held_x @ weights + bias) / SCALE)
     best = p.argmax(1)
-    wrong = p.max(1)[(best != held_y) & (best > 0)]
-    least = float(np.round(min(0.9, max(0.5, wrong.max() + 0.01 if len(wrong) else 0.5)), 2))
-    return classes, {f: weights[i].tolist() for f, i in place.items()}, bias.tolist(), least
+    # the least probability of which 98 % of the held-out claims are right
+    sure = np.sort(p.max(1)[(best != held_y) & (best > 0)])[::-1]
+    claims = lambda least: ((best > 0) & (p.max(1) >= least)).sum()
+    least = next((x for x in np.arange(0.5, 0.9, 0.01) if (sure >= x).sum() <= 0.02 * claims(x)), 0.9)
+    return classes, {f: weights[i].tolist() for f, i in place.items()}, bias.tolist(), float(np.round(least, 2))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -120,11 +163,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def notice_pairs() -> list[tuple[int, str, str, int]]:
-    """(number, family, word pair, pairs in the notice) for the template comparison."""
-    out = []
-    for k, (family, text) in enumerate((f, t) for f, texts in NOTICES.items() for t in texts):
-        pairs = sorted({f for f in features_of(words_of(text)) if " " in f})
-        out += [(k, family, p, len(pairs)) for p in pairs]
+    """(number, family, word pair, pairs in the template) for the template comparison."""
+    told = [(f, t) for f, texts in NOTICES.items() for t in texts] + [(f, t.format(x)) for f, names in NAMES.items() for x in names for t in TEMPLATES]
+    out, seen = [], set()
+    for family, text in told:
+        pairs = tuple(sorted({f for f in features_of(words_of(text)) if " " in f}))
+        if pairs and (family, pairs) not in seen:
+            seen.add((family, pairs))
+            out += [(len(seen), family, p, len(pairs)) for p in pairs]
     return out
 
 
