@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.wordhash import let_go, mix, text_slices, windows, word_hashes, words
 
-#: Rows on which costs and rejections are measured.
-SAMPLE_ROWS = 2000
+#: Rows on which costs and rejections are measured, and the most bytes that a text of them has.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 16
 WINDOW = 8
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _IS_START = (np.arange(256) & 0xC0) != 0x80
@@ -138,27 +138,20 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def _measured(rules: list[Rule]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, gone, rows = [0.0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
-            for _, offsets, data in text_slices(batch.column(0)):
-                rows += len(offsets) - 1
-                for k, rule in enumerate(rules):
-                    began = time.perf_counter()
-                    gone[k] += int(rule.rejects(Stretch(offsets, data)).sum())
-                    spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(gone, pa.int64()), pa.array([rows] * len(rules), pa.int64())], names=["rule", "spent", "gone", "n"])
-
-    return run
-
-
 def ordered(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second of cost on the first sample_rows rows that the scan gives."""
-    sample = docs.select(F.col(text).cast("string").alias("text")).limit(sample_rows)
-    seen = sample.mapInArrow(_measured(rules), "rule int, spent double, gone long, n long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("gone").alias("gone")).collect()
-    gain = {r["rule"]: r["gone"] / max(r["spent"], 1e-9) for r in seen}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain.get(k, 0.0), k))]
+    """The rules by rejections per second of cost on the first sample_rows rows that the scan gives, of
+    texts of at most SAMPLE_BYTES. Spark reads only as many partitions as it takes to find them, and
+    the driver measures them: no exchange, and a bounded number of bytes."""
+    body = F.col(f"`{text}`").cast("string")
+    sample = docs.select(body.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).toArrow()
+    spent, gone = [0.0] * len(rules), [0] * len(rules)
+    for batch in sample.to_batches():
+        for _, offsets, data in text_slices(batch.column(0)):
+            for k, rule in enumerate(rules):
+                began = time.perf_counter()
+                gone[k] += int(rule.rejects(Stretch(offsets, data)).sum())
+                spent[k] += time.perf_counter() - began
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gone[k] / max(spent[k], 1e-9), k))]
 
 
 def _cascade(rules: list[Rule], report: list[str], always: list[Rule]):
@@ -168,6 +161,11 @@ def _cascade(rules: list[Rule], report: list[str], always: list[Rule]):
             kept, failed, extra = [], [], [[] for _ in report]
             for _, offsets, data in text_slices(batch.column(1)):
                 whole = Stretch(offsets, data)
+                if report:
+                    # a report asks for these of every row, so that the rules take them from it
+                    for k, name in enumerate(report):
+                        extra[k].append(whole[name])
+                    failed.append(np.logical_or.reduce([rule.rejects(whole) for rule in always]))
                 rows, left = np.arange(len(whole)), whole
                 ok = np.ones(len(whole), bool)
                 for rule in rules:
@@ -179,10 +177,6 @@ def _cascade(rules: list[Rule], report: list[str], always: list[Rule]):
                     if not len(rows):
                         break
                 kept.append(ok)
-                if report:
-                    for k, name in enumerate(report):
-                        extra[k].append(whole[name])
-                    failed.append(np.logical_or.reduce([rule.rejects(whole) for rule in always]))
             join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
             out = [batch.column(0), *(pa.array(join(e, np.int64), pa.int64()) for e in extra)]
             if report:
