@@ -23,8 +23,8 @@ from docloom.llm.scratch import Scratch, literal_table
 FIRST_BITS, STEP_BITS = 10, 6
 #: A splitter may miss its place by this part of a shard's bytes.
 TOLERANCE = 0.0005
-#: A cell of more than rows / CELLS rows is split further.
-CELLS = 512
+#: A cell of more than rows / CELLS rows, or of more than MOST_ROWS, is split further: one task numbers a cell.
+CELLS, MOST_ROWS = 512, 1 << 20
 #: But none of fewer rows than this.
 LEAST_ROWS = 256
 
@@ -52,9 +52,10 @@ def _count(slim: DataFrame, open_cells: list[Cell], spark) -> list[Cell]:
         by_id = c.width == 1
         span = c.id_width if by_id else c.width
         step = max(1, -(-span // (1 << STEP_BITS)))
-        parts.append((k, c.lo, c.lo + c.width - 1, c.id_lo if by_id else None, c.id_lo + c.id_width - 1 if by_id else None, step, c.lo if not by_id else c.id_lo, by_id))
-    frame = literal_table(spark, parts, "cell lo hi id_lo id_hi step start by_id")
-    inside = F.col("h").between(F.col("lo"), F.col("hi")) & (~F.col("by_id") | F.col("t").between(F.col("id_lo"), F.col("id_hi")))
+        parts.append((k, c.lo >> 64 - FIRST_BITS, c.lo, c.lo + c.width - 1, c.id_lo if by_id else None, c.id_lo + c.id_width - 1 if by_id else None, step, c.lo if not by_id else c.id_lo, by_id))
+    frame = literal_table(spark, parts, "cell p lo hi id_lo id_hi step start by_id")
+    # a cell lies in one of the first ones, so that the join has a key
+    inside = (F.shiftright("h", 64 - FIRST_BITS) == F.col("p")) & F.col("h").between(F.col("lo"), F.col("hi")) & (~F.col("by_id") | F.col("t").between(F.col("id_lo"), F.col("id_hi")))
     at = F.when(F.col("by_id"), F.col("t")).otherwise(F.col("h")).cast("decimal(20,0)") - F.col("start")
     counted = (
         slim.join(F.broadcast(frame), inside)
@@ -65,7 +66,7 @@ def _count(slim: DataFrame, open_cells: list[Cell], spark) -> list[Cell]:
     out = []
     for r in counted:
         c = open_cells[r["cell"]]
-        step = int(parts[r["cell"]][5])
+        step = int(parts[r["cell"]][6])
         if c.width == 1:
             lo = c.id_lo + r["part"] * step
             out.append(Cell(c.lo, 1, lo, min(step, c.id_lo + c.id_width - lo), r["rows"], r["size"]))
@@ -88,7 +89,7 @@ def _cells(slim: DataFrame, shards: int, tolerance: float) -> list[Cell]:
         still, below, open_cells = [], 0, []
         for c in cells:
             holds = any(below < m < below + c.size for m in marks)
-            wide = holds and c.size > tolerance * total / shards or c.rows > max(LEAST_ROWS, rows / CELLS)
+            wide = holds and c.size > tolerance * total / shards or c.rows > min(MOST_ROWS, max(LEAST_ROWS, rows / CELLS))
             fixed = c.width == 1 and c.id_lo is not None and c.id_width <= 1
             (open_cells if wide and c.rows > 1 and not fixed else still).append(c)
             below += c.size
@@ -132,14 +133,17 @@ def shard_by_bytes(rows: DataFrame, key_hash: str, tie: str, size: str, shards:
     slim = scratch.keep(rows.select(F.col(key_hash).alias("h"), null_tie.alias("t"), F.col(size).cast("long").alias("size")), "slim")
     plan = _plan(_cells(slim, shards, tolerance), shards)
     scratch.drop("slim")
-    # a few thousand cells at most, whatever the rows: the first ones and 64 for each that was opened
+    # the first cells, 64 for each that was opened, and one for each MOST_ROWS rows
     shift = 64 - FIRST_BITS
     found = [(c.lo >> shift, c.lo, c.lo + c.width - 1, c.id_lo, None if c.id_lo is None else c.id_lo + c.id_width - 1, k, shard, first) for k, (c, shard, first) in enumerate(plan)]
     frame = literal_table(spark, found, "p_ lo_ hi_ a_ b_ cell_ shard_ first_")
-    at = (F.shiftright(F.col(key_hash), shift) == F.col("p_")) & F.col(key_hash).between(F.col("lo_"), F.col("hi_")) & (F.col("a_").isNull() | null_tie.between(F.col("a_"), F.col("b_")))
-    placed = rows.drop("shard", "slot").join(F.broadcast(frame), at)
-    inside = F.row_number().over(Window.partitionBy("cell_").orderBy(key_hash, null_tie))
-    return placed.withColumn("slot", F.col("first_") + inside - 1).withColumn("shard", F.col("shard_").cast("int")).drop("p_", "lo_", "hi_", "a_", "b_", "cell_", "shard_", "first_")
+    carried = [c for c in rows.columns if c not in ("shard", "slot")]
+    # the rows are one column, so that their names do not meet those of the cells
+    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), F.col(f"`{key_hash}`").alias("h"), null_tie.alias("t"))
+    at = (F.shiftright("h", shift) == F.col("p_")) & F.col("h").between(F.col("lo_"), F.col("hi_")) & (F.col("a_").isNull() | F.col("t").between(F.col("a_"), F.col("b_")))
+    placed = whole.join(F.broadcast(frame), at)
+    inside = F.row_number().over(Window.partitionBy("cell_").orderBy("h", "t"))
+    return placed.select("row", F.col("shard_").cast("int").alias("shard"), (F.col("first_") + inside - 1).alias("slot")).select(*(F.col(f"row.`{c}`").alias(c) for c in carried), "slot", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,6 +151,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
 
     Null and empty texts are one group. Columns of docs named size, shard or slot are replaced.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    sized = docs.drop("size").withColumns({"size": (F.octet_length(body) + 1).cast("long"), "h_": F.xxhash64(body)})
-    return shard_by_bytes(sized, "h_", doc_id, "size", shards).drop("h_")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    carried = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("doc"), F.col(f"`{doc_id}`").cast("long").alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.xxhash64(body).alias("hash"))
+    placed = shard_by_bytes(sized, "hash", "id", "size", shards)
+    return placed.select(*(F.col(f"doc.`{c}`").alias(c) for c in carried), "size", "slot", "shard")
