@@ -7,7 +7,8 @@ results are merged. Nearness is the Euclidean distance in double precision.
 
 Scale. Equal vectors are one node, which stands for at most k + 1 of their smallest ids (kept by a
 limit before the exchange), so that a vector that a third of the rows share costs nothing more.
-A shard's index is a row of a written table; a task holds one shard and one block of queries.
+A shard's index is a row of a written table that moves once; blocks of queries travel to it. A task
+holds one shard at a time.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.scratch import Scratch
 
-SHARD_ROWS = 4096
-BLOCK_QUERIES = 256
+#: Vectors of a shard; beyond MANY_SHARDS shards they grow with the table, to MOST_ROWS at most.
+SHARD_ROWS, MANY_SHARDS, MOST_ROWS = 4096, 256, 1 << 18
+#: Queries that travel together; with fewer shards than LEAST_TASKS an index is searched in copies.
+BLOCK_QUERIES, LEAST_TASKS = 256, 8
 M, EF_BUILD, EF_SEARCH = 16, 96, 128
 
 
@@ -148,18 +151,19 @@ _INDEX = "dim int, shard int, ids array<array<long>>, vectors binary, layers arr
 
 
 def _searched(k: int, ef: int):
-    """Rows of a shard's index and a block of queries to each query's k nearest in the shard."""
+    """Rows sorted by dim, shard and copy, a shard's index (queries null) before its blocks of queries, to
+    each query's k nearest in the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph, ids = None, None, []
+        graph, ids = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
-                dim, shard = row["dim"].as_py(), row["shard"].as_py()
-                if (dim, shard) != last:
-                    vectors = np.frombuffer(row["vectors"].as_py(), np.float32).reshape(-1, dim).astype(np.float64)
+                if not row["queries"].is_valid:
+                    vectors = np.frombuffer(row["vectors"].as_py(), np.float32).reshape(-1, row["dim"].as_py()).astype(np.float64)
                     layers = [np.frombuffer(x, np.int32).reshape(len(vectors), -1) for x in row["layers"].as_py()]
-                    last, graph, ids = (dim, shard), Graph(vectors, layers, row["entry"].as_py()), row["ids"].as_py()
+                    graph, ids = Graph(vectors, layers, row["entry"].as_py()), row["ids"].as_py()
+                    continue
                 out = []
                 for q in row["queries"].as_py():
                     own, vector = q["query_id"], np.array(q["embedding"], np.float64)
@@ -182,15 +186,20 @@ def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
 
 
-def build_index(rows: DataFrame, scratch: Scratch, keep_ids: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def shard_count(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards of shard_rows vectors; beyond MANY_SHARDS of them shards grow, to MOST_ROWS vectors at most,
+    as every query asks every shard."""
+    return max(1, -(-n // min(max(shard_rows, n // MANY_SHARDS), max(shard_rows, MOST_ROWS))))
+
+
+def build_index(rows: DataFrame, scratch: Scratch, keep_ids: int, shards: int) -> DataFrame:
     """A row for each shard's graph. Every usable row is indexed; equal vectors are one node with their keep_ids smallest ids."""
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
     # repeated rows go before ranks are given: they take no place of other ids, and no task sees all of them
     small = rows.select("vec_id", "embedding").distinct().withColumn("rank_", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("rank_") <= keep_ids)
     nodes = small.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     dealt = nodes.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), "ids", "embedding")
-    dealt = dealt.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "embedding")
+    # a range for each shard, so that no task builds two graphs while another has none
+    dealt = dealt.repartitionByRange(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "embedding")
     return scratch.keep(dealt.mapInArrow(_built, _INDEX), "index")
 
 
@@ -204,13 +213,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARC
     """
     scratch = Scratch(rows.sparkSession, "hnsw")
     base = scratch.keep(usable(rows), "vectors")
-    index = build_index(base, scratch, k + 1, shard_rows)
+    shards = shard_count(base.count(), shard_rows)
+    index = build_index(base, scratch, k + 1, shards)
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
-    blocks = asked.withColumn("dim", F.size("embedding")).withColumn("n_", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // BLOCK_QUERIES)))))
-    blocks = blocks.groupBy("dim", "n_").agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
-    # each block of queries goes to each shard of its dimension: searches, not pairs of rows
-    plan = index.select("dim", "shard").join(blocks, "dim")
-    tasks = plan.join(index, ["dim", "shard"]).select("dim", "shard", "ids", "vectors", "layers", "slots", "entry", "queries")
-    found = tasks.repartition("shard", F.xxhash64("queries")).mapInArrow(_searched(k, ef), "query_id long, vec_id long, score double")
+    n_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    blocks = asked.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
+    # blocks travel to the shards of their dimension; an index moves once, or with few shards in a few copies
+    copies = max(1, min(n_blocks, LEAST_TASKS // shards))
+    held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "ids", "vectors", "layers", "entry", F.lit(None).cast("array<struct<query_id:bigint,embedding:array<float>>>").alias("queries"))
+    sent = blocks.join(index.select("dim", "shard"), "dim").select("dim", "shard", F.pmod("block", F.lit(copies)).cast("int").alias("copy"), *(F.lit(None).cast(t).alias(c) for c, t in index.dtypes if c in ("ids", "vectors", "layers", "entry")), "queries")
+    key = ["dim", "shard", "copy"]
+    tasks = held.union(sent).repartition(shards * copies, *key).sortWithinPartitions(*key, F.col("queries").isNotNull())
+    found = tasks.mapInArrow(_searched(k, ef), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
