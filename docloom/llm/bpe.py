@@ -10,6 +10,7 @@ Texts never leave their row's task: no shuffle, memory bounded by a slice of tex
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
@@ -183,6 +184,29 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded and decoded again in one
+    pass, of which only digests leave the worker: of the ids in decimal, joined by commas, and of the
+    decoded text in UTF-8. Nulls, empty texts and empty tables as in encode."""
+    content = _shipped(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(content)
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        for batch in batches:
+            for row, offsets, data in text_slices(batch.column(1)):
+                whole, at, n, ids, texts = data.tobytes(), offsets.tolist(), [], [], []
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    found = np.frombuffer(model.encode(whole[a:b]), "<u4").tolist()
+                    n.append(len(found))
+                    ids.append(digest(",".join(map(str, found)).encode()))
+                    texts.append(digest(model.decode(found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """rows with the text of their ids; a null list gives an empty text, bytes that are no UTF-8 become U+FFFD."""
     content = _shipped(rows, path)
