@@ -228,9 +228,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is that of their component, with all columns; rows of null ids stay."""
-    kept = near_duplicates(docs, doc_id, text, width, percent).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("kept_id_")), "left_semi")
+    """The rows of docs whose id is that of their component, with all columns, whatever their names; rows
+    of null ids stay. Null and empty texts are alike to nothing and stay; an empty table stays empty."""
+    kept = near_duplicates(docs, doc_id, text, width, percent).where("kept").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
 
 
 def _pairs(mixed: DataFrame, leader: str) -> DataFrame:

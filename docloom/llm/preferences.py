@@ -52,12 +52,18 @@ def learned_spans(turns: Column) -> Column:
     return F.transform(F.filter(F.aggregate(turns, zero, step)["spans"], lambda x: x["own"]), lambda x: F.struct(x["first"].alias("first"), x["end"].alias("end")))
 
 
+def learns(turns: Column) -> Column:
+    """Whether some turn is the assistant's."""
+    return F.exists(turns, lambda t: t["role"] == LEARNED)
+
+
 def format_preferences(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
-    """pair_id, n_common, prompt, chosen, rejected, chosen_spans, rejected_spans.
+    """pair_id, n_common, prompt, chosen, rejected, chosen_spans, rejected_spans, usable.
 
     pairs: pair_id, chosen and rejected (ids of conversations); conversations: as `gathered` gives
     them. A conversation that is null or missing has no turns: nothing is common, its completion
-    is empty. Equal conversations leave two empty completions. An empty table gives an empty result.
+    is empty. Equal conversations leave two empty completions. usable says whether both completions
+    hold something to learn; one-sided and equal pairs are not. An empty table gives an empty result.
     """
     side = lambda name: conversations.select(F.col("conv_id").alias(name), F.col("turns").alias(f"{name}_turns"))
     both = pairs.join(side("chosen"), "chosen", "left").join(side("rejected"), "rejected", "left")
@@ -66,7 +72,7 @@ def format_preferences(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
     both = both.select("*", F.explode(F.array(common_turns(F.col("c"), F.col("r")))).alias("n_common"))
     rest = lambda x: F.slice(x, F.col("n_common") + 1, F.greatest(F.size(x) - F.col("n_common"), F.lit(0)))
     both = both.select("pair_id", "n_common", F.slice("c", F.lit(1), F.col("n_common")).alias("p"), rest(F.col("c")).alias("c"), rest(F.col("r")).alias("r"))
-    return both.select("pair_id", "n_common", rendered(F.col("p")).alias("prompt"), rendered(F.col("c")).alias("chosen"), rendered(F.col("r")).alias("rejected"), learned_spans(F.col("c")).alias("chosen_spans"), learned_spans(F.col("r")).alias("rejected_spans"))
+    return both.select("pair_id", "n_common", rendered(F.col("p")).alias("prompt"), rendered(F.col("c")).alias("chosen"), rendered(F.col("r")).alias("rejected"), learned_spans(F.col("c")).alias("chosen_spans"), learned_spans(F.col("r")).alias("rejected_spans"), (learns(F.col("c")) & learns(F.col("r"))).alias("usable"))
 
 
 def neighbouring_pairs(conversations: DataFrame) -> DataFrame:

@@ -135,7 +135,8 @@ SELECT pair_id, n::INTEGER AS n_common,
          (coalesce(list_sum(list_transform(c[:i], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT)), ',') AS chosen_spans,
        array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].r = 'assistant'), lambda i:
          (coalesce(list_sum(list_transform(r[:i - 1], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT + 22) || '-' ||
-         (coalesce(list_sum(list_transform(r[:i], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT)), ',') AS rejected_spans
+         (coalesce(list_sum(list_transform(r[:i], lambda t: length(t.r) + length(t.x) + 24)), 0)::BIGINT)), ',') AS rejected_spans,
+       len(list_filter(c, lambda t: t.r = 'assistant')) > 0 AND len(list_filter(r, lambda t: t.r = 'assistant')) > 0 AS usable
 FROM s
 """
 
@@ -170,14 +171,7 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
