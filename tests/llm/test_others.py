@@ -1,10 +1,11 @@
+import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from docloom.llm import bpe, hnsw, licenses, packing, preferences, quality, sharding
+from docloom.llm import bpe, hnsw, html_main, licenses, packing, preferences, quality, queries, sharding
 from docloom.llm.html_main import extract_main_text, main_text
 from docloom.llm.queries import tokenizer_path
 
@@ -25,6 +26,10 @@ def test_bpe_equals_the_library(spark):
         want = model.encode(t or "", add_special_tokens=False).ids
         assert got[i]["ids"] == want and got[i]["decoded"] == model.decode(want, skip_special_tokens=False)
     assert bpe.encode(docs(spark, []), path).count() == 0
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in bpe.round_trip(docs(spark), path).collect():
+        ids = model.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids, skip_special_tokens=False)))
 
 
 def test_packing_keeps_all_ids(spark):
@@ -79,6 +84,19 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert used == Counter(sizes) and sum(u for _, u in plan) == exact_bins(sizes, 100)
 
 
+@pytest.mark.parametrize("sizes", [[9] * 20_000, "3 to 11", [1] * 5000, [4096] * 3 + [1]])
+def test_short_pieces_reach_the_lower_bound_by_completion(sizes):
+    sizes = np.random.default_rng(4).integers(3, 12, 30_000).tolist() if sizes == "3 to 11" else sizes
+    count, least = dict(Counter(sizes)), -(-sum(sizes) // 4096)
+    plan, _, ended = packing._descend(count, 4096, [], 10**18)
+    assert ended and sum(u for _, u in plan) == least == sum(u for _, u in packing.complete_bins(count, 4096))
+    used = Counter()
+    for pattern, uses in plan:
+        assert sum(pattern) <= 4096
+        used.update({s: k * uses for s, k in Counter(pattern).items()})
+    assert used == Counter(sizes)
+
+
 def test_quality_features_and_order(spark):
     rows = docs(spark, [None, "", "w " * 30, " ".join(f"w{i}" for i in range(40)), "a b\na b\n a b\n" + " ".join(map(str, range(100, 130))), "#" * 9 + " x" * 30, " ".join(f"w{i}" for i in range(40))])
     got = {r["doc_id"]: r for r in quality.judge(rows, report=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]).collect()}
@@ -103,6 +121,55 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_sharding_query_equals_brute_force(spark, tmp_path):
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    texts = ["copy " * 20] * 200 + ["word " * int(n) + f"é{i}" for i, n in enumerate(rng.integers(0, 60, 500))] + [None, "", None]
+    spark.createDataFrame([(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op9_sharding(spark, str(tmp_path)).collect()
+    text_of = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    key = lambda i: (h - 2**64 if (h := xxhash.xxh64_intdigest(text_of[i], 42)) >= 2**63 else h, i)
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))] == sorted(text_of, key=key)
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text_of[r["doc_id"]]) + 1, zlib.crc32(text_of[r["doc_id"]]), "bytes", None) for r in rows)
+    size, n = Counter(), Counter(r["shard"] for r in rows)
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        assert 0 <= r["slot"] < n[r["shard"]]
+    even = sum(size.values()) / 8
+    assert max(abs(x - even) for x in size.values()) <= 2 * max(len(t) + 1 for t in text_of.values())
+
+
+def test_names_of_carried_columns_may_clash(spark):
+    from docloom.llm.line_dedup import dedup_lines
+    from docloom.llm.minhash import keep_one_of_each
+
+    names = ["doc_id", "text", "key_", "id_", "h_", "stay", "row", "a_", "p_", "h", "t", "id", "kept", "n", "hash", "doc"]
+    rows = spark.createDataFrame([(i, t, *[f"{i}{c}" for c in names[2:]]) for i, t in enumerate(["a b c\nd e f", "d e f\nx", "x"])], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names[2:])]))
+    lines = {r["doc_id"]: r for r in dedup_lines(rows).collect()}
+    assert [lines[i]["text"] for i in range(3)] == ["a b c\nd e f", "x", ""] and dedup_lines(rows).columns == names
+    assert all(r[c] == f"{i}{c}" for i, r in lines.items() for c in names[2:])
+    sharded = sharding.shard_documents(rows, 2)
+    assert sorted(sharded.columns) == sorted([*names, "size", "slot", "shard"]) and all(r["a_"] == f"{r['doc_id']}a_" for r in sharded.collect())
+    assert keep_one_of_each(rows).columns == names and keep_one_of_each(rows).count() == 3
+
+
+def test_recall_over_many_full_shards(spark):
+    rng = np.random.default_rng(12)
+    v = (rng.normal(size=(40, 24))[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 24))).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = hnsw.nearest(table, table.where("vec_id % 100 = 0"), k=10, shard_rows=500).collect()
+    found, hit = {}, 0
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 4000, 100):
+        far = ((v.astype(float) - v[q].astype(float)) ** 2).sum(1)
+        far[q] = np.inf
+        hit += len(set(np.argsort(far, kind="stable")[:10].tolist()) & found[q])
+    assert len(found) == 40 and hit / 400 >= 0.95
+    assert [hnsw.shard_count(n) for n in (0, 4096, 4097, 10**6, 10**9)] == [1, 1, 2, 245, 3815]
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 16)).astype(np.float32)
@@ -140,6 +207,92 @@ def test_main_text():
     assert main_text("") == main_text("<p") == "" and main_text("a &amp; b") == "a & b"
 
 
+def brute_main_text(page):
+    """The same rules on a parsed tree: lines with the path of elements around them, a convolution, and
+    the common part of the content lines' paths."""
+    import xml.etree.ElementTree as ET
+
+    lines, parts, tags, numbers = [], [], 0, iter(range(10**6))
+
+    def flush(path):
+        nonlocal tags
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            lines.append((text, tags, path))
+            tags = 0
+
+    def walk(e, path, out):
+        nonlocal tags
+        block = e.tag in html_main._BLOCK
+        if block:
+            flush(path)
+        tags += 1
+        out = out or e.tag in html_main._OUT or e.get("class", "") in html_main._MARKS
+        own = (*path, (next(numbers), e.tag)) if block else path
+        if not out:
+            parts.append(e.text or "")
+        for x in e:
+            walk(x, own, out)
+            if not out:
+                parts.append(x.tail or "")
+        if block:
+            flush(own)
+        tags += 1
+
+    walk(ET.fromstring(page), (), False)
+    if not lines:
+        return ""
+    ratio = np.array([len(t) / max(1, k) for t, k, _ in lines])
+    kernel = np.exp(-np.arange(-2, 3) ** 2 / 2)
+    level = np.convolve(np.pad(ratio, 2, mode="edge"), kernel / kernel.sum(), "valid")
+    good = (level > level.std()) & (ratio >= 0.1 * level.std())
+    if not good.any():
+        good = level == level.max()
+    paths = [p for (_, _, p), g in zip(lines, good, strict=True) if g]
+    common = [x for k, x in enumerate(min(paths, key=len)) if all(p[k] == x for p in paths)]
+    region = next((x for tag in ("article", "main") for x in common if x[1] == tag), None)
+    while region is None and common:
+        region = common[-1] if common[-1][1] in html_main._REGION else None
+        common.pop()
+    return " ".join(t for t, _, p in lines if region is None or region in p)
+
+
+def random_page(rng):
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 99, n))
+
+    def inline():
+        return "".join(rng.choice([f"{word(int(rng.integers(1, 60)))} ", f"<b>{word(2)}</b> ", f'<a href="x">{word(1)}</a> '], p=[0.6, 0.2, 0.2]) for _ in range(int(rng.integers(1, 5))))
+
+    def block(depth):
+        if depth == 0 or rng.random() < 0.3:
+            tag = rng.choice(["p", "h2", "blockquote", "li"])
+            return f"<{tag}>{inline() if rng.random() < 0.7 else word(2)}</{tag}>"
+        tag = rng.choice(["div", "section", "article", "main", "nav", "footer", "ul", "aside"], p=[0.35, 0.2, 0.12, 0.08, 0.07, 0.06, 0.06, 0.06])
+        mark = rng.choice(["", "", "", ' class="sidebar"', ' class="post"']) if tag == "div" else ""
+        return f"<{tag}{mark}>{''.join(block(depth - 1) for _ in range(int(rng.integers(1, 5))))}</{tag}>"
+
+    return f"<body>{''.join(block(4) for _ in range(int(rng.integers(1, 5))))}</body>"
+
+
+def test_main_text_equals_brute_force(monkeypatch):
+    pages = [random_page(np.random.default_rng(k)) for k in range(300)]
+    got = [main_text(p) for p in pages]
+    assert got == [brute_main_text(p) for p in pages]
+    for constant in (True, False):  # the scores decide
+        monkeypatch.setattr(html_main, "content_lines", lambda ratios, c=constant: [c] * len(ratios))
+        assert sum(a != main_text(p) for a, p in zip(got, pages, strict=True)) > 30
+
+
+def test_main_text_is_linear_in_odd_pages():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a" * 100_000, "<div>" * 20_000 + "x" + "</section>" * 20_000, "<article>" + "<div class=header><header>" * 5_000 + "<h1>x</h1>" * 5_000, "<div>" * 5_000 + "<p>x</p>" * 5_000):
+        main_text(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_main_text_is_where_the_content_lines_are():
     long = "Long text of the page, with words. " * 12
     cards = "".join(f"<article><h3>Card {i}</h3><a href=x>more</a></article>" for i in range(3))
@@ -175,6 +328,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_held_out_licence_sentences(spark):
+    told = [(c, t) for c, texts in licenses.sentences(held=True) for t in texts]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, ["A plain line.\n" + t + "\nMore words." for _, t in told])).collect()}
+    named = [(c, got[i]) for i, (c, _) in enumerate(told) if c != "unknown"]
+    assert sum(c == g for c, g in named) >= 0.9 * len(named) and sum(g not in ("", c) for c, g in named) <= 0.02 * len(named)
+    assert all(got[i] == "" for i, (c, _) in enumerate(told) if c == "unknown")
+    texts = ["The code is MIT-licensed.", "You can use this under MIT terms.", "Published under the Apache licence v2", "Our tool comes under the Boost Software License 1.0", "MIT students like this.", "An eclipse in public."]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == ["mit", "mit", "apache-2.0", "bsl-1.0", "", ""]
+
+
 def test_wrapped_notices(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
@@ -194,15 +358,47 @@ def test_preferences(spark):
     assert (r["n_common"], r["prompt"]) == (1, "<|im_start|>user\nq<|im_end|>\n")
     for side, said in (("chosen", "good"), ("rejected", "bad")):
         assert [r[side][x["first"] : x["end"]] for x in r[f"{side}_spans"]] == [f"{said}<|im_end|>\n"]
-    assert got[1]["rejected"] == "" and got[1]["n_common"] == 0
+    assert got[1]["rejected"] == "" and got[1]["n_common"] == 0 and (got[0]["usable"], got[1]["usable"]) == (True, False)
     assert preferences.gathered(t.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
+    from tests.llm.test_dedup import brute, brute_lines
+    from tokenizers import Tokenizer
 
-    good = lambda k: "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(12)) for i in range(6))
-    texts = [good(0), good(1), good(0), "too short", "spam " * 100, good(2) + "\n" + good(1).split("\n")[0]]
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted({r["doc_id"] for r in out}) == [0, 1, 5]
+    rng = np.random.default_rng(6)
+    line = lambda k, n=12: " ".join(f"w{k}x{x}" for x in rng.integers(0, 900, n))
+    good = lambda k: [line(k) for _ in range(6)]
+    base = [good(k) for k in range(8)]
+    texts = ["\n".join(b) for b in base] + ["\n".join(base[0]), "too short", "spam " * 100, None, "", "#" * 30 + " x" * 40, "\n".join(["rep a b c"] * 12 + base[1])]
+    texts += ["\n".join([*good(20 + k), base[2][k]]) for k in range(3)] + ["\n".join(" ".join([*x.split()[:-1], "new"]) for x in base[3]), "\n".join(base[4]) + " tail", " ".join(base[5]), " ".join([*base[5][:5], "other end"])]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs_.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def passes(t):
+        w, parts = (t or "").split(), (t or "").split("\n")
+        held = [x for x in parts if x.strip()]
+        again = {k for k in range(len(w) - 7) for j in range(len(w) - 7) if k != j and w[k : k + 8] == w[j : j + 8]}
+        repeat, dup = len({k + i for k in again for i in range(8)}), len(held) - len(set(held))
+        chars, stutter = sum(map(len, w)), sum(a == b for a, b in zip(w, w[1:], strict=False))
+        return not (len(w) < 20 or 100 * repeat > 30 * len(w) or 10 * sum((t or "").count(c) for c in "#*$%&|<>") > len(w) or chars < 2 * len(w) or chars > 12 * len(w) or dup >= 3 and 100 * dup > 30 * len(parts) or 100 * stutter > 30 * len(w))
+
+    want = [(i, t) for i, t in enumerate(texts) if passes(t)]
+    found, d = docs_, str(tmp_path)
+    check = lambda x: sorted((r["doc_id"], r["text"]) for r in x.collect())
+    found = corpus_pipeline.quality(spark, found, d)
+    assert check(found) == want and 8 < len(want) < len(texts)
+    cut = brute_lines(want)
+    want = [(i, cut[i]) for i, t in want if cut[i] == t or cut[i].strip()]
+    found = corpus_pipeline.lines(spark, found, d)
+    assert check(found) == want and all(r["n_chars"] == len(r["text"]) for r in found.collect()) and found.dtypes == docs_.dtypes
+    comp = brute(want, 80)
+    want = [(i, t) for i, t in want if comp[i] == i]
+    found = corpus_pipeline.near_duplicates(spark, found, d)
+    assert check(found) == want
+    model = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    length = {i: len(model.encode(t, add_special_tokens=False).ids) + 1 for i, t in want}
+    packed = corpus_pipeline.run(spark, d).collect()
+    assert {r["doc_id"]: r["length"] for r in packed} == length and len({r["sequence_id"] for r in packed}) == -(-sum(length.values()) // 4096)
