@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.text import col, contains_any, first_rule, words
+from docloom.functions.text import WS, col, contains_any, first_rule, words
 
 Rules = list[tuple[str, list[str]]]
 
@@ -56,6 +56,23 @@ CLIENT_CATEGORIES: Rules = [
     ("refrigerator", ["fridge", "fidge", "refrigerator", "refrgerator", "refrigirator", "freezer"]), ("washer", ["washer", "washing machine"]), ("dishwasher", ["dishwasher"]), ("dryer", ["dryer"])
 ]
 
+# fixed values: brands as the client tells them, whole words only
+CLIENT_BRANDS: Rules = [("Whirlpool", ["whirlpool"]), ("GE Appliances", ["ge", "ge appliances", "general electric"])]
+# fixed values: what the client takes for an appliance and for a question
+CLIENT_APPLIANCES = ["fridge", "fidge", "refrigerator", "refrgerator", "refrigirator", "freezer", "washer", "washing machine", "dishwasher", "dryer"]
+CLIENT_QUESTIONS = [
+    "how", "what", "when", "where", "why", "can", "should", "is", "are", "do", "does", "will", "help", "move", "install", "clean", "repair", "replace", "prepare", "safe", "safely",
+    "not working", "not cooling", "not draining", "not starting", "leaking", "broken", "problem", "issue",
+]
+# fixed values: whom a safety category is referred to
+REFERRALS = {
+    "electrical": "Please contact a qualified electrician or our support team.",
+    "gas": "Please contact a qualified technician or our support team immediately.",
+    "recall": "Please contact our support team immediately for safety concerns.",
+    "warranty": "Please contact our authorized service center to avoid voiding your warranty.",
+}
+OTHER_REFERRAL = "Please contact our support team."
+
 
 def support_type(url: Column | str, title: Column | str, body: Column | str, is_pdf: Column, early: Rules = SUPPORT_TYPES, late: Rules = SUPPORT_TYPES_LATE, otherwise: str = "general_support") -> Column:
     """The page type by URL, title and the first 1000 characters of the body."""
@@ -71,11 +88,29 @@ def category(text: Column | str, rules: Rules = TEXT_CATEGORIES) -> Column:
     return first_rule(F.lower(col(text)), rules, None)
 
 
+def whole_words(text: Column | str, names: list[str]) -> Column:
+    """Whether one of the names stands in the text, bounded by what is no ASCII letter, digit or underscore."""
+    return col(text).rlike(r"(?i)(?<![A-Za-z0-9_])(" + "|".join(names) + r")(?![A-Za-z0-9_])")
+
+
+def client_issue(text: Column | str, appliances: list[str] = CLIENT_APPLIANCES, questions: list[str] = CLIENT_QUESTIONS) -> Column:
+    """Whether a message of three words or more names an appliance and asks something. As on the client,
+    pieces between white space count, empty ones at the ends too."""
+    return (F.size(F.split(col(text), f"{WS}+", -1)) >= 3) & whole_words(text, appliances) & whole_words(text, questions)
+
+
+def referral(category: Column, table: dict[str, str] = REFERRALS, other: str = OTHER_REFERRAL) -> Column:
+    out = F.lit(other)
+    for name, message in table.items():
+        out = F.when(category == name, message).otherwise(out)
+    return out
+
+
 def whole_word_category(text: Column | str, rules: Rules = CLIENT_CATEGORIES) -> Column:
     """Words are bounded by what is no ASCII letter, digit or underscore, as on the client."""
     out = None
     for label, names in rules:
-        hit = col(text).rlike(r"(?i)(?<![A-Za-z0-9_])(" + "|".join(names) + r")(?![A-Za-z0-9_])")
+        hit = whole_words(text, names)
         out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
     return out
 

@@ -121,3 +121,43 @@ def first_rule(text: Column, rules: list[tuple[str, list[str]]], otherwise: str
     for label, keywords in rules[1:]:
         out = out.when(contains_any(text, keywords), F.lit(label))
     return out.otherwise(F.lit(otherwise))
+
+
+def filled(*values: Column | str) -> Column:
+    """The first value that is neither null nor empty; null if none is."""
+    return F.coalesce(*(F.nullif(col(v), F.lit("")) for v in values))
+
+
+def similarity(distance: Column | str) -> Column:
+    """Of a cosine distance."""
+    return 1 - col(distance)
+
+
+def titled(text: Column | str) -> Column:
+    """Every run of letters with its first letter large and the others small; what follows a hyphen,
+    an apostrophe or a digit starts a word."""
+    runs = F.regexp_extract_all(col(text), F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def metadata_prefix(brand: Column | str, category: Column | str, page_type: Column | str, heading: Column | str, text: Column | str) -> Column:
+    """The text after a line of what is known about it; empty parts are left out, and the line if all are."""
+    part = lambda label, x, shown: F.when(filled(x).isNotNull(), F.concat(F.lit(label), shown))
+    line = F.concat_ws(
+        " | ", part("Brand: ", brand, titled(brand)), part("Appliance: ", category, titled(category)), part("Support Type: ", page_type, titled(F.replace(col(page_type), F.lit("_"), F.lit(" ")))), part("Section: ", heading, col(heading))
+    )
+    return F.when(line == "", col(text)).otherwise(F.concat(line, F.lit("\n\n"), col(text)))
+
+
+def embed_text(title: Column | str, category: Column | str, page_type: Column | str, heading: Column | str, text: Column | str) -> Column:
+    """What an embedding model reads of a chunk: five labelled lines, missing values empty."""
+    value = lambda x, other="": F.coalesce(filled(x), F.lit(other))
+    lines = [("Title: ", value(title)), ("Appliance: ", value(category)), ("Page Type: ", value(page_type, "general_support")), ("Heading: ", value(heading)), ("Content: ", value(text))]
+    return F.concat(*(x for k, (label, shown) in enumerate(lines) for x in (F.lit(("\n" if k else "") + label), shown)))
+
+
+def metadata_map() -> Column:
+    """A chunk's columns as a map of strings, missing ones empty."""
+    value = lambda x, other="": F.coalesce(filled(x), F.lit(other))
+    pairs = [*((c, value(c)) for c in ("strategy", "heading_path", "url", "brand", "category", "title")), ("page_type", value("page_type", "general_support")), ("has_table", F.when(F.coalesce("has_table", F.lit(False)), "True").otherwise("False"))]
+    return F.create_map(*(x for c, v in pairs for x in (F.lit(c), v)))

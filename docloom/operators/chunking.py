@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import chunk_id, col, strip, words
 
 CHUNK_WORDS, STEP_WORDS, LEAST_WORDS, MOST_WORDS = 300, 255, 22, 384
+#: More than the windows of any section.
+PLACES = 1 << 32
 
 
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -66,11 +68,11 @@ def merged_sections(found: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def structure_chunks(docs: DataFrame, url: str, doc_id: str = "doc_id", text: str = "text", most: int = MOST_WORDS) -> DataFrame:
-    """doc_id, chunk_id, heading_path, chunk_text, strategy: one chunk a merged section; sections of
-    over most words in windows, whose ids have the suffix __sub and a number."""
+    """doc_id, chunk_id, heading_path, chunk_text, place, strategy: one chunk a merged section; sections of
+    over most words in windows, whose ids have the suffix __sub and a number. place orders a document's chunks."""
     base = docs.select(F.col(doc_id).alias("doc_id"), col(url).alias("u_"), F.col(text).alias("text"))
     merged = merged_sections(sections(heading_lines(base))).join(base.select("doc_id", "u_"), "doc_id")
     merged = merged.withColumn("id_", chunk_id("u_", "heading_path", "section")).withColumn("n", F.size(words("section_text")))
-    short = merged.where(F.col("n") <= most).select("doc_id", F.col("id_").alias("chunk_id"), "heading_path", F.col("section_text").alias("chunk_text"))
-    long = word_windows(merged.where(F.col("n") > most), "section_text").select("doc_id", F.concat("id_", F.lit("__sub"), F.col("chunk_index").cast("string")).alias("chunk_id"), "heading_path", "chunk_text")
+    short = merged.where(F.col("n") <= most).select("doc_id", F.col("id_").alias("chunk_id"), "heading_path", F.col("section_text").alias("chunk_text"), (F.col("section").cast("long") * PLACES).alias("place"))
+    long = word_windows(merged.where(F.col("n") > most), "section_text").select("doc_id", F.concat("id_", F.lit("__sub"), F.col("chunk_index").cast("string")).alias("chunk_id"), "heading_path", "chunk_text", (F.col("section").cast("long") * PLACES + F.col("chunk_index")).alias("place"))
     return short.unionByName(long).withColumn("strategy", F.lit("structure_aware"))

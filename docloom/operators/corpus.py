@@ -11,8 +11,8 @@ from docloom.scratch import Scratch
 
 def first_of_each(rows: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of each key. A limit in each task goes before the exchange, so hot keys are thin."""
-    w = Window.partitionBy("k_").orderBy("o_")
-    return rows.withColumns({"k_": key, "o_": order}).withColumn("r_", F.row_number().over(w)).where("r_ = 1").drop("k_", "o_", "r_")
+    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), key.alias("key"), order.alias("order"))
+    return whole.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("order"))).where("n = 1").select("row.*")
 
 
 def near_pairs(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85) -> DataFrame:

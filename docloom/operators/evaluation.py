@@ -64,3 +64,48 @@ def item_problems() -> Column:
         ((c == "multi_hop") & (quotes < 2), "multi-hop with under two quotes"),
     ]
     return F.array_compact(F.array(*(F.when(test, F.lit(message)) for test, message in checks)))
+
+
+# fixed values: the fields of a golden item, by name, and their types
+FIELDS = {
+    "id": "string", "query": "string", "category": "string", "expected_category": "string", "gold_answer": "string", "source_urls": "array<string>", "evidence_quotes": "array<string>",
+    "searched_terms": "array<string>", "split": "string", "human_verified": "boolean",
+}
+
+
+def field_problems(item: Column, fields: dict[str, str] = FIELDS) -> Column:
+    """Messages about the fields of an item that is a JSON object as text: those that are missing (then
+    nothing else), lists and flags of another type, quotes that are no text."""
+    keys = F.coalesce(F.json_object_keys(item), F.array().cast("array<string>"))
+    names = F.array(*map(F.lit, sorted(fields)))
+    missing = F.array_except(names, keys)
+    value = lambda name: F.get_json_object(item, f"$.{name}")
+    lists = [(~F.coalesce(F.startswith(F.ltrim(value(n)), F.lit("[")), F.lit(False)), f"{n} must be a list") for n, t in sorted(fields.items()) if t.startswith("array")]
+    flags = [(~F.coalesce(value(n).isin("true", "false"), F.lit(False)), f"{n} must be true or false") for n, t in sorted(fields.items()) if t == "boolean"]
+    found = F.array_compact(F.array(*(F.when(test, F.lit(message)) for test, message in [*flags, *lists])))
+    return F.when(F.size(missing) > 0, F.array(F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))).otherwise(found)
+
+
+def report(items: DataFrame, total: int = 40, categories: dict[str, int] | None = None, splits: dict[str, int] | None = None) -> DataFrame:
+    """section, name, found, expected, ok for items (id, category, split, human_verified, problems as an
+    array): the total, the counts by category and split, items with problems, ids that repeat, and
+    items that nobody has verified."""
+    spark = items.sparkSession
+    count = lambda section, name, c, expected: items.agg(F.count_if(c).alias("found")).select(F.lit(section).alias("section"), F.lit(name).alias("name"), "found", F.lit(expected).cast("long").alias("expected"))
+    parts = [count("total", "items", F.lit(True), total)]
+    for section, column, table in (("category", "category", CATEGORY_COUNTS if categories is None else categories), ("split", "split", SPLIT_COUNTS if splits is None else splits)):
+        expected = spark.createDataFrame([(k, v) for k, v in table.items()], "name string, expected long")
+        found = items.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
+        parts.append(count_check(found, expected, "name").select(F.lit(section).alias("section"), "name", F.col("n").alias("found"), "expected"))
+    parts += [count("rules", "items with problems", F.size("problems") > 0, 0), duplicate_keys(items, "id").agg(F.count("*").alias("found")).select(F.lit("rules").alias("section"), F.lit("repeated ids").alias("name"), "found", F.lit(0).cast("long").alias("expected"))]
+    parts.append(count("review", "not verified", ~F.coalesce("human_verified", F.lit(False)), 0))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("ok", F.col("found") == F.col("expected"))
+
+
+def exit_code(found: DataFrame) -> int:
+    """0: all holds; 2: only the review is open; 1: something else fails."""
+    failed = {r["section"] for r in found.where("NOT ok").select("section").distinct().collect()}
+    return 0 if not failed else 2 if failed == {"review"} else 1

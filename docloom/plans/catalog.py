@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.functions import udfs as U
-from docloom.operators import chunking, cite, corpus, dialog, evaluation, search
+from docloom.operators import chunking, cite, corpus, dialog, evaluation, search, service, stages
+from docloom.scratch import Scratch
 from docloom.session import ship_code
 from docloom.sources import files
 
@@ -266,6 +267,9 @@ def item_validation(spark, d):
 
 # ---- texts
 
+TEST_SAFETY: R.Rules = [("electrical", ["shand", "etion"]), ("gas", ["erheit", "ingth"])]
+
+
 def on_text(name: str, value: Callable[[], Column], sql: str) -> None:
     def run(spark, d):
         return documents(spark, d).select("doc_id", value().alias("value"))
@@ -290,10 +294,15 @@ on_text("line_dedupe", lambda: T.distinct_blocks("text", "\n"), f"""(SELECT coal
   WHERE b[i] LIKE '#%' OR b[i] LIKE '|%' OR length(b[i]) < 3 OR list_position(b, b[i]) = i)""")
 on_text("heading_path", lambda: T.heading_path("text"), "array_to_string(list_transform(list_slice(list_filter(string_split(text, chr(10)), lambda l: l LIKE '#%'), 1, 3), lambda h: " + STRIP("regexp_replace(h, '^#+', '')") + "), ' > ')")
 on_text("table_flag", lambda: F.contains("text", F.lit("|---")), "contains(text, '|---')")
-on_text("metadata_prefix", lambda: F.concat(F.concat_ws(" | ", F.concat(F.lit("Brand: "), F.initcap("source")), F.when(F.col("lang") != "", F.concat(F.lit("Appliance: "), F.initcap("lang")))), F.lit("\n\n"), F.col("text")),
-    "'Brand: ' || upper(source[1]) || lower(source[2:]) || ' | Appliance: ' || upper(lang[1]) || lower(lang[2:]) || chr(10) || chr(10) || text")
-on_text("embed_text_template", lambda: F.concat(F.lit("Title: "), F.coalesce("source", F.lit("")), F.lit("\nAppliance: "), F.coalesce("lang", F.lit("")), F.lit("\nPage Type: general_support\nHeading: \nContent: "), F.coalesce("text", F.lit(""))),
-    "'Title: ' || coalesce(source, '') || chr(10) || 'Appliance: ' || coalesce(lang, '') || chr(10) || 'Page Type: general_support' || chr(10) || 'Heading: ' || chr(10) || 'Content: ' || coalesce(text, '')")
+PAGE_TYPE = lambda: F.when(F.col("doc_id") % 2 == 0, "how_to")
+HEADING = lambda: F.when(F.col("doc_id") % 3 == 0, "a > b").otherwise("")
+TITLED = lambda x: f"upper({x}[1]) || lower({x}[2:])"
+on_text("metadata_prefix", lambda: T.metadata_prefix("source", "lang", PAGE_TYPE(), HEADING(), "text"),
+    f"'Brand: ' || {TITLED('source')} || ' | Appliance: ' || {TITLED('lang')} || CASE WHEN doc_id % 2 = 0 THEN ' | Support Type: How To' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' | Section: a > b' ELSE '' END || chr(10) || chr(10) || text")
+on_text("embed_text_template", lambda: T.embed_text("source", "lang", PAGE_TYPE(), HEADING(), "text"),
+    "'Title: ' || coalesce(source, '') || chr(10) || 'Appliance: ' || coalesce(lang, '') || chr(10) || 'Page Type: ' || CASE WHEN doc_id % 2 = 0 THEN 'how_to' ELSE 'general_support' END || chr(10) || 'Heading: ' || CASE WHEN doc_id % 3 = 0 THEN 'a > b' ELSE '' END || chr(10) || 'Content: ' || coalesce(text, '')")
+on_text("safety_referral", lambda: R.referral(R.safety("text", TEST_SAFETY)),
+    "CASE WHEN contains(lower(text), 'shand') OR contains(lower(text), 'etion') THEN 'Please contact a qualified electrician or our support team.' WHEN contains(lower(text), 'erheit') OR contains(lower(text), 'ingth') THEN 'Please contact a qualified technician or our support team immediately.' ELSE 'Please contact our support team.' END")
 on_text("sentence_count", lambda: F.size(cite.sentences("text")).cast("long"), "len(string_split(regexp_replace(text, '([.!?])[ \\t-\\r]+', '\\1' || chr(1), 'g'), chr(1)))::BIGINT")
 
 
@@ -332,7 +341,6 @@ def support_type(spark, d):
     return documents(spark, d).select("doc_id", R.support_type("source", "lang", "text", pdf, TEST_TYPES, TEST_LATE).alias("support_type"), R.support_type("source", "lang", "text", pdf).alias("default_type"))
 
 
-TEST_SAFETY: R.Rules = [("electrical", ["shand", "etion"]), ("gas", ["erheit", "ingth"])]
 SPACED_TEXT = "' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' '"
 
 
@@ -361,9 +369,26 @@ def chunk_length_stats(spark, d):
     return n.agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.round(F.stddev("n"), 4).alias("sd"))
 
 
-@query()
+HEADING_LINE = r"'^(#{1,6})\s+(.*)'"
+
+
+@query(f"""WITH l AS (SELECT doc_id, source, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents) x),
+h AS (SELECT doc_id, pos, [length(regexp_extract(line, {HEADING_LINE}, 1))::VARCHAR, {STRIP(f"regexp_extract(line, {HEADING_LINE}, 2)")}] AS h FROM l WHERE regexp_matches(line, {HEADING_LINE})),
+g AS (SELECT doc_id, list(h ORDER BY pos) AS hs, list(pos ORDER BY pos) AS ps FROM h GROUP BY doc_id),
+k AS (SELECT doc_id, hs, ps, unnest(range(1, len(hs) + 1)) AS k FROM g),
+hp AS (SELECT doc_id, ps[k] AS pos, array_to_string(list_reduce(list_concat([[]::VARCHAR[]], hs[1:k]), lambda acc, y: list_append(acc[1:y[1]::INTEGER - 1], y[2])), ' > ') AS path FROM k),
+lp AS (SELECT l.*, coalesce(last_value(hp.path IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS UNBOUNDED PRECEDING), 'Untitled') AS path FROM l LEFT JOIN hp ON hp.doc_id = l.doc_id AND hp.pos = l.pos),
+s AS (SELECT doc_id, source, path, min(pos) AS f, {STRIP("string_agg(line, chr(10) ORDER BY pos)")} AS t FROM lp GROUP BY doc_id, source, path),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS section FROM s),
+w AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY section) = 1 OR len({WORDS('t')}) >= 22 THEN 1 ELSE 0 END AS st FROM n WHERE t <> ''),
+m AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY section) AS grp FROM w),
+q AS (SELECT doc_id, source, min(section) AS section, arg_min(path, section) AS path, string_agg(t, chr(10) ORDER BY section) AS t FROM m GROUP BY doc_id, source, grp),
+i AS (SELECT *, substr(sha256(source || '|' || path || '|' || section), 1, 16) AS id, {WORDS('t')} AS words FROM q),
+c AS (SELECT *, unnest(range(0, greatest(ceil((len(words) - 300) / 255.0), 0)::BIGINT + 1)) AS k FROM i WHERE len(words) > 384)
+SELECT doc_id, id AS chunk_id, path AS heading_path, t AS chunk_text, 'structure_aware' AS strategy FROM i WHERE len(words) <= 384
+UNION ALL SELECT doc_id, id || '__sub' || k, path, array_to_string(words[k * 255 + 1:k * 255 + 300], ' '), 'structure_aware' FROM c""")
 def structure_chunks(spark, d):
-    return chunking.structure_chunks(documents(spark, d), "source")
+    return chunking.structure_chunks(documents(spark, d), "source").drop("place")
 
 
 # ---- deduplication, manifests, sets
@@ -515,9 +540,150 @@ def html_extract(spark, d):
     return pages.select("page_id", U.html_markdown("html", "url").alias("m")).select("page_id", "m.*", F.contains("m.body", F.lit("|---")).alias("has_table"))
 
 
-@query()
+@query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def incremental_documents(spark, d):
     """New documents by a file stream, each content once across batches."""
     from docloom.streaming.incremental import stream_documents
 
     return stream_documents(spark, f"{d}/documents.parquet")
+
+
+# ---- requests and stages
+
+RETRIEVE_CTE = FUSED_CTE.replace("q.vec_id % 100 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)").replace("query_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0)", "true") + f""",
+rh AS (SELECT f.*, d.text, d.source, list_distinct({TOKENS('b.text')}) AS q, list_distinct({TOKENS('d.text')}) AS t FROM fused f JOIN documents d ON d.doc_id = f.id JOIN benchmark b ON b.item_id = f.query_id),
+rt AS (SELECT query_id, id, text, source, dense_score, bm25_score, hybrid_score, rank, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, t))::DOUBLE / len(q), 6) ELSE 0 END AS final_score FROM rh),
+ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, rank)::INTEGER AS rank_after FROM rt)"""
+
+
+def retrieved(spark, d, final_k: int = 5) -> DataFrame:
+    """Every benchmark text, with the vector of its id as its embedding."""
+    asked = questions(spark, d).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    texts = documents(spark, d).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("url"))
+    return service.retrieve(bm25_index(spark, d), read(spark, d, "embeddings"), texts, asked, final_k=final_k)
+
+
+@query(f"WITH {RETRIEVE_CTE} SELECT * EXCLUDE (text, source) FROM ra WHERE rank_after <= 5")
+def retrieve_documents(spark, d):
+    return retrieved(spark, d).drop("text", "url")
+
+
+@query(f"WITH {RETRIEVE_CTE} SELECT query_id, rank_after AS rank, id::VARCHAR AS chunk_id, text, source AS source_url, final_score AS post_rerank_score FROM ra WHERE rank_after <= 3")
+def passage_projection(spark, d):
+    return service.passages(retrieved(spark, d), 3)
+
+
+@query()
+def extractive_answer(spark, d):
+    """The offline answer step on the first passages of each query."""
+    return service.extract_answer(service.passages(retrieved(spark, d), 3), questions(spark, d))
+
+
+@query(f"WITH {DENSE_CTE}, t AS ({DENSE_TOP.format('', 5)}) SELECT query_id, vec_id, round(1 - (1 - score), 6) AS similarity FROM t")
+def distance_similarity(spark, d):
+    hits = search.dense(read(spark, d, "embeddings"), vector_questions(spark, d), 5)
+    return hits.select("query_id", "vec_id", F.round(T.similarity(1 - F.col("score")), 6).alias("similarity"))
+
+
+def requests(spark, d) -> DataFrame:
+    """The last turn of each conversation as a request, the turns before it as its history."""
+    h = F.col("history")
+    return conversation_rows(spark, d).select("conv_id", F.element_at(h, -1)["text"].alias("query"), F.slice(h, 1, F.size(h) - 1).alias("history"))
+
+
+@query(f"""WITH {GATE_SQL} SELECT conv_id, topic AND len(hist) = 0 AS needs_clarification, CASE WHEN topic AND len(hist) = 0 THEN 'Which brand and model is it, and what kind of appliance?' ELSE 'The query can be answered.' END AS message,
+  CASE WHEN topic AND len(hist) = 0 THEN 'x,y' END AS suggestions FROM z""")
+def clarify(spark, d):
+    rows = service.clarified(requests(spark, d), TEST_TABLES, ["x", "y"])
+    return rows.select("conv_id", "needs_clarification", "message", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query(f"""WITH g AS (SELECT conv_id, decision FROM ({ORACLE_SQL['answer_decision']}) x), {HISTORY_CTE},
+r AS (SELECT h.conv_id, decision, m[-1].t AS q FROM h JOIN g ON g.conv_id = h.conv_id)
+SELECT conv_id, decision, CASE decision WHEN 'need_specifications' THEN 'Which brand and model is it, and what kind of appliance?' WHEN 'need_brand' THEN 'Please tell me the brand and model of the appliance.'
+  WHEN 'no_passages' THEN 'I found nothing on this question.' WHEN 'low_confidence' THEN 'I have no reliable information on this question.' WHEN 'safety' THEN 'Please call.' ELSE 'Draft ' || conv_id END AS answer,
+  decision IN ('no_passages', 'low_confidence') AS refusal, CASE decision WHEN 'no_passages' THEN 'No relevant documents found in retrieval' WHEN 'low_confidence' THEN 'Low confidence' END AS refusal_reason,
+  decision = 'safety' AS safety_flag, CASE WHEN decision = 'safety' THEN 's' END AS safety_category FROM r""")
+def query_response(spark, d):
+    rows = requests(spark, d).select("conv_id", "query").join(answer_decision(spark, d), "conv_id").withColumn("drafted", F.concat(F.lit("Draft "), F.col("conv_id").cast("string")))
+    return service.answered(rows, {"s": "Please call."}, TEST_TABLES["safety"]).drop("query", "drafted")
+
+
+@query(f"""WITH {HISTORY_CTE}, x AS (SELECT conv_id, m[-1].t AS q, m[:len(m) - 1] AS b FROM h),
+y AS (SELECT conv_id, q, array_to_string(list_transform(list_filter(b[-6:], lambda x: {STRIP('x.t')} <> ''), lambda x: upper(x.r[1]) || x.r[2:] || ': ' || {STRIP('x.t')}), chr(10)) AS told, len(list_filter(b, lambda x: x.r = 'assistant')) AS n FROM x)
+SELECT conv_id, 'C: ' || told || ' Q: ' || CASE WHEN told = '' THEN q ELSE 'History:' || chr(10) || told || chr(10) || chr(10) || 'Latest: ' || q || chr(10) || chr(10) || CASE WHEN n >= 2 THEN 'Conclude and name the next action.' ELSE 'Ask one next question or give the next step.' END END || '.' AS prompt FROM y""")
+def prompt_render(spark, d):
+    return requests(spark, d).select("conv_id", service.prompt(dialog.history_text(F.col("history")), service.question_text(F.col("query"), F.col("history"), 2), "C: {context} Q: {question}.").alias("prompt"))
+
+
+WHOLE = lambda names: f"regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({names})([^A-Za-z0-9_]|$)')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {WHOLE('whirlpool')} THEN 'Whirlpool' WHEN {WHOLE('ge|ge appliances|general electric')} THEN 'GE Appliances' END AS brand, CASE WHEN {WHOLE('the')} THEN 'a' WHEN {WHOLE('und|le')} THEN 'b' END AS test_brand,
+  len(regexp_split_to_array(text, '{WS}+')) >= 3 AND {WHOLE('the|und|le')} AND {WHOLE('of|der|de la')} AS issue FROM documents""")
+def client_rules(spark, d):
+    return documents(spark, d).select("doc_id", R.whole_word_category("text", R.CLIENT_BRANDS).alias("brand"), R.whole_word_category("text", [("a", ["the"]), ("b", ["und", "le"])]).alias("test_brand"), R.client_issue("text", ["the", "und", "le"], ["of", "der", "de la"]).alias("issue"))
+
+
+@query("""SELECT doc_id, '{"strategy":"fixed","heading_path":"","url":"' || source || '","brand":"' || lang || '","category":"","title":"","page_type":"general_support","has_table":"' || CASE WHEN contains(text, '|---') THEN 'True' ELSE 'False' END || '"}' AS metadata FROM documents""")
+def metadata_maps(spark, d):
+    none = F.lit(None).cast("string")
+    rows = documents(spark, d).withColumns({"strategy": F.lit("fixed"), "heading_path": none, "url": F.col("source"), "brand": F.col("lang"), "category": F.lit(""), "title": none, "page_type": none, "has_table": F.contains("text", F.lit("|---"))})
+    return rows.select("doc_id", F.to_json(T.metadata_map()).alias("metadata"))
+
+
+@query("""WITH i AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'z' END AS c, CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'test' END AS s, item_id % 5 > 0 AS v FROM benchmark),
+n AS (SELECT 'total' AS section, 'items' AS name, count(*) AS found, 40::BIGINT AS expected FROM i UNION ALL
+  SELECT 'category', e.n, (SELECT count(*) FROM i WHERE c = e.n), e.x FROM (VALUES ('a', 14::BIGINT), ('b', 20)) e(n, x) UNION ALL
+  SELECT 'split', e.n, (SELECT count(*) FROM i WHERE s = e.n), e.x FROM (VALUES ('dev', 20::BIGINT), ('test', 20)) e(n, x) UNION ALL
+  SELECT 'rules', 'items with problems', count(*) FILTER (WHERE c = 'z'), 0 FROM i UNION ALL SELECT 'rules', 'repeated ids', count(*), 0 FROM (SELECT item_id FROM i GROUP BY 1 HAVING count(*) > 1) x UNION ALL
+  SELECT 'review', 'not verified', count(*) FILTER (WHERE NOT v), 0 FROM i)
+SELECT *, found = expected AS ok FROM n""")
+def golden_report(spark, d):
+    i = F.col("item_id")
+    items = read(spark, d, "benchmark").select(i.alias("id"), F.when(i % 3 == 0, "a").when(i % 3 == 1, "b").otherwise("z").alias("category"), F.when(i % 2 == 0, "dev").otherwise("test").alias("split"), (i % 5 > 0).alias("human_verified"), F.when(i % 3 == 2, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("problems"))
+    return evaluation.report(items, 40, {"a": 14, "b": 20}, {"dev": 20, "test": 20})
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'missing fields: human_verified, split' WHEN item_id % 4 = 1 THEN 'human_verified must be true or false; source_urls must be a list' ELSE '' END AS problems FROM benchmark""")
+def field_validation(spark, d):
+    i = F.col("item_id")
+    base = '{"id":"x","query":"q","category":"c","expected_category":"c","gold_answer":"g","evidence_quotes":[],"searched_terms":["a"]'
+    item = F.when(i % 4 == 0, base + ',"source_urls":[]}').when(i % 4 == 1, base + ',"source_urls":"u","split":"dev","human_verified":"yes"}').otherwise(base + ',"source_urls":["u"],"split":"dev","human_verified":true}')
+    return read(spark, d, "benchmark").select("item_id", F.array_join(evaluation.field_problems(item), "; ").alias("problems"))
+
+
+@query("""WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT url, count(*) AS n, bool_and(CASE WHEN length(host) % 3 = 0 THEN true WHEN length(host) % 3 = 1 THEN NOT path LIKE '/en/%' OR path LIKE '/en/a%' ELSE false END) AS allowed FROM u GROUP BY url""")
+def robots_gate(spark, d):
+    """Rules for every host; a host's answer follows from its length."""
+    pages = read(spark, d, "pages").select("url")
+    hosts = pages.select(F.parse_url("url", F.lit("HOST")).alias("host")).distinct()
+    rules = hosts.select("host", F.inline(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(a).alias("allow")) for p, a in (("/en/", False), ("/en/a", True))))))
+    answers = hosts.select("host", F.element_at(F.array(F.lit(404), F.lit(200), F.lit(500)), F.length("host") % 3 + 1).alias("status"))
+    return stages.robots_gate(pages.distinct(), rules, answers).join(pages.groupBy("url").agg(F.count("*").alias("n")), "url")
+
+
+def stage_records(spark, d) -> DataFrame:
+    """The documents as extracted pages."""
+    none = F.lit(None).cast("string")
+    return documents(spark, d).select(none.alias("url"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("source_url"), F.col("source").alias("brand"), F.col("lang").alias("category"), none.alias("title"), F.contains("text", F.lit("|---")).alias("has_table"), none.alias("page_type"), F.lit("ok").alias("status"), "text")
+
+
+@query()
+def clean_stage(spark, d):
+    done = read(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.lit("ok").alias("status"))
+    return stages.cleaned(stage_records(spark, d), done)
+
+
+@query()
+def chunk_stage(spark, d):
+    """Both strategies on the documents, each content once, no near duplicates of the last 50 kept."""
+    return stages.chunked(stage_records(spark, d).withColumn("url", F.col("source_url")))
+
+
+@query()
+def index_rebuild(spark, d):
+    """The vector table of the documents' fixed chunks."""
+    chunks = stages.fixed_with_metadata(stage_records(spark, d).withColumn("url", F.col("source_url")))
+    return stages.rebuild_index(chunks, Scratch(spark, "vectors").path("table"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.text import url_hash
+
 MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "source_url", "brand", "category", "status", "content_hash", "title", "page_type", "error")])
 
 
@@ -36,11 +38,11 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def json_items(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Items of a file that holds an array or an object with `items`."""
+    """Items of a file that holds an array or an object with `items`; another kind of file is an error."""
     text = spark.read.text(path, wholetext=True).select("value")
     whole = T.ArrayType(schema)
     inner = T.StructType([T.StructField("items", whole)])
-    items = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", whole)), F.from_json("value", inner)["items"])
+    items = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", whole)), F.from_json("value", inner)["items"], F.raise_error(F.lit("no array of items")).cast(whole))
     return text.select(F.inline(items))
 
 
@@ -61,6 +63,26 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy").parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_chunks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The chunk table; no rows if there is none yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, id_column: str = "id") -> DataFrame:
+    """The vector table without the ids given."""
+    return rows.join(ids.select(id_column), id_column, "left_anti")
+
+
+def write_blobs(rows: DataFrame, path: str) -> None:
+    """Raw pages (url, content, is_pdf, brand, category) under brand and category, named by the address."""
+    rows.withColumn("name", F.concat(url_hash("url"), F.when(F.col("is_pdf"), ".pdf").otherwise(".html"))).write.mode("append").partitionBy("brand", "category").parquet(path)
+
+
 def vector_store(rows: DataFrame, dimension: int, id_column: str = "id", embedding: str = "embedding") -> DataFrame:
     """rows, failing on a vector of another dimension or a repeated id."""
     checked = rows.withColumn(embedding, F.when(F.size(embedding) == dimension, F.col(embedding)).otherwise(F.raise_error(F.lit(f"dimension is not {dimension}"))))
