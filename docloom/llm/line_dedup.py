@@ -39,7 +39,9 @@ from docloom.llm.wordhash import let_go, mix, powers, text_slices, windows, word
 
 WIDTH = 5
 #: Length of the list of frequent shingles; counts that a task holds; shingles it gathers before it counts.
-FREQUENT, HELD, GATHERED = 1 << 15, 1 << 19, 1 << 20
+FREQUENT, HELD, GATHERED = 1 << 15, 1 << 19, 1 << 21
+#: In a sort key: bits of the token, and of the token and its rank among FREQUENT.
+_RANK_AT, _LINE_AT = 30, 46
 #: A line is hot if it is more than one in so many of all lines.
 HOT_PART = 2000
 #: A line's comparisons are dealt out to so many tasks.
@@ -79,11 +81,9 @@ class _Lines:
         return line[at], found[at]
 
 
-def _merged(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(values)
-    values, counts = values[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where sorted values change, the first place included."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]]))
 
 
 class _Counts:
@@ -99,8 +99,12 @@ class _Counts:
             self.settle(HELD)
 
     def settle(self, most: int) -> None:
-        new = np.concatenate([self.values, *self.new])
-        self.values, self.counts = _merged(new, np.concatenate([self.counts, np.ones(len(new) - len(self.values), np.int64)]))
+        new = np.sort(np.concatenate(self.new)) if self.new else np.zeros(0, np.uint64)
+        at = _starts(new)
+        values, counts = np.concatenate([self.values, new[at]]), np.concatenate([self.counts, np.diff(np.append(at, len(new)))])
+        order = np.argsort(values, kind="stable")  # two sorted runs
+        values, at = values[order], _starts(values[order])
+        self.values, self.counts = values[at], np.add.reduceat(counts[order], at) if len(at) else counts
         self.new, self.n = [], 0
         if len(self.values) > most:
             kept = np.sort(np.argpartition(-self.counts, most)[:most])
@@ -144,10 +148,16 @@ def token_sets(lines: _Lines, width: int, use: np.ndarray, frequent: np.ndarray)
     rank = np.zeros(len(token), np.int64)
     if len(frequent):
         by = np.argsort(frequent)
-        at = np.minimum(np.searchsorted(frequent[by], token), len(frequent) - 1)
-        rank = np.where(frequent[by][at] == token, by[at] + 1, 0)
-    order = np.argsort(token)
-    order = order[np.argsort((line * (FREQUENT + 1) + rank)[order], kind="stable")]
+        known = frequent[by]
+        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+        rank = np.where(known[at] == token, by[at] + 1, 0)
+    # lines of at least width words are few enough in a stretch; the upper half of a token nearly always decides
+    near = np.zeros(len(lines.row), np.int64)
+    near[line] = 1
+    key = ((np.cumsum(near) - 1)[line].astype(np.uint64) << np.uint64(_LINE_AT)) | (rank.astype(np.uint64) << np.uint64(_RANK_AT)) | (token >> np.uint64(64 - _RANK_AT))
+    order = np.argsort(key)
+    if int(near.sum()) >> (64 - _LINE_AT) or ((key[order][1:] == key[order][:-1]) & (token[order][1:] != token[order][:-1])).any():
+        order = np.lexsort((token, rank, line))
     line, token = line[order], token[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
