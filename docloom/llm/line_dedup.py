@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.scratch import Scratch
-from docloom.llm.wordhash import let_go, mix, powers, text_slices, windows, word_hashes, words
+from docloom.llm.wordhash import let_go, mix, powers, text_slices, trim, windows, word_hashes, words
 
 WIDTH = 5
 #: Length of the list of frequent shingles; counts that a task holds; shingles it gathers before it counts.
@@ -134,6 +134,8 @@ def _surveyed(width: int):
         yield pa.RecordBatch.from_arrays(
             [none, none, pa.array(np.full(n, -1, np.int32)), pa.array(seen.values[often].view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(seen.counts[often])], names=[*_ORDER, "k1", "k2", "c"]
         )
+        del seen
+        trim()
 
     return run
 
@@ -204,6 +206,7 @@ def _prefixes(percent: int, width: int, frequent: list[int], hot: dict[tuple, tu
                     ],
                     names=["t", "k1", "k2", "n", "at"],
                 )
+        trim()
 
     return run
 
