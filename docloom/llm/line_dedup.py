@@ -1,243 +1,89 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words (all words as one, if fewer), as 64-bit
-hashes in one order for all lines: tokens that are not frequent first, by their hash, then the
-frequent ones, the most frequent last. Two lines of n and m tokens with Jaccard index t share at
-least o = t / (1 + t) * (n + m) tokens, hence a token among the first n - o + 1 of one and the first
-m - o + 1 of the other (prefix filter), whose places leave room for o common tokens (positional
-filter), and their sizes differ little (length filter). Prefixes that share too few tokens for o are
-given up, and what remains is verified on whole token sets. Sets of 3 tokens at most need an equal
-set and meet by the set's hash. A line that matches an earlier one, by (document id, text hash,
-place), goes.
-
-Rarity. Every task counts the shingles of all its lines, keeps the FREQUENT commonest of its counts
-and hands on those of two and more; their sums over all tasks give the FREQUENT commonest of the
-corpus, a list of bounded size. What it leaves out costs time only: any order gives the same lines.
-
-Scale. Equal lines are one line from the first aggregation on. A line that makes up more than one in
-2,000 of all (2,000 at most) enters the token exchange by its first occurrence only, once a task.
-Tokens of one line alone go before any join; each line is compared with the earliest line of its
-tokens first, and only lines that this does not remove meet the rest.
-
-Style. Words are hashed and tokens ordered in numpy on Arrow batches, the joins are DataFrame
-operations. A form of DataFrame functions alone computed shingles in interpreted lambdas and did
-not meet the check tool's limits (see README).
+A line's tokens are its distinct shingles of five words (all words as one, if fewer), as 56-bit
+hashes led by a rarity class, so that sorting a line's tokens puts rare ones first in one order for
+all lines. Two lines of n and m tokens with Jaccard index t share at least o = t / (1 + t) * (n + m)
+tokens, hence a token among the first n - o + 1 of one and the first m - o + 1 of the other (prefix
+filter), whose places leave room for o common tokens (positional filter), and their sizes differ
+little (length filter). What remains is verified on whole token sets. Sets of 3 tokens at most need
+an equal set and meet by the set's hash. A line that matches an earlier one, by (document id, text
+hash, place), goes.
+
+Rarity. A sketch of frequent items runs over the shingles of all lines, one for each of SKETCHES
+groups of tasks and then over these, in bounded memory. The FREQUENT commonest shingles mark the
+131,072 buckets of hashes they fall into with the class of their count; tokens of other buckets are
+of class 0 and first in the order. A rare token in a marked bucket comes late, and what the sketch
+misses comes early: both cost time only, as any order gives the same lines.
+
+Scale. Equal lines are one line from the first aggregation on. Lines that make up more than one in
+2,000 of all (2,000 at most) enter the token exchange by their first occurrence only. Tokens of one
+line alone go before any join; each line is compared with the earliest line of its tokens first,
+and only lines that this does not remove meet the rest.
+
+Main path: DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.scratch import Scratch
-from docloom.llm.wordhash import let_go, mix, powers, text_slices, trim, windows, word_hashes, words
 
 WIDTH = 5
-#: Length of the list of frequent shingles; counts that a task holds; shingles it gathers before it counts.
-FREQUENT, HELD, GATHERED = 1 << 15, 1 << 19, 1 << 21
-#: In a sort key: bits of the token, and of the token and its rank among FREQUENT.
-_RANK_AT, _LINE_AT = 30, 46
+BUCKETS = 1 << 17
+#: Frequent shingles that order tokens, items that a sketch tracks, sketches that are merged in the end.
+FREQUENT, TRACKED, SKETCHES = 1 << 14, 1 << 16, 64
 #: A line is hot if it is more than one in so many of all lines.
 HOT_PART = 2000
-#: A line's comparisons are dealt out to so many tasks.
-SALTS = 64
 _SPACE = " \t\n\x0b\x0c\r"
 _ORDER = ["doc_id", "h", "pos"]
 _PAIR = ["x_k1", "x_k2", "y_k1", "y_k2"]
-_OTHER = np.uint64(0xA0761D6478BD642F)
-
-
-class _Lines:
-    """The lines of a stretch of lower-cased texts: row and place of each, its words' hashes and its own."""
-
-    def __init__(self, offsets: np.ndarray, data: np.ndarray):
-        ends = np.flatnonzero(data == 10)
-        row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, ends, "right") - 1])
-        start = np.concatenate([offsets[:-1], ends + 1])
-        order = np.lexsort((start, row))
-        self.row = row[order]
-        self.pos = (np.arange(len(row)) - np.searchsorted(self.row, self.row)).astype(np.int32)
-        starts, stops, self.first = words(np.append(start[order], len(data)), data)
-        self.hashes = word_hashes(data, starts, stops, fold=False)
-        self.size = np.diff(self.first)
-        self.k1 = self._sequence(self.hashes).view(np.int64)
-        self.k2 = (self._sequence(mix(self.hashes + _OTHER)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-    def _sequence(self, hashes: np.ndarray) -> np.ndarray:
-        up, down = powers(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        return mix((total[self.first[1:]] - total[self.first[:-1]]) * down[self.first[:-1]] + self.size.astype(np.uint64))
-
-    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(line, hash) of all shingles of lines of at least width words."""
-        line, found = np.repeat(np.arange(len(self.row)), self.size), windows(self.hashes, width)
-        at = np.flatnonzero(line[: len(found)] == line[width - 1 :]) if len(found) else np.zeros(0, np.int64)
-        return line[at], found[at]
-
-
-def _starts(values: np.ndarray) -> np.ndarray:
-    """Where sorted values change, the first place included."""
-    return np.flatnonzero(np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]]))
-
-
-class _Counts:
-    """Counts of hashes; when more than HELD differ, the commonest of them go on."""
-
-    def __init__(self):
-        self.values, self.counts, self.new, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-    def add(self, hashes: np.ndarray) -> None:
-        self.new.append(hashes)
-        self.n += len(hashes)
-        if self.n >= GATHERED:
-            self.settle(HELD)
-
-    def settle(self, most: int) -> None:
-        new = np.sort(np.concatenate(self.new)) if self.new else np.zeros(0, np.uint64)
-        at = _starts(new)
-        values, counts = np.concatenate([self.values, new[at]]), np.concatenate([self.counts, np.diff(np.append(at, len(new)))])
-        order = np.argsort(values, kind="stable")  # two sorted runs
-        values, at = values[order], _starts(values[order])
-        self.values, self.counts = values[at], np.add.reduceat(counts[order], at) if len(at) else counts
-        self.new, self.n = [], 0
-        if len(self.values) > most:
-            kept = np.sort(np.argpartition(-self.counts, most)[:most])
-            self.values, self.counts = self.values[kept], self.counts[kept]
-
-
-def _surveyed(width: int):
-    """doc_id, h, text to a row for each line with a word, and rows of pos -1 with shingles (k1) and counts (c)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        seen = _Counts()
-        for batch in batches:
-            for row, offsets, data in text_slices(batch.column(2)):
-                lines = _Lines(offsets, data)
-                has = np.flatnonzero(lines.size > 0)
-                at = pa.array(lines.row[has] + row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.pos[has]), pa.array(lines.k1[has]), pa.array(lines.k2[has]), pa.array(np.ones(len(has), np.int64))],
-                    names=[*_ORDER, "k1", "k2", "c"],
-                )
-                seen.add(lines.shingles(width)[1])
-        seen.settle(FREQUENT)
-        often = seen.counts > 1
-        n = int(often.sum())
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, pa.array(np.full(n, -1, np.int32)), pa.array(seen.values[often].view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(seen.counts[often])], names=[*_ORDER, "k1", "k2", "c"]
-        )
-        del seen
-        trim()
-
-    return run
-
-
-def token_sets(lines: _Lines, width: int, use: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, token) of the distinct tokens of lines of at least width words, each line's in the common
-    order. frequent: hashes, the most frequent last; they come after all others, in this order."""
-    line, token = lines.shingles(width)
-    if not use.all():
-        kept = use[line]
-        line, token = line[kept], token[kept]
-    rank = np.zeros(len(token), np.int64)
-    if len(frequent):
-        by = np.argsort(frequent)
-        known = frequent[by]
-        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-        rank = np.where(known[at] == token, by[at] + 1, 0)
-    # lines of at least width words are few enough in a stretch; the upper half of a token nearly always decides
-    near = np.zeros(len(lines.row), np.int64)
-    near[line] = 1
-    key = ((np.cumsum(near) - 1)[line].astype(np.uint64) << np.uint64(_LINE_AT)) | (rank.astype(np.uint64) << np.uint64(_RANK_AT)) | (token >> np.uint64(64 - _RANK_AT))
-    order = np.argsort(key)
-    if int(near.sum()) >> (64 - _LINE_AT) or ((key[order][1:] == key[order][:-1]) & (token[order][1:] != token[order][:-1])).any():
-        order = np.lexsort((token, rank, line))
-    line, token = line[order], token[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    return line[new], token[new]
-
-
-def _few(percent: int) -> int:
-    """Sets of fewer tokens (and of 3 at most) can be matched by an equal set only."""
-    return min(math.ceil(percent / (100 - percent)) if percent < 100 else 1, 4)
-
-
-def _prefixes(percent: int, width: int, frequent: list[int], hot: dict[tuple, tuple]):
-    """doc_id, h, text to t, k1, k2, n, at: the tokens of each line's prefix and their places; for small
-    sets the hash of the set, at place -1. hot: the first occurrence of each hot line."""
-    frequent_, hot_keys = np.array(frequent, np.int64).view(np.uint64), np.array(sorted({k for k, _ in hot}), np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        given: set[tuple] = set()
-        for batch in batches:
-            for start, offsets, data in text_slices(batch.column(2)):
-                lines = _Lines(offsets, data)
-                use = np.ones(len(lines.row), bool)
-                for i in np.flatnonzero(np.isin(lines.k1, hot_keys)).tolist() if len(hot_keys) else []:
-                    key = int(lines.k1[i]), int(lines.k2[i])
-                    if key in hot:
-                        at = int(lines.row[i]) + start
-                        use[i] = key not in given and hot[key] == (batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), int(lines.pos[i]))
-                        if use[i]:
-                            given.add(key)
-                line, token = token_sets(lines, width, use, frequent_)
-                own, first, n = np.unique(line, return_index=True, return_counts=True)
-                at = np.arange(len(line)) - np.repeat(first, n)
-                few = n < _few(percent)
-                good = np.repeat(~few, n) & (at < np.repeat(n - (n * percent + 99) // 100 + 1, n))
-                whole = np.add.reduceat(mix(token), first) if len(first) else token
-                small = np.flatnonzero(few)
-                lone = own[small]
-                both = np.concatenate([line[good], lone])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([token[good], mix(whole[small] + n[small].astype(np.uint64))]).view(np.int64)), pa.array(lines.k1[both]), pa.array(lines.k2[both]),
-                        pa.array(np.concatenate([np.repeat(n, n)[good], n[small]]).astype(np.int32)), pa.array(np.concatenate([at[good], np.full(len(small), -1)]).astype(np.int32)),
-                    ],
-                    names=["t", "k1", "k2", "n", "at"],
-                )
-        trim()
-
-    return run
-
-
-def _matched(percent: int, width: int):
-    """Rows (y1, y2, salt, x1, x2, line), sorted, the line of y itself (x1 null) first: the x that match."""
-    none = np.zeros(0, np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, none
-        for batch in batches:
-            cols, out = [batch.column(i).to_pylist() for i in range(5)], []
-            for start, offsets, data in text_slices(batch.column(5)):
-                # a row is one line
-                lines = _Lines(offsets, data)
-                line, token = token_sets(lines, width, np.ones(len(lines.row), bool), none)
-                ends = np.searchsorted(line, np.arange(len(lines.row) + 1))
-                for i in range(len(lines.row)):
-                    y1, y2, salt, x1, x2 = (c[start + i] for c in cols)
-                    found = token[ends[i] : ends[i + 1]]
-                    if key != (y1, y2, salt):
-                        key, own = (y1, y2, salt), none
-                    if x1 is None:
-                        own = found
-                        continue
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if both and 100 * both >= percent * (len(own) + len(found) - both):
-                        out.append((x1, x2))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int32())], names=["k1", "k2"])
-
-    return run
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row: the optimizer would copy a plain projection
+    into every use of it, even for each element inside a lambda function."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _words(line: Column) -> Column:
+    return F.split(F.lower(F.btrim(line, F.lit(_SPACE))), "[ \\t-\\r]+")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, h, pos, w, k1, k2: every line with a word, its lower-cased words and two hashes of them."""
+    body = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.btrim("line", F.lit(_SPACE)) != "")
+    rows = _once(body, "w", _words(F.col("line")))
+    return rows.select("doc_id", "h", "pos", "w", F.xxhash64("w").alias("k1"), F.hash("w").alias("k2"))
+
+
+def _classes(lines: DataFrame, width: int) -> str:
+    """The rarity class of each bucket of hashes, as a list with commas."""
+    # the places are exploded, not the hashes, so that hashing runs in generated code
+    placed = lines.where(F.size("w") >= width).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("i"))
+    shingles = placed.select(F.xxhash64(*(F.get(F.col("w"), F.col("i") + k) for k in range(width))).alias("t"))
+    # grouped by a constant in the end, as the function fails on no rows at all
+    some = shingles.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(t, {TRACKED})").alias("s"))
+    top = some.groupBy(F.lit(1).alias("g")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.inline(F.expr(f"approx_top_k_estimate(s, {FREQUENT})")))
+    found = [0] * BUCKETS
+    for item, count in top.where("count > 1").collect():  # FREQUENT rows at most
+        found[item & (BUCKETS - 1)] = max(found[item & (BUCKETS - 1)], min(126, int(4 * math.log2(count))))
+    return ",".join(map(str, found))
+
+
+def _hashes(width: int) -> Column:
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.xxhash64(*(F.get(F.col("w"), i + k) for k in range(width))))
+    return F.when(F.size("w") >= width, each).otherwise(F.array(F.xxhash64("w")))
+
+
+def _tokens(rows: DataFrame, classes: str, width: int) -> DataFrame:
+    """rows with tok: the line's distinct tokens, rare first."""
+    table = F.split(F.lit(classes), ",").cast("array<bigint>")
+    token = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
+    return _once(rows, "tok", F.sort_array(F.array_distinct(F.transform(_hashes(width), token))))
 
 
 def _share(percent: int, n: Column) -> Column:
@@ -253,26 +99,29 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     """(first, gone) for docs of doc_id, h (the text's hash) and text, no nulls in the last: the first
     occurrence of each distinct line, as k1, k2, doc_id, h, pos, and the k1, k2 of lines of which an
     earlier different line is a match."""
-    low = docs.select("doc_id", "h", F.lower("text").alias("text"))
-    rows = scratch.keep(low.mapInArrow(_surveyed(width), "doc_id long, h long, pos int, k1 long, k2 int, c long"), "lines")
+    lines = _lines(docs)
     order = F.struct(*_ORDER)
-    seen = rows.where("pos >= 0").groupBy("k1", "k2").agg(F.min(order).alias("o"), F.count("*").alias("c"))
+    seen = lines.groupBy("k1", "k2").agg(F.min(order).alias("o"), F.count("*").alias("c"))
     first = scratch.keep(seen.select("k1", "k2", *(F.col(f"o.{x}").alias(x) for x in _ORDER), "c"), "first")
-    # a list of bounded size, the most frequent last
-    top = rows.where("pos < 0").groupBy("k1").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k1").limit(FREQUENT).collect()
-    frequent = [r["k1"] for r in reversed(top)]
-    scratch.drop("lines")
+    classes = _classes(lines, width)
     total = first.agg(F.sum("c")).first()[0] or 0
     # at most HOT_PART rows
-    hot = {(r["k1"], r["k2"]): (r["doc_id"], r["h"], r["pos"]) for r in first.where(F.col("c") * HOT_PART > total).collect()}
-
+    hot = first.where(F.col("c") * HOT_PART > total).select("k1", "k2", order.alias("only"))
+    once = lines.join(F.broadcast(hot), ["k1", "k2"], "left").where(F.col("only").isNull() | (F.col("only") == order))
+    once = _tokens(once.where(F.size("w") >= width), classes, width).withColumn("n", F.size("tok"))
+    # fewer tokens can be matched by an equal set only, whose hash is then the one token; for sizes of 4 and more sets may differ
+    least = math.ceil(percent / (100 - percent)) if percent < 100 else 1
+    few = F.col("n") < min(least, 4)
+    # unequal lines have an equal set of 3 tokens at most only if their shingles go round in a circle, so that words come again
+    once = once.where(~few | (F.size(F.array_distinct("w")) < F.size("w")))
+    prefix = F.when(few, F.array(F.xxhash64("tok"))).otherwise(F.slice("tok", F.lit(1), F.col("n") - _share(percent, F.col("n")) + 1))
     # one exchange, by token; a token of one line alone goes there
-    prefix = low.mapInArrow(_prefixes(percent, width, frequent, hot), "t long, k1 long, k2 int, n int, at int")
+    prefix = once.select("k1", "k2", "n", F.posexplode(prefix).alias("at", "t"))
     of = Window.partitionBy("t")
     spread = prefix.select("*", *(f(c).over(of).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("lo", F.min), ("hi", F.max))))
     rows = spread.where("lo_k1 <> hi_k1 OR lo_k2 <> hi_k2").select("t", "k1", "k2", "n", "at").distinct()
     rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "shared")
-    equal, rows = rows.where("at < 0"), rows.where("at >= 0")
+    equal, rows = rows.where(few), rows.where(~few)
     earliest = equal.groupBy("t", "n").agg(F.min("o").alias("o_"))
     repeats = equal.join(earliest, ["t", "n"]).where(F.col("o") > F.col("o_")).select("k1", "k2")
 
@@ -281,48 +130,46 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     # of the earliest lines of its tokens a line is held against the one of most tokens
     best = F.row_number().over(Window.partitionBy("x_k1", "x_k2").orderBy(F.desc("shared"), "y_k1", "y_k2"))
     met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
-    texts = scratch.keep(_texts(docs, rows), "texts")
-    gone = scratch.keep(_verified(met, texts, percent, width), "gone1")
+    sets = scratch.keep(_tokens(_texts(docs, rows), classes, width).select("k1", "k2", "tok"), "sets")
+    gone = scratch.keep(_verified(met, sets, percent), "gone1")
     left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
     more = _possible(left.join(rows.alias("y"), "t"), percent).where("shared >= need")
     more = scratch.keep(more.join(met, _PAIR, "left_anti").select(*_PAIR), "met2")
-    if more.limit(1).count():
-        gone = gone.union(scratch.keep(_verified(more, texts, percent, width), "gone2"))
-    return first, gone.union(repeats)
+    return first, gone.union(scratch.keep(_verified(more, sets, percent), "gone2")).union(repeats)
 
 
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """k1, k2, line: the lines that share a token, each taken from its first occurrence."""
+    """k1, k2, w: the words of the lines that share a token, each taken from its first occurrence."""
     places = rows.select("k1", "k2", "o").distinct()
     places = places.groupBy(F.col("o.doc_id").alias("id_"), F.col("o.h").alias("h_")).agg(F.collect_list(F.struct(F.col("o.pos").alias("pos"), "k1", "k2")).alias("at_"))
     held = docs.join(places, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
-    held = held.select("at_", F.explode(F.array(F.split(F.lower("text"), "\n"))).alias("parts")).select("parts", F.inline("at_"))
+    held = held.select("at_", F.explode(F.array(F.split("text", "\n"))).alias("parts")).select("parts", F.inline("at_"))
     # rows that repeat a document give its lines again
-    return held.select("k1", "k2", F.get("parts", F.col("pos")).alias("line")).groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    held = held.select("k1", "k2", F.get("parts", F.col("pos")).alias("line")).groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    return _once(held, "w", _words(F.col("line"))).select("k1", "k2", "w")
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a line x and an earlier line y of fitting lengths, with shared: how many tokens of pairs
-    they have, fits: whether one of these passes the prefix and positional filters, and need: how many
-    tokens two whole prefixes must share if the lines match, as beyond them one set has too few left."""
+    """Pairs of a line x and an earlier line y that pass the length filter, with shared: how many tokens
+    of pairs they have that pass the positional filter, as all common tokens of lines that match do;
+    one of them passes the prefix filter too. need: how many tokens two whole prefixes must share if the
+    lines match, as beyond them one set has too few left."""
     n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
     most = _overlap(percent, n, m)
     room = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    fits = (i <= n - most) & (j <= m - most) & (room >= most)
+    rows = pairs.where((F.col("y.o") < F.col("x.o")) & (n >= _share(percent, m)) & (m >= _share(percent, n)) & (room >= most))
     need = most + 1 - F.greatest(_share(percent, n), _share(percent, m))
-    rows = pairs.where((F.col("y.o") < F.col("x.o")) & (n >= _share(percent, m)) & (m >= _share(percent, n)))
-    rows = rows.select(*(F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in "xy" for k in ("k1", "k2")), fits.alias("fits"), need.alias("need"))
+    rows = rows.select(*(F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in "xy" for k in ("k1", "k2")), ((i <= n - most) & (j <= m - most)).alias("fits"), need.alias("need"))
     return rows.groupBy(*_PAIR).agg(F.count("*").alias("shared"), F.max("fits").alias("fits"), F.min("need").alias("need")).where("fits")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """k1, k2 of the x of pairs that match their y."""
-    salted = pairs.withColumn("salt", F.pmod("x_k1", F.lit(SALTS)).cast("int"))
-    y = salted.select("y_k1", "y_k2", "salt").distinct().join(texts, (F.col("y_k1") == F.col("k1")) & (F.col("y_k2") == F.col("k2")))
-    y = y.select("y_k1", "y_k2", "salt", F.lit(None).cast("long").alias("x_k1"), F.lit(None).cast("int").alias("x_k2"), "line")
-    x = salted.join(texts, (F.col("x_k1") == F.col("k1")) & (F.col("x_k2") == F.col("k2"))).select("y_k1", "y_k2", "salt", "x_k1", "x_k2", "line")
-    key = ["y_k1", "y_k2", "salt"]
-    return y.union(x).repartition(*key).sortWithinPartitions(*key, F.col("x_k1").asc_nulls_first()).mapInArrow(_matched(percent, width), "k1 long, k2 int").distinct()
+    for s in "xy":
+        pairs = pairs.join(sets.select(F.col("k1").alias(f"{s}_k1"), F.col("k2").alias(f"{s}_k2"), F.col("tok").alias(s)), [f"{s}_k1", f"{s}_k2"])
+    same = F.size(F.array_intersect("x", "y"))
+    ok = 100 * same >= percent * (F.size("x") + F.size("y") - same)
+    return pairs.where(ok).select(F.col("x_k1").alias("k1"), F.col("x_k2").alias("k2")).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", report: bool = False, drop_copies: bool = False) -> DataFrame:
