@@ -75,6 +75,19 @@ def rebuild_index(chunks: DataFrame, path: str, dimension: int = 64, embed=hashe
     return spark.read.parquet(path)
 
 
+def vectors_of_items(items: DataFrame, keys: list[str], dimension: int = 64, embed=hashed_vector) -> DataFrame:
+    """id, document, embedding and metadata of items (id, text, metadata as a map), of which the keys stay."""
+    kept = F.map_filter("metadata", lambda k, v: k.isin(keys))
+    rows = items.select("id", F.coalesce("text", F.lit("")).alias("document"), embed(F.coalesce("text", F.lit("")), F.lit(dimension)).alias("embedding"), kept.alias("metadata"))
+    return files.vector_store(rows, dimension)
+
+
+def export_embed_ready(chunks: DataFrame, path: str) -> None:
+    """The chunks with what an embedding model reads, as JSON lines."""
+    shown = T.metadata_prefix("brand", "category", "page_type", "heading_path", "text")
+    chunks.withColumn("embed_text", shown).write.mode("overwrite").json(path)
+
+
 def robots_gate(urls: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFrame:
     """urls (url) with allowed. rules: host, path (a prefix) and allow; the longest prefix decides, an
     allowing one among equals. answers: host and status of its robots file: one that is missing (404)

@@ -208,14 +208,18 @@ def refusal_gate(spark, d):
 # ---- evaluation
 
 JUDGED_SQL = f"""{HIT_CTE},
-a AS (SELECT query_id, rank, lang = 'en' AS rel FROM rr), b AS (SELECT query_id, rank_after AS rank, lang = 'en' AS rel FROM rr WHERE rank_after <= 5),
+v AS (SELECT *, CASE WHEN query_id % 5 = 0 THEN doc_id <= 300 ELSE lang = 'en' END AS rel FROM rr WHERE query_id % 7 <> 0),
+a AS (SELECT query_id, rank, rel FROM v), b AS (SELECT query_id, rank_after AS rank, rel FROM v WHERE rank_after <= 5),
 j AS (SELECT 'bm25' AS method, * FROM a UNION ALL SELECT 'reranked', * FROM b),
 p AS (SELECT method, query_id, max((rel AND rank <= 5)::INTEGER) AS recall_at_5, max((rel AND rank <= 20)::INTEGER) AS recall_at_20, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE rel), 0), 6) AS reciprocal_rank FROM j GROUP BY ALL)"""
 
 
 def judged(spark, d) -> DataFrame:
-    """Relevance by category, the language standing in for it."""
-    items = questions(spark, d).select("query_id", F.lit(None).cast("array<bigint>").alias("relevant_ids"), F.lit("en").alias("expected_category"), F.lit(None).cast("boolean").alias("answerable"))
+    """Relevance by ids for every fifth query, else by category, the language standing in for it; every
+    seventh query counts as unanswerable."""
+    q = F.col("query_id")
+    ids = F.when(q % 5 == 0, F.sequence(F.lit(0).cast("bigint"), F.lit(300).cast("bigint")))
+    items = questions(spark, d).select("query_id", ids.alias("relevant_ids"), F.lit("en").alias("expected_category"), F.when(q % 7 == 0, False).alias("answerable"))
     items = evaluation.evaluable(items)
     hits = hit_texts(spark, d).withColumnRenamed("doc_id", "id").withColumnRenamed("lang", "category")
     after = search.reranked(hits, search.overlap("query", "text"), 5).drop("rank").withColumnRenamed("rank_after", "rank")
@@ -363,10 +367,10 @@ def fixed_chunks(spark, d):
     return chunking.fixed_chunks(documents(spark, d).select("doc_id", "source", "text"), F.col("source")).select("doc_id", "chunk_index", "chunk_text", "chunk_id", "strategy")
 
 
-@query(f"WITH {FIXED_CTE}, n AS (SELECT len({WORDS('chunk_text')}) AS n FROM fixed) SELECT count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, median(n) AS median, round(stddev_samp(n), 4) AS sd FROM n")
+@query(f"WITH {FIXED_CTE}, n AS (SELECT len({WORDS('chunk_text')}) AS n FROM fixed) SELECT count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, median(n) AS median, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.95), 6) AS p95, round(stddev_samp(n), 4) AS sd FROM n")
 def chunk_length_stats(spark, d):
     n = fixed_chunks(spark, d).select(F.size(T.words("chunk_text")).cast("long").alias("n"))
-    return n.agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.round(F.stddev("n"), 4).alias("sd"))
+    return n.agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), *(F.round(F.percentile("n", F.lit(p / 100)), 6).alias(f"p{p}") for p in (25, 75, 95)), F.round(F.stddev("n"), 4).alias("sd"))
 
 
 HEADING_LINE = r"'^(#{1,6})\s+(.*)'"

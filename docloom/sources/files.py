@@ -37,12 +37,14 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def json_items(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Items of a file that holds an array or an object with `items`; another kind of file is an error."""
+def json_items(spark: SparkSession, path: str, schema: T.StructType, list_only: bool = False) -> DataFrame:
+    """Items of a file that holds an array or, unless list_only, an object with `items`; another kind of
+    file is an error."""
     text = spark.read.text(path, wholetext=True).select("value")
     whole = T.ArrayType(schema)
     inner = T.StructType([T.StructField("items", whole)])
-    items = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", whole)), F.from_json("value", inner)["items"], F.raise_error(F.lit("no array of items")).cast(whole))
+    held = F.lit(None).cast(whole) if list_only else F.from_json("value", inner)["items"]
+    items = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", whole)), held, F.raise_error(F.lit("no array of items")).cast(whole))
     return text.select(F.inline(items))
 
 
@@ -58,6 +60,16 @@ def repaired_path(path: Column, root: str, brand: Column, category: Column) -> C
     return F.concat_ws("/", F.lit(root), brand, category, F.element_at(F.split(path, "/"), -1))
 
 
+def found_paths(rows: DataFrame, listing: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """rows whose file is in the listing (path), with its path: the stored one, else where it stands
+    under root; rows of files that are nowhere go."""
+    moved = repaired_path(F.col(path), root, F.col("brand"), F.col("category"))
+    there = listing.select(F.col("path").alias("there")).distinct()
+    tried = rows.select("*", F.posexplode(F.array_distinct(F.array(F.col(path), moved))).alias("turn", "there")).join(there, "there", "left_semi")
+    keys = [c for c in rows.columns if c != path]
+    return tried.groupBy(*(F.col(f"`{c}`") for c in keys), F.col(path).alias("stored")).agg(F.min(F.struct("turn", "there")).alias("best")).select(*(F.col(f"`{c}`") for c in keys), F.col("best.there").alias(path))
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """One folder for each strategy; those in chunks are replaced, others stay."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy").parquet(path)

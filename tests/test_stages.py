@@ -145,3 +145,20 @@ def test_blobs_are_named_by_address(spark, tmp_path):
     files.write_blobs(rows, str(tmp_path / "raw"))
     got = spark.read.parquet(str(tmp_path / "raw")).first()
     assert got["name"].endswith(".html") and len(got["name"]) == 21 and (got["brand"], got["category"]) == ("b", "c")
+
+
+def test_paths_are_repaired_or_rows_go(spark):
+    rows = spark.createDataFrame([("old/b/c/x.md", "b", "c"), ("old/b/c/y.md", "b", "c"), ("new/b/c/z.md", "b", "c")], "path string, brand string, category string")
+    listing = spark.createDataFrame([("new/b/c/x.md",), ("new/b/c/z.md",), ("old/other.md",)], "path string")
+    assert sorted(r["path"] for r in files.found_paths(rows, listing, "new").collect()) == ["new/b/c/x.md", "new/b/c/z.md"]
+
+
+def test_items_to_vectors_and_export(spark, tmp_path):
+    items = spark.createDataFrame([("1", "a b", {"url": "u", "x": "y"}), ("2", None, {})], "id string, text string, metadata map<string,string>")
+    got = {r["id"]: r for r in stages.vectors_of_items(items, ["url"], 8).collect()}
+    assert got["1"]["metadata"] == {"url": "u"} and len(got["2"]["embedding"]) == 8
+    stages.export_embed_ready(stages.fixed_with_metadata(pages(spark, ["one two"])), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first()["embed_text"] == "Brand: B | Appliance: C\n\none two"
+    (tmp_path / "x.json").write_text('{"items": []}')
+    with pytest.raises(Exception, match="no array of items"):
+        files.json_items(spark, str(tmp_path / "x.json"), StructType([StructField("id", StringType())]), list_only=True).collect()
