@@ -49,6 +49,11 @@ class Scratch:
         df.write.bucketBy(buckets, by).sortBy(*order).option("path", self.path(table)).saveAsTable(name)
         return self.spark.table(name)
 
+    def free(self) -> None:
+        """Shuffle files of tables that are written already are freed when the driver collects its
+        garbage, which it may put off until disks are full; this asks for it."""
+        self.spark._jvm.java.lang.System.gc()
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._delete(self.path(table))
