@@ -103,6 +103,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     order = F.struct(*_ORDER)
     seen = lines.groupBy("k1", "k2").agg(F.min(order).alias("o"), F.count("*").alias("c"))
     first = scratch.keep(seen.select("k1", "k2", *(F.col(f"o.{x}").alias(x) for x in _ORDER), "c"), "first")
+    scratch.free()
     classes = _classes(lines, width)
     total = first.agg(F.sum("c")).first()[0] or 0
     # at most HOT_PART rows
@@ -121,6 +122,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     spread = prefix.select("*", *(f(c).over(of).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("lo", F.min), ("hi", F.max))))
     rows = spread.where("lo_k1 <> hi_k1 OR lo_k2 <> hi_k2").select("t", "k1", "k2", "n", "at").distinct()
     rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "shared")
+    scratch.free()
     equal, rows = rows.where(few), rows.where(~few)
     earliest = equal.groupBy("t", "n").agg(F.min("o").alias("o_"))
     repeats = equal.join(earliest, ["t", "n"]).where(F.col("o") > F.col("o_")).select("k1", "k2")
@@ -131,11 +133,15 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     best = F.row_number().over(Window.partitionBy("x_k1", "x_k2").orderBy(F.desc("shared"), "y_k1", "y_k2"))
     met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
     sets = scratch.keep(_tokens(_texts(docs, rows), classes, width).select("k1", "k2", "tok"), "sets")
+    scratch.free()
     gone = scratch.keep(_verified(met, sets, percent), "gone1")
     left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
     more = _possible(left.join(rows.alias("y"), "t"), percent).where("shared >= need")
     more = scratch.keep(more.join(met, _PAIR, "left_anti").select(*_PAIR), "met2")
-    return first, gone.union(scratch.keep(_verified(more, sets, percent), "gone2")).union(repeats)
+    gone = gone.union(scratch.keep(_verified(more, sets, percent), "gone2")).union(repeats)
+    scratch.drop("met1", "met2", "sets")
+    scratch.free()
+    return first, gone
 
 
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
