@@ -34,6 +34,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         atexit.register(self.close)
 
     def path(self, table: str) -> str:
@@ -46,7 +47,9 @@ class Scratch:
     def keep_bucketed(self, df: DataFrame, table: str, buckets: int, by: str, order: list[str]) -> DataFrame:
         """As keep, dealt by the hash of a column, so that joins and groups on it need no exchange."""
         name = f"{table}_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, by).sortBy(*order).option("path", self.path(table)).saveAsTable(name)
+        dealt = df.write.option("compression", "zstd").bucketBy(buckets, by)
+        (dealt.sortBy(*order) if order else dealt).option("path", self.path(table)).saveAsTable(name)
+        self.tables.append(name)
         return self.spark.table(name)
 
     def free(self) -> None:
@@ -60,6 +63,8 @@ class Scratch:
 
     def close(self) -> None:
         try:
+            for name in self.tables:  # a metastore may outlive the session
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self._delete(self.root)
         except Exception:  # noqa: BLE001  the session has ended before the interpreter
             pass
