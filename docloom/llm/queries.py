@@ -16,6 +16,7 @@ from docloom.llm.minhash import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.preferences import format_preferences, gathered, neighbouring_pairs
 from docloom.llm.quality import judge
+from docloom.llm.repeats import remove_repeats
 from docloom.llm.sharding import shard_by_bytes
 from docloom.session import ship_code
 
@@ -174,6 +175,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - 49, 0))) AS i FROM d) x),
+m AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i FROM w JOIN m ON w.s = m.s WHERE m.m < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM c),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, b, a FROM spans),
+n AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS e,
+             list({'f': f, 't': t} ORDER BY a) AS keep FROM gaps GROUP BY doc_id)
+SELECT d.doc_id, (strlen(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN keep IS NULL THEN h ELSE array_to_string(list_transform(keep, lambda k: substr(h, 2 * k.f + 1, 2 * (k.t - k.f))), '') || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -185,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
+    "op13_repeat_removal": op13_repeat_removal,
 }
 
 def oracle_sql() -> dict[str, str]:
@@ -194,4 +219,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": licenses_sql(),
         "op6_preference_format": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op13_repeat_removal": OP13_SQL,
     }
