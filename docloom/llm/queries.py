@@ -16,8 +16,10 @@ from docloom.llm.minhash import near_duplicates
 from docloom.llm.packing import pack_documents
 from docloom.llm.preferences import format_preferences, gathered, neighbouring_pairs
 from docloom.llm.quality import judge
+from docloom.llm.repair import damaged, repaired
 from docloom.llm.repeats import remove_repeats
 from docloom.llm.sharding import shard_by_bytes
+from docloom.llm.whitening import whiten
 from docloom.session import ship_code
 
 
@@ -175,6 +177,71 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repaired(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"), digest=True)
+    return rows.withColumnRenamed("repaired", "repaired_sha256")
+
+
+def repair_sql() -> str:
+    """The four states, each a struct of cost, audit and repaired lines, step by step through every conversation."""
+
+    def edit(state: str, cost: str, letter: str, line: str = "", when: str = "true") -> str:
+        said = f"{state}.r || chr(10) || {line}" if line else f"{state}.r"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {said}}} END"
+
+    def keep(state: str, initial: str) -> str:
+        return edit(state, "cut", "K", "role || ':' || text", f"NOT must AND left(role, 1) = '{initial}'")
+
+    def rerole(state: str, role: str) -> str:
+        return edit(state, "3 + cut", "R", f"'{role}:' || text", "NOT must")
+
+    asked = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    deleted = {k: edit(f"s{k}", "4", "D") for k in asked}
+    users = ", ".join(f"{keep(f's{k}', 'u')}, {rerole(f's{k}', 'user')}" for k in (0, 1, 3))
+    step = [deleted[0], f"least({deleted[1]}, {keep('s0', 's')})", f"least({deleted[2]}, {users})", f"least({deleted[3]}, {keep('s2', 'a')}, {rerole('s2', 'assistant')})"]
+    insert = lambda k: edit(f"s{k}", "3", "I", f"'{asked[k]}:'")
+    closing = f"s0, s1, least(s2, {insert(0)}, {insert(1)}, {insert(3)}) AS s2, least(s3, {insert(2)}) AS s3"
+    return rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+c AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT), lambda s, x:
+    list_reduce(range(0, 8), lambda t, j: xor(t >> 1, (t & 1) * 3988292384), xor(s, x)), 4294967295::BIGINT)) % 20 AS way FROM o),
+d AS (
+  SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(0, CASE WHEN way = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE way <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+         NOT regexp_matches(text, '[.!?][ 	-]*\z') AS open,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM n),
+t AS (SELECT *, blank OR seen AS must, CASE WHEN open AND NOT blank AND NOT seen THEN 3 ELSE 0 END AS cut FROM f),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+first AS (SELECT conv_id, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s1, {{'c': 3::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2,
+          {{'c': 6::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM ids),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, s0, s1, s2, s3 FROM first
+  UNION ALL
+  SELECT conv_id, i, {closing} FROM (SELECT conv_id, i, {closing} FROM (
+    SELECT dp.conv_id, t.i, {", ".join(f"{x} AS s{k}" for k, x in enumerate(step))}
+    FROM dp JOIN t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.i = dp.i + 1) x) y),
+e AS (SELECT conv_id, arg_max(least(s0, s3), i) AS z FROM dp GROUP BY conv_id),
+a AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank)::BIGINT AS blank,
+         count(*) FILTER (WHERE seen AND NOT blank)::BIGINT AS duplicate, count(*) FILTER (WHERE cut > 0)::BIGINT AS truncated,
+         count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM t GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, z.c AS cost, z.a AS audit, sha256(substr(z.r, 2)) AS repaired_sha256
+FROM e LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -209,6 +276,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_repeat_removal": op13_repeat_removal,
 }
 
@@ -219,5 +288,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": licenses_sql(),
         "op6_preference_format": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op11_conversation_repair": repair_sql(),
         "op13_repeat_removal": OP13_SQL,
     }
