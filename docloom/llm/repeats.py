@@ -35,7 +35,9 @@ from docloom.llm.wordhash import mix, trim
 
 LEAST, GRAM = 50, 24
 #: Bytes of text of a block, of which anchors are sought at a time, and for each bucket of grams and of stretches.
-BLOCK, PIECE, GRAM_BUCKET, STRETCH_BUCKET = 8 << 20, 1 << 20, 16 << 20, 4 << 20
+BLOCK, PIECE, GRAM_BUCKET, STRETCH_BUCKET = 8 << 20, 1 << 17, 16 << 20, 4 << 20
+#: Suffixes that are sorted at a time; those of one window are sorted together.
+SORTED = 1 << 18
 #: Different stretches of a gram from which it is split.
 HOT = 1024
 _U = np.uint64
@@ -44,78 +46,80 @@ _LOW = _U((1 << 40) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash of the GRAM bytes from each place on."""
+    """The hash of the GRAM bytes from each place on; none is 0."""
     n = len(data) - GRAM + 1
     if n < 1:
         return np.zeros(0, _U)
-    words = np.empty(len(data) - 7, _U)
-    for k in range(8):
-        part = words[k::8]
-        part[:] = data[k : k + 8 * len(part)].view("<u8")
+    words = data.astype(_U)  # of 1, 2, 4 and then 8 bytes
+    for size in (1, 2, 4):
+        words = words[:-size] | (words[size:] << _U(8 * size))
     out = words[:n] * _MUL[0]
     for i in range(1, GRAM // 8):
         out += words[8 * i : 8 * i + n] * _MUL[i]
-    return mix(out)
+    out ^= out >> _U(32)
+    out *= _MUL[3]
+    out ^= out >> _U(29)
+    return out | _U(1)
 
 
-def span_hashes(grams: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of stretches of GRAM bytes at least, from those of grams that cover them."""
-    out = mix(length.astype(_U) * _MUL[3] + _U(seed))
+def span_hashes(grams: np.ndarray, start: np.ndarray, length: np.ndarray, several: int = 1) -> list[np.ndarray]:
+    """Independent hashes of stretches of GRAM bytes at least, from those of grams that cover them."""
+    found = [mix(length.astype(_U) * _MUL[3] + _U(k)) for k in range(several)]
     end = start + length - GRAM
     for k in range(-(-int(length.max(initial=0)) // GRAM)):
-        out = mix(out * _MUL[4] + grams[np.minimum(start + k * GRAM, end)])
-    return out
+        gram = grams[np.minimum(start + k * GRAM, end)]
+        for j, out in enumerate(found):
+            out *= _MUL[4 - j]
+            out += gram
+            out ^= out >> _U(31)
+    return [mix(out) for out in found]
 
 
-def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
-    """of (minimum or maximum) all runs of width values."""
+def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while 2 * size <= width:
-        values = of(values[:-size], values[size:])
+        values = np.minimum(values[:-size], values[size:])
         size *= 2
-    return of(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
+    return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
 class Anchors:
-    """Anchors of a block of texts: the hash of each gram, and first and last, the places where the
-    windows that chose it start (these are consecutive)."""
+    """Stretches of a block of texts. gram: the least hash of a gram in each window of the stretch; first
+    and last: where its first and last window start; keys: hashes of its bytes, as many as asked for."""
 
-    def __init__(self, texts: pa.ChunkedArray, least: int):
+    def __init__(self, texts: pa.ChunkedArray, least: int, keys: int):
         whole = texts.cast(pa.large_binary()).combine_chunks()
         n = len(whole)
-        self.least = least
+        self.least, self.n_keys = least, keys
         self.offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + n + 1] if n else np.zeros(1, np.int64)
         data = np.frombuffer(whole.buffers()[2] or b"", np.uint8) if n else np.zeros(0, np.uint8)
         self.data = data[self.offsets[0] : self.offsets[-1]]
         self.offsets = self.offsets - self.offsets[0]
         found = [self._piece(s) for s in range(0, max(0, len(self.data) - least + 1), PIECE)]
-        self.gram, self.first, self.last, self.key, self.check = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, _U), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, _U)] * 2)
+        none = [np.zeros(0, _U), *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, _U)] * keys]
+        self.gram, self.first, self.last, *self.keys = [np.concatenate(x) for x in zip(*found, strict=True)] if found else none
         self.text = np.searchsorted(self.offsets, self.first, "right") - 1
 
     def _piece(self, begin: int) -> tuple:
         least, w = self.least, self.least - GRAM + 1
-        data = self.data[begin : begin + PIECE + least - 1]
-        grams = gram_hashes(data)
-        order = (grams >> _U(32)).astype(np.uint32) | np.uint32(1)
-        level = _sliding(order, w, np.minimum)
-        # windows that no text holds choose nothing
+        grams = gram_hashes(self.data[begin : begin + PIECE + least - 1])
+        level = _sliding_minimum(grams, w)
+        # windows that no text holds have no gram
         ends = self.offsets[1:]
         for e in (ends[np.searchsorted(ends, begin, "right") :] - begin).tolist():
             if e - least + 1 >= len(level):
                 break
             level[max(0, e - least + 1) : e] = 0
-        none = np.zeros(w - 1, np.uint32)
-        level = np.concatenate([none, level, none])
-        at = np.flatnonzero(_sliding(level, w, np.maximum) == order)
-        own = order[at]
-        far, near = np.zeros(len(at), np.int64), np.full(len(at), w, np.int64)
-        for back in range(w):  # the window that starts back bytes before the gram
-            ok = level[at + (w - 1 - back)] == own
-            far[ok] = back
-            near[ok] = np.minimum(near[ok], back)
-        first, last = at - far, at - near
-        length = last - first + least
-        return grams[at], begin + first, begin + last, span_hashes(grams, first, length, 1), span_hashes(grams, first, length, 2)
+        cuts = _firsts(level)
+        size = np.diff(np.append(cuts, len(level)))
+        real = level[cuts] != 0
+        cuts, size = cuts[real], size[real]
+        # a gram that stands again within its window makes longer runs, of which all parts count, so that
+        # what is a repeat in one part is one in all; they are equal but for a few
+        parts = np.maximum(size - w, 0) + 1
+        if (parts > 1).any():
+            cuts, size = _runs(cuts, parts), np.repeat(np.minimum(size, w), parts)
+        return level[cuts], begin + cuts, begin + cuts + size - 1, *span_hashes(grams, cuts, size + least - 1, self.n_keys)
 
 
 def _firsts(values: np.ndarray) -> np.ndarray:
@@ -135,13 +139,13 @@ class _Grams:
 def _name_grams(least: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        a = Anchors(table["text"], least)
+        a = Anchors(table["text"], least, 1)
         g = _Grams(a, buckets)
         n = len(g.values)
         lo, hi = np.full(n, len(a.offsets)), np.full(n, -1)
         np.minimum.at(lo, g.of, a.text)
         np.maximum.at(hi, g.of, a.text)
-        _, each = np.unique(a.key, return_index=True)
+        _, each = np.unique(a.keys[0], return_index=True)
         count = np.minimum(np.bincount(g.of[each], minlength=n), 127).astype(np.uint8) * 2 + (hi > lo)
         low = g.values & _LOW
         cuts = _firsts(g.bucket).tolist()
@@ -188,17 +192,17 @@ class _Stretches:
             shared[lo:hi], hot[lo:hi] = (np.unpackbits(np.frombuffer(x, np.uint8), count=hi - lo).astype(bool) for x in (s, h))
         plain, split = np.flatnonzero(shared[g.of] & ~hot[g.of]), np.flatnonzero(hot[g.of])
         n = a.last[split] - a.first[split] + 1
-        windows = np.repeat(a.first[split] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        windows = _runs(a.first[split], n)
         more = []
         if len(windows):
             for s in range(0, len(a.data), PIECE):
                 part = windows[(windows >= s) & (windows < s + PIECE)] - s
                 grams = gram_hashes(a.data[s : s + PIECE + a.least - 1])
-                more.append((part + s, *(span_hashes(grams, part, np.full(len(part), a.least), k) for k in (1, 2))))
+                more.append((part + s, *span_hashes(grams, part, np.full(len(part), a.least), 2)))
         where, key, check = (np.concatenate(x) for x in zip(*more, strict=True)) if more else (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U))
         self.start = np.concatenate([a.first[plain], where])
         self.length = np.concatenate([a.last[plain] - a.first[plain], np.zeros(len(where), np.int64)]) + a.least
-        key, check = np.concatenate([a.key[plain], key]), np.concatenate([a.check[plain], check])
+        key, check = (np.concatenate([own[plain], x]) for own, x in zip(a.keys, (key, check), strict=True))
         to = np.concatenate([a.gram[plain] * _MUL[1] >> _U(33), key[len(plain) :] * _MUL[1] >> _U(33)]) % _U(buckets)
         self.text = np.searchsorted(a.offsets, self.start, "right") - 1
         order = np.lexsort((check, key, to))
@@ -220,8 +224,7 @@ class _Stretches:
 
 
 def _bytes_of(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(length)
-    return data[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+    return data[_runs(start, length)]
 
 
 def _send_stretches(least: int, gram_buckets: int, buckets: int):
@@ -230,7 +233,7 @@ def _send_stretches(least: int, gram_buckets: int, buckets: int):
         block = None
         if table.num_rows and answers.num_rows:
             block = table["block"][0].as_py()
-            a = Anchors(table["text"], least)
+            a = Anchors(table["text"], least, 2)
             s = _Stretches(a, table["id"].to_numpy(), answers, gram_buckets, buckets)
             for bucket, of in s.groups():
                 start, length = s.start[s.example[of]], s.length[s.example[of]]
@@ -255,28 +258,45 @@ def interval_tree(common: list[int], least: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def maximal_repeats(data: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Of strings that stand one after the other in data: (group, length, string, place) for each
-    occurrence of each of their maximal repeats."""
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ..., size of them, for each."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def maximal_repeats(data: np.ndarray, lengths: np.ndarray, several: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of different strings that stand one after the other in data: (group, length, string, place) for
+    each occurrence of each of their maximal repeats. several: strings that have copies, so that their
+    leaf in the tree is a repeat too."""
     ends = np.cumsum(lengths)
     begins = ends - lengths
     n = np.maximum(lengths - least + 1, 0)
-    string = np.repeat(np.arange(len(lengths)), n)
-    start = np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())
-    none = (np.zeros(0, np.int64),) * 4
-    if len(start) < 2:
-        return none
+    start = _runs(begins, n)
+    window = span_hashes(gram_hashes(data), start, np.full(len(start), least))[0]
     # suffixes whose first bytes stand there once are leaves without a repeat
-    window = span_hashes(gram_hashes(data), start, np.full(len(start), least), 3)
-    _, of, times = np.unique(window, return_inverse=True, return_counts=True)
-    stays = times[of] > 1
-    string, start = string[stays], start[stays]
-    if len(start) < 2:
-        return none
-    width = int(lengths.max())
+    order = np.argsort(window)
+    cuts = _firsts(window[order])
+    size = np.diff(np.append(cuts, len(order)))
+    cuts, size = cuts[size > 1], size[size > 1]
+    parts, leaf, number = [], several.copy(), 0
+    batch = np.cumsum(size) // SORTED
+    for k in np.unique(batch).tolist():
+        of = batch == k
+        group, length, string, place, whole = _tree_of(data, begins, ends, start[order[_runs(cuts[of], size[of])]], least)
+        leaf[whole] = False
+        parts.append((group + number, length, string, place))
+        number += int(group.max(initial=-1)) + 1
+    leaf = np.flatnonzero(leaf)
+    parts.append((number + np.arange(len(leaf)), lengths[leaf], leaf, np.zeros(len(leaf), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _tree_of(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(group, length, string, place) of some suffixes, and the strings that stand whole in another one."""
+    string = np.searchsorted(begins, start, "right") - 1
     rest = ends[string] - start
     by_rest = np.argsort(rest, kind="stable")  # of equal bytes the suffix that ends first comes first
     string, start, rest = string[by_rest], start[by_rest], rest[by_rest]
+    width = int(rest[-1])
     rows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(width, np.uint8)), width)[start]
     for k in range(least, width):
         rows[: np.searchsorted(rest, k, "right"), k] = 0
@@ -285,19 +305,33 @@ def maximal_repeats(data: np.ndarray, lengths: np.ndarray, least: int) -> tuple[
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(1), differ.argmax(1), width)
     common = np.minimum(common, np.minimum(rest[1:], rest[:-1]))
+    edge = start == begins[string]
+    none = np.zeros(1, np.int64)
+    whole = string[edge & (np.maximum(np.append(common, none), np.append(none, common)) == rest)]
     tree = interval_tree(common.tolist(), least)
-    if not tree:
-        return none
-    length, first, last = (np.array(x, np.int64) for x in zip(*tree, strict=True))
+    length, first, last = (np.array(x, np.int64) for x in zip(*tree, strict=True)) if tree else (np.zeros(0, np.int64),) * 3
     # left extension: another byte than the suffix before it has, or the edge of a stretch
-    edge = start == begins[string]
     left = np.where(edge, -1, data[start - 1].astype(np.int64))
     change = np.concatenate([[0], np.cumsum(edge[1:] | (left[1:] != left[:-1]))])
     diverse = (change[last] > change[first]) | edge[first]
     length, first, last = length[diverse], first[diverse], last[diverse]
     size = last - first + 1
-    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-    return np.repeat(np.arange(len(size)), size), np.repeat(length, size), string[at], start[at] - begins[string[at]]
+    at = _runs(first, size)
+    return np.repeat(np.arange(len(size)), size), np.repeat(length, size), string[at], start[at] - begins[string[at]], whole
+
+
+def _not_inside(string: np.ndarray, place: np.ndarray, length: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """Places of the entries of each string but for those inside an entry of the string's smallest id."""
+    order = np.lexsort((-length, place, string))
+    string, end, smallest = string[order], (place + length)[order], smallest[order]
+    cuts = _firsts(string)
+    best = np.minimum.reduceat(smallest, cuts) if len(cuts) else smallest
+    best = smallest == np.repeat(best, np.diff(np.append(cuts, len(string))))
+    # strings rise, so that those before reach no further
+    key = string * (int(end.max(initial=0)) + 1)
+    far = np.maximum.accumulate(np.where(best, key + end, key)) if len(key) else key
+    before = np.concatenate([[-1], far[:-1]])
+    return order[key + end > np.maximum(before, key)]
 
 
 def _find_groups(least: int, whole: bool):
@@ -308,25 +342,37 @@ def _find_groups(least: int, whole: bool):
         sizes = [len(x) // 2 for x in table["lengths"].to_pylist()]
         join = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
         lengths, data, low, high = join("lengths", np.uint16).astype(np.int64), join("bytes", np.uint8), join("least", np.int64), join("most", np.int64)
-        # a stretch of several documents of a block stands twice
-        again = np.flatnonzero(low != high)
+        # what several blocks have is one string
         begins = np.cumsum(lengths) - lengths
-        both = np.concatenate([data, _bytes_of(data, begins[again], lengths[again])])
-        group, length, string, place = maximal_repeats(both, np.concatenate([lengths, lengths[again]]), least)
-        ids = np.concatenate([low, high[again]])
-        cuts = _firsts(group)
-        smallest = np.minimum.reduceat(ids[string], cuts) if len(cuts) else low[:0]
-        smallest = np.repeat(smallest, np.diff(np.append(cuts, len(group))))
-        string = np.where(string < len(lengths), string, again[np.maximum(string - len(lengths), 0)] if len(again) else string)
-        use = np.ones(len(group), bool) if whole else smallest < high[string]
-        group, length, string, place, smallest = (x[use] for x in (group, length, string, place, smallest))
+        key, check = span_hashes(gram_hashes(data), begins, lengths, 2)
+        order = np.lexsort((check, key))
+        cuts = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])]))
+        size = np.diff(np.append(cuts, len(order)))
+        example = order[cuts]
+        least_id, most_id = np.minimum.reduceat(low[order], cuts), np.maximum.reduceat(high[order], cuts)
+        group, length, string, place = maximal_repeats(_bytes_of(data, begins[example], lengths[example]), lengths[example], least_id != most_id, least)
+        starts = _firsts(group)
+        smallest = np.minimum.reduceat(least_id[string], starts) if len(starts) else low[:0]
+        smallest = np.repeat(smallest, np.diff(np.append(starts, len(group))))
+        if not whole:
+            use = np.flatnonzero(smallest < most_id[string])
+            use = use[_not_inside(string[use], place[use], length[use], smallest[use])]
+            group, length, string, place, smallest = (x[use] for x in (group, length, string, place, smallest))
+        # back to the blocks that sent the strings
+        times = size[string]
+        entry = order[_runs(cuts[string], times)]
+        group, length, place, smallest = (np.repeat(x, times) for x in (group, length, place, smallest))
+        if not whole:
+            use = smallest < high[entry]
+            group, length, entry, place, smallest = (x[use] for x in (group, length, entry, place, smallest))
+        order = np.argsort(entry, kind="stable")
+        group, length, entry, place, smallest = (x[order] for x in (group, length, entry, place, smallest))
         rows, ends = [], np.cumsum(sizes)
-        order = np.argsort(string, kind="stable")
-        spots = np.searchsorted(string[order], np.concatenate([[0], ends]))
-        for i, (block, e, n) in enumerate(zip(table["block"].to_pylist(), ends.tolist(), sizes, strict=True)):
-            of = order[spots[i] : spots[i + 1]]
-            if len(of):
-                rows.append((block, (string[of] - (e - n)).astype(np.uint32).tobytes(), place[of].astype(np.uint16).tobytes(), length[of].astype(np.uint16).tobytes(), smallest[of].tobytes(), group[of].astype(np.uint32).tobytes() if whole else b""))
+        spots = np.searchsorted(entry, np.concatenate([[0], ends])).tolist()
+        for i, (block, begin) in enumerate(zip(table["block"].to_pylist(), (ends - sizes).tolist(), strict=True)):
+            of = slice(spots[i], spots[i + 1])
+            if of.start < of.stop:
+                rows.append((block, (entry[of] - begin).astype(np.uint32).tobytes(), place[of].astype(np.uint16).tobytes(), length[of].astype(np.uint16).tobytes(), smallest[of].tobytes(), group[of].astype(np.uint32).tobytes() if whole else b""))
         trim()
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("stretch", "place", "length", "smallest", "number"), 1)}})
 
@@ -337,56 +383,57 @@ _ANSWER = "block long, bucket int, shared binary, hot binary"
 _GROUP = "block long, bucket int, stretch binary, place binary, length binary, smallest binary, number binary"
 
 
-def _occurrences(s: _Stretches, groups: pa.Table) -> tuple[np.ndarray, ...]:
-    """(text, start, length, smallest id, number of the group) for all occurrences in the block."""
+def _occurrences(s: _Stretches, groups: pa.Table, ids: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
+    """(text, start, length, number of the group) for occurrences in the block; of all groups, or of those with a smaller id."""
     found, at = [], dict(s.groups())
     by = np.argsort(s.of, kind="stable")
     spots = np.searchsorted(s.of[by], np.arange(len(s.bucket) + 1))
     for row in groups.to_pylist():
         kind = np.frombuffer(row["stretch"], np.uint32).astype(np.int64) + at[row["bucket"]].start
         n = spots[kind + 1] - spots[kind]
-        which = by[np.repeat(spots[kind] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        rep = lambda x, n=n: np.repeat(x, n)
-        number = np.frombuffer(row["number"], np.uint32).astype(np.int64) | row["bucket"] << 32 if row["number"] else kind
-        found.append((s.text[which], s.start[which] + rep(np.frombuffer(row["place"], np.uint16).astype(np.int64)), rep(np.frombuffer(row["length"], np.uint16).astype(np.int64)), rep(np.frombuffer(row["smallest"], np.int64)), rep(number)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
-
-
-def _read_block(table: pa.Table, right: pa.Table, least: int, gram_buckets: int, buckets: int) -> tuple:
-    a = Anchors(table["text"], least)
+        which = by[_runs(spots[kind], n)]
+        entry = np.repeat(np.arange(len(kind)), n)
+        if not whole:
+            use = np.frombuffer(row["smallest"], np.int64)[entry] < ids[s.text[which]]
+            which, entry = which[use], entry[use]
+        place, length = (np.frombuffer(row[c], np.uint16).astype(np.int64)[entry] for c in ("place", "length"))
+        number = np.frombuffer(row["number"], np.uint32).astype(np.int64)[entry] | row["bucket"] << 32 if whole else entry
+        found.append((s.text[which], s.start[which] + place, length, number))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def _read_block(table: pa.Table, right: pa.Table, least: int, gram_buckets: int, buckets: int, whole: bool) -> tuple:
+    a = Anchors(table["text"], least, 2)
     marked = right.filter(pa.compute.is_valid(right["stretch"]))
     if not marked.num_rows:
-        return a, (np.zeros(0, np.int64),) * 5
-    s = _Stretches(a, table["id"].to_numpy(), right.filter(pa.compute.is_valid(right["shared"])), gram_buckets, buckets)
-    return a, _occurrences(s, marked)
+        return a, (np.zeros(0, np.int64),) * 4
+    ids = table["id"].to_numpy()
+    s = _Stretches(a, ids, right.filter(pa.compute.is_valid(right["shared"])), gram_buckets, buckets)
+    return a, _occurrences(s, marked, ids, whole)
 
 
 def _cut_out(least: int, gram_buckets: int, buckets: int):
     def run(table: pa.Table, right: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"n_bytes": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary()), "row": table["row"]})
-        a, (text, start, length, smallest, _) = _read_block(table, right, least, gram_buckets, buckets)
-        use = smallest < table["id"].to_numpy()[text]
-        start, length = start[use], length[use]
-        step = np.zeros(len(a.data) + 1, np.int32)
-        np.add.at(step, start, 1)
-        np.add.at(step, start + length, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        edges = np.zeros(len(a.data) + 1, bool)  # where a run starts or ends; runs of two texts are two
-        edges[1:-1] = gone[1:] != gone[:-1]
-        if len(gone):
-            edges[0], edges[-1] = gone[0], gone[-1]
-        inner = a.offsets[(a.offsets > 0) & (a.offsets < len(a.data))]
-        inner = np.unique(inner[gone[inner] & gone[inner - 1]])
-        marks = np.sort(np.concatenate([np.flatnonzero(edges), inner, inner])).reshape(-1, 2)
-        of = np.searchsorted(a.offsets, marks[:, 0], "right") - 1 if len(marks) else np.zeros(0, np.int64)
-        per = np.bincount(of, minlength=table.num_rows)
-        at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
-        marks = marks - a.offsets[of][:, None]
-        spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=["start", "end"]))
-        kept = a.data[~gone].tobytes()
-        ends = np.concatenate([[0], np.cumsum(~gone)])[a.offsets].tolist() if len(gone) else [0] * len(a.offsets)
-        out = pa.table({"n_bytes": pa.array(np.diff(a.offsets)), "spans": spans, "kept": pa.array([kept[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "row": table["row"]})
+        a, (text, start, length, _) = _read_block(table, right, least, gram_buckets, buckets, False)
+        end = start + length
+        order = np.argsort(start, kind="stable")
+        text, start, end = text[order], start[order], np.maximum.accumulate(end[order])
+        # a run starts beyond the end of what came before, or in another text
+        cuts = np.flatnonzero(np.concatenate([[True], (start[1:] > end[:-1]) | (text[1:] != text[:-1])])) if len(start) else np.zeros(0, np.int64)
+        of, start, end = text[cuts], start[cuts], end[np.append(cuts[1:], len(end))[: len(cuts)] - 1]
+        at = np.searchsorted(of, np.arange(table.num_rows + 1))
+        whole, offsets = a.data.tobytes(), a.offsets.tolist()
+        kept, begins, stops, spots = [], start.tolist(), end.tolist(), at.tolist()
+        for i, (x, y) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            parts = []
+            for k in range(spots[i], spots[i + 1]):
+                parts.append(whole[x : begins[k]])
+                x = stops[k]
+            kept.append(b"".join([*parts, whole[x:y]]) if parts else whole[x:y])
+        marks = pa.StructArray.from_arrays([pa.array(start - a.offsets[of]), pa.array(end - a.offsets[of])], names=["start", "end"])
+        out = pa.table({"n_bytes": pa.array(np.diff(a.offsets)), "spans": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), marks), "kept": pa.array(kept, pa.binary()), "row": table["row"]})
         trim()
         return out
 
@@ -402,7 +449,7 @@ def _list_groups(least: int, gram_buckets: int, buckets: int):
             text = start = length = number = np.zeros(0, np.int64)
             ids, a = np.zeros(0, np.int64), None
         else:
-            a, (text, start, length, _, number) = _read_block(table, right, least, gram_buckets, buckets)
+            a, (text, start, length, number) = _read_block(table, right, least, gram_buckets, buckets, True)
             ids, start = table["id"].to_numpy(), start - a.offsets[text]
         return pa.table({"group": pa.array(number), "length": pa.array(length), "doc_id": pa.array(ids[text]), "start": pa.array(start)})
 
