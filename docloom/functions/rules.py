@@ -81,7 +81,7 @@ def support_type(url: Column | str, title: Column | str, body: Column | str, is_
 
 
 def url_category(url: Column | str, rules: Rules = URL_CATEGORIES) -> Column:
-    return first_rule(F.lower(F.coalesce(F.parse_url(col(url), F.lit("PATH")), F.lit(""))), rules, "")
+    return first_rule(F.lower(F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit(""))), rules, "")
 
 
 def category(text: Column | str, rules: Rules = TEXT_CATEGORIES) -> Column:
@@ -139,7 +139,7 @@ def changes_category(query: Column | str, history: Column | str, categories: Rul
 
 def followed_link(host: Column, url: Column, page_category: str) -> Column:
     """Whether a link on a page of host and category is followed."""
-    path = F.lower(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")))
+    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
     own = url_category(url)
     strict = ~F.lower(host).isin(STRICT_HOSTS) | contains_any(path, STRICT_PATHS.get(page_category, []))
-    return (F.parse_url(url, F.lit("HOST")) == host) & ((own == "") | (own == page_category)) & strict & contains_any(path, SUPPORT_PATHS)
+    return (F.try_parse_url(url, F.lit("HOST")) == host) & ((own == "") | (own == page_category)) & strict & contains_any(path, SUPPORT_PATHS)

@@ -92,7 +92,7 @@ def robots_gate(urls: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFr
     """urls (url) with allowed. rules: host, path (a prefix) and allow; the longest prefix decides, an
     allowing one among equals. answers: host and status of its robots file: one that is missing (404)
     allows all, another failure denies the host; a host without an answer counts as failed."""
-    rows = urls.withColumn("host", F.lower(F.parse_url("url", F.lit("HOST")))).withColumn("path", F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit("")))
+    rows = urls.withColumn("host", F.lower(F.try_parse_url("url", F.lit("HOST")))).withColumn("path", F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")))
     rows = rows.withColumn("path", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
     hit = (F.col("u.host") == F.col("r.host")) & F.startswith(F.col("u.path"), F.col("r.path"))
     best = rows.alias("u").join(rules.alias("r"), hit).groupBy(F.col("u.url").alias("url")).agg(F.max(F.struct(F.length("r.path").alias("n"), F.col("r.allow").alias("allow"))).alias("best"))
@@ -101,4 +101,4 @@ def robots_gate(urls: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFr
 
 
 def is_pdf(url: Column | str, content_type: Column | str) -> Column:
-    return F.coalesce(F.contains(F.lower(T.col(content_type)), F.lit("pdf")), F.lit(False)) | F.lower(F.coalesce(F.parse_url(T.col(url), F.lit("PATH")), F.lit(""))).endswith(".pdf")
+    return F.coalesce(F.contains(F.lower(T.col(content_type)), F.lit("pdf")), F.lit(False)) | F.lower(F.coalesce(F.try_parse_url(T.col(url), F.lit("PATH")), F.lit(""))).endswith(".pdf")

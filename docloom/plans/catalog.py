@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.functions import udfs as U
-from docloom.operators import chunking, cite, corpus, dialog, evaluation, search, service, stages
+from docloom.operators import chunking, cite, corpus, crawl, dialog, evaluation, search, service, stages
 from docloom.scratch import Scratch
 from docloom.session import ship_code
 from docloom.sources import files
@@ -330,6 +330,24 @@ def link_filter(spark, d):
     return kept.groupBy("page_id", "link").agg(F.min("pos").alias("first_seen"), F.max("followed").alias("followed"))
 
 
+@query()
+def crawl_pages(spark, d):
+    """A crawl of each host from its first two pages. The table answers; a page links to what its HTML
+    does, most of which is not there, and then to the next three pages of its host."""
+    pages = read(spark, d, "pages").withColumn("host", crawl.host_of("url"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
+    placed = Scratch(spark, "site").keep(pages.select("host", "url", place.alias("n")), "placed")
+    seeds = placed.where("n <= 2").select(F.col("host").alias("brand"), F.lit("all").alias("category"), F.col("n").cast("long").alias("turn"), "url")
+    nexts = placed.select("url", "host", "n").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select(F.col("url").alias("from"), "host", (F.col("n") + F.col("k")).alias("n"), "k")
+    nexts = nexts.join(placed.select("host", "n", F.col("url").alias("link")), ["host", "n"]).select("from", F.col("k") + 1_000_000, "link").toDF("from", "pos", "link")
+
+    def follow(rows):
+        more = rows.join(nexts, rows["url"] == nexts["from"]).select("brand", "category", "visit", "pos", "link")
+        return crawl.links_on()(rows).select("brand", "category", "visit", "pos", "link").unionByName(more)
+
+    return crawl.crawl(seeds, crawl.from_table(pages), follow).drop("content")
+
+
 TEST_TYPES: R.Rules = [("error_code", ["thess", "ndinhe"]), ("installation", ["tion of", "que le"]), ("parts", ["und der", "edth"])]
 TEST_LATE: R.Rules = [("usage", ["re the", "los"])]
 CASES = lambda x, rules, other: "CASE " + " ".join("WHEN " + " OR ".join(f"contains({x}, '{k}')" for k in ks) + f" THEN '{label}'" for label, ks in rules) + f" ELSE {other} END"
