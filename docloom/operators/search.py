@@ -17,51 +17,132 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.6, 0.4
 #: About so many queries, and so many vectors, of a block.
 BLOCK_QUERIES, BLOCK_VECTORS = 1024, 8192
-#: Bytes of the texts whose postings one task of the inverted index scores.
-BUCKET_BYTES = 32_000_000
+#: Bytes of the texts of a bucket of the inverted index, and the most buckets; documents of a block of it.
+BUCKET_BYTES, MOST_BUCKETS, BLOCK_DOCS = 32_000_000, 50_000, 256
+#: One block in so many is scored whole to learn which scores cannot be among the best; not fewer than so many.
+PROBE_PART, LEAST_PROBED = 32, 4
+#: A search that matches fewer postings reads them all, in fewer rounds; so does a query of which the bounds
+#: leave more than PRUNED_PART of its postings to be read.
+PRUNE_FROM, PRUNED_PART = 100_000_000, 0.2
+#: Scores are rounded to 6 places and sums have no fixed order.
+SLACK = 2e-6
 
 
 @dataclass(frozen=True)
 class Index:
-    """A written inverted index. postings (doc_id, term, tf, length) are dealt by document, so that a
-    task scores whole documents and keeps its k best before any exchange; terms: term, df, idf."""
+    """A written inverted index. postings (block, doc_id, term, tf, impact) are dealt by blocks of documents,
+    so that a task scores whole documents and keeps its k best before any exchange; impact is what the
+    term adds to a score for each unit of weight. bounds: block, term, most (the block's greatest
+    impact), dealt alike; terms: term, df, idf, most."""
 
     documents: DataFrame
     postings: DataFrame
+    bounds: DataFrame
     terms: DataFrame
+    blocks: int
     n: int
-    mean: float
 
 
-def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, length and counts (term, tf) of each document, with no exchange: a document is one row.
-    A null text has no tokens; the document counts all the same."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(F.coalesce(F.sort_array(tokens(text)), F.array().cast("array<string>")))).alias("t"))
-    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    rows = rows.select("doc_id", "t", F.explode(F.array(starts)).alias("s"))
-    count = lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("t")) - i).cast("long").alias("tf"))
-    return rows.select("doc_id", F.size("t").alias("length"), F.transform("s", count).alias("counts"))
+def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """more columns, doc_id, length, term and tf of each document; docs are dealt so that a document's rows
+    meet. A null text has no tokens; the document counts all the same."""
+    rows = docs.select(*more, F.col(doc_id).alias("doc_id"), F.explode(F.array(tokens(text))).alias("t"))
+    rows = rows.select(*more, "doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    return rows.groupBy(*more, "doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def term_weights(posting: DataFrame, n: int) -> DataFrame:
-    """term, df, idf: terms in more than half of the n documents get a part of the mean weight."""
-    raw = posting.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """term, df, idf, most: terms in more than half of the n documents get a part of the mean weight."""
+    raw = posting.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "most")  # one row
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """The index of all docs, written once in the shared folder. Ids are distinct."""
     scratch = Scratch(docs.sparkSession, "bm25")
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text)))).first()
-    buckets = max(8, (size or 0) // BUCKET_BYTES)
-    rows = term_counts(docs, doc_id, text).select("doc_id", F.inline("counts"), "length").select("doc_id", "term", "tf", "length")
-    posting = scratch.keep_bucketed(rows.repartition(buckets, "doc_id"), "postings", buckets, "doc_id", ["term"])
-    terms = scratch.keep(term_weights(posting, n), "terms")
-    total = posting.agg(F.sum("tf")).first()[0] or 0
-    return Index(docs.select(F.col(doc_id).alias("doc_id")), posting, terms, n, total / max(n, 1))
+    buckets, blocks = min(MOST_BUCKETS, max(8, (size or 0) // BUCKET_BYTES)), max(8, -(-n // BLOCK_DOCS))
+    dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(blocks)).alias("block"), doc_id, text).repartition(buckets, "block")
+    counts = scratch.keep_bucketed(term_counts(dealt, doc_id, text, "block"), "counts", buckets, "block", ["block", "term"])
+    mean = max((counts.agg(F.sum("tf")).first()[0] or 0) / max(n, 1), 1e-9)
+    impact = (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    postings = counts.select("block", "doc_id", "term", "tf", impact.alias("impact"))
+    bounds = scratch.keep_bucketed(postings.groupBy("block", "term").agg(F.max("impact").alias("most")), "bounds", buckets, "block", ["block", "term"])
+    return Index(docs.select(F.col(doc_id).alias("doc_id")), postings, bounds, scratch.keep(term_weights(postings, n), "terms"), blocks, n)
+
+
+def _weights(index: Index, queries: DataFrame) -> DataFrame:
+    """query_id, term, weight, most and df of the query words that the index has."""
+    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "most", "df")
+
+
+def _bound(most: str = "most") -> Column:
+    """The most that a term adds to a score; a negative weight adds nothing at most."""
+    return F.greatest(F.col("weight") * F.col(most), F.lit(0.0))
+
+
+def _essential(rows: DataFrame, *of: str) -> DataFrame:
+    """rows (weight, most, floor) with essential: of the terms of least bounds, those that stay under the
+    floor together are not; a document that has no other term than them cannot reach it."""
+    w = Window.partitionBy(*of).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bound", _bound())
+    return rows.withColumn("essential", F.sum("bound").over(w) >= F.col("floor") - SLACK)
+
+
+def _scores(postings: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    rows = postings.join(asked, on)
+    return rows.groupBy("block", "query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("part"))
+
+
+def _top(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """The steps of a search, each a table: whole (query_id, term, weight: words of queries that read all
+    postings), first (query_id, block, term, weight: postings that are read for all documents of a
+    block), rest (those that are read for candidates alone) and candidates (block, query_id, doc_id, part)."""
+
+    whole: DataFrame
+    first: DataFrame
+    rest: DataFrame
+    candidates: DataFrame
+    probed: DataFrame
+
+
+def _plan(index: Index, postings: DataFrame, asked: DataFrame, k: int, scratch: Scratch) -> _Plan:
+    # the k-th score in a part of the documents is a floor for that in all
+    probed = postings.where(F.col("block") < max(LEAST_PROBED, index.blocks // PROBE_PART))
+    found = _top(_scores(probed, asked, ["term"]).select("query_id", "doc_id", F.col("part").alias("score")), k)
+    floors = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "floor")
+    rows = _essential(asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "query_id")
+    own = Window.partitionBy("query_id")
+    read = F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).over(own) / F.sum("df").over(own)
+    rows = scratch.keep(rows.withColumn("pruned", read <= PRUNED_PART).drop("bound", "most"), "floored")
+    asked = rows.where("pruned")
+    # blocks that have a term which is essential for the whole corpus; then the terms that are for the block
+    blocks = index.bounds.join(asked.where("essential").select("query_id", "term"), "term").select("query_id", "block").distinct()
+    spread = blocks.join(asked.select("query_id", "term", "weight", "floor"), "query_id").join(index.bounds, ["block", "term"])
+    spread = scratch.keep(_essential(spread, "block", "query_id").select("query_id", "block", "term", "weight", "bound", "floor", "essential"), "spread")
+    first, rest = spread.where("essential"), spread.where("NOT essential")
+    more = spread.groupBy("block", "query_id").agg(F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).alias("more"), F.first("floor").alias("floor"))
+    parts = _scores(postings, first.select("query_id", "block", "term", "weight"), ["block", "term"])
+    parts = parts.join(more, ["block", "query_id"]).where(F.col("part") + F.col("more") >= F.col("floor") - SLACK)
+    candidates = scratch.keep(parts.select("block", "query_id", "doc_id", "part"), "candidates")
+    return _Plan(rows.where("NOT pruned").select("query_id", "term", "weight"), first, rest, candidates, probed)
+
+
+def _pruned(index: Index, postings: DataFrame, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    plan = _plan(index, postings, asked, k, scratch)
+    asked = plan.candidates.join(plan.rest.select("block", "query_id", "term", "weight"), ["block", "query_id"])
+    rest = index.postings.join(asked, ["block", "doc_id", "term"]).select("block", "query_id", "doc_id", (F.col("weight") * F.col("impact")).alias("part"))
+    some = plan.candidates.unionByName(rest).groupBy("block", "query_id", "doc_id").agg(F.sum("part").alias("part"))
+    return some.unionByName(_scores(postings, plan.whole, ["term"]))
 
 
 def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 10, where: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,21 +153,26 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, k: int = 10, where: DataFr
     are taken. A repeated query word counts as often as it stands there. Scores are rounded to 6
     places, ties go to the smaller id, and documents without any query word fill up to k with score 0.
     An empty query has no words: its hits are the first k documents.
+
+    The hits are exact, but a large search (PRUNE_FROM) does not read all postings: a part of the
+    blocks gives each query a floor that its k-th score reaches; elsewhere a document counts only if
+    it has a term without which it stays under the floor, by the bounds of its block, and its other
+    postings are read only if the sum of what it has and the bounds of the rest reaches the floor.
+    Queries of many common words, for which the bounds rule out little, read all of theirs.
     """
     index = docs if isinstance(docs, Index) else build_index(docs, doc_id, text)
-    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term")
+    scratch = Scratch(queries.sparkSession, "bm25-search")
     allowed = index.documents if where is None else where.select(F.col(doc_id).alias("doc_id")).distinct()
-    hits = index.postings if where is None else index.postings.join(allowed, "doc_id", "left_semi")
-    hits = hits.join(asked.select("query_id", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight")), "term")
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(max(index.mean, 1e-9))))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    postings = index.postings if where is None else index.postings.join(allowed, "doc_id", "left_semi")
+    asked = scratch.keep(_weights(index, queries), "asked")
+    matched = asked.agg(F.sum("df")).first()[0] or 0
+    scores = _scores(postings, asked, ["term"]) if matched < PRUNE_FROM else _pruned(index, postings, asked, k, scratch)
+    best = _top(scores.select("query_id", "doc_id", F.round("part", 6).alias("score")), k)
     # with fewer than k hits, the first 2k documents hold all that can fill up
     short = queries.select("query_id").join(best.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
     first = allowed.orderBy("doc_id").limit(2 * k)
     spare = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return best.drop("rank").unionByName(spare).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _top(best.drop("rank").unionByName(spare), k).select("query_id", "doc_id", "score", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:

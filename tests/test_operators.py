@@ -1,7 +1,10 @@
 import math
+import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
@@ -198,3 +201,59 @@ def test_client_words_end_at_ascii(spark):
     rows = spark.createDataFrame([("Und\u00f6teach",), ("a washer.",), ("washers",), ("my_fridge",)], "t string")
     got = [r["c"] for r in rows.select(rules.whole_word_category("t", [("g", ["und"]), ("w", ["washer", "fridge"])]).alias("c")).collect()]
     assert got == ["g", "w", None, None]
+
+
+def zipf_corpus(spark, n=3000, seed=4):
+    """Documents whose words fall off as in language, with a few that repeat rare words."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    weights = [1 / (i + 1) for i in range(2000)]
+    docs = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(5, 80)))) for i in range(n)]
+    docs += [(n + j, " ".join([f"w{500 + j % 40}"] * rng.randint(1, 6) + rng.choices(vocabulary, weights, k=20))) for j in range(800)] + [(n + 900, None), (n + 901, "")]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def plain_bm25(docs, query, k):
+    """The k best by the formula, document by document."""
+    words = [re.findall(r"\w+", (t or "").lower()) for _, t in docs]
+    n, mean = len(docs), sum(map(len, words)) / len(docs)
+    df = Counter(w for ws in words for w in set(ws))
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    out = []
+    for (i, _), ws in zip(docs, words):
+        tf = Counter(ws)
+        score = sum((raw[w] if raw[w] >= 0 else floor) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in re.findall(r"\w+", query.lower()) if w in df)
+        out.append((-round(score, 6), i))
+    return [(i, -s) for s, i in sorted(out)[:k]]
+
+
+def test_pruned_search_is_exact_and_reads_less(spark, monkeypatch):
+    monkeypatch.setattr(search, "PRUNE_FROM", 0)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 32)
+    monkeypatch.setattr(search, "PRUNED_PART", 0.5)
+    docs, table = zipf_corpus(spark)
+    asked = [(1, "w0 w1 w503"), (2, "w2 w510 w1 w0"), (3, "w3 w0 w520 w525"), (4, "nowhere"), (5, "w0 w1 w2 w3 w4 w5"), (6, ""), (7, "w1900 w0"), (8, "w505 w505 w1")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    index = search.build_index(table)
+    got = {}
+    for r in search.bm25(index, queries, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    for q, text in asked:
+        want = plain_bm25(docs, text, 5)
+        assert [(i, pytest.approx(s, abs=2e-6)) for _, i, s in sorted(got[q])] == want, q
+    weights = Scratch(spark, "t").keep(search._weights(index, queries.where("query_id IN (1, 2, 3, 8)")), "asked")
+    plan = search._plan(index, index.postings, weights, 5, Scratch(spark, "t"))
+    rest = plan.candidates.join(plan.rest.select("block", "query_id", "term"), ["block", "query_id"])
+    read = [plan.probed.join(weights, "term").count(), index.postings.join(plan.first, ["block", "term"]).count(), index.postings.join(rest, ["block", "doc_id", "term"]).count(), index.postings.join(plan.whole, "term").count()]
+    every = index.postings.join(weights, "term").count()
+    assert plan.whole.count() == 0 and 2 * sum(read) < every, (read, every)
+
+
+def test_an_index_has_bounded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(search, "BUCKET_BYTES", 10)
+    monkeypatch.setattr(search, "MOST_BUCKETS", 9)
+    _, table = zipf_corpus(spark, 100)
+    index = search.build_index(table)
+    assert index.postings.rdd.getNumPartitions() <= 9
+    assert search.bm25(index, spark.createDataFrame([(1, "w501")], "query_id long, query string"), 3).count() == 3
