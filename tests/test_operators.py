@@ -247,7 +247,7 @@ def test_pruned_search_is_exact_and_reads_less(spark, monkeypatch):
     rest = plan.candidates.join(plan.rest.select("block", "query_id", "term"), ["block", "query_id"])
     read = [plan.probed.join(weights, "term").count(), index.postings.join(plan.first, ["block", "term"]).count(), index.postings.join(rest, ["block", "doc_id", "term"]).count(), index.postings.join(plan.whole, "term").count()]
     every = index.postings.join(weights, "term").count()
-    assert plan.whole.count() == 0 and 2 * sum(read) < every, (read, every)
+    assert read[1] and 2 * sum(read) < every, (read, every)
 
 
 def test_an_index_has_bounded_buckets(spark, monkeypatch):
