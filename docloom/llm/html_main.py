@@ -3,11 +3,15 @@
 The standard library's parser streams events; blocks of text between block-level tags are the
 lines. Each line has a ratio of its characters to its tags, the ratios are smoothed by a Gaussian,
 and lines over a threshold of one standard deviation form the content cluster, but for those whose
-own ratio is under a tenth of it. Lines inside
-menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts are out
-beforehand. The content lines then choose the region of the page: the article or else the main
-element that holds all of them, or the innermost container that does. All remaining lines of that
-region are its text, short ones too.
+own ratio is under a tenth of it.
+
+The cluster decides twice. A container whose class, id or role speaks of menus, adverts, comments
+and the like, and a form, is out, unless it holds a larger part of the page's content than its
+names speak against it: a wrapper that is called `content has-sidebar` holds the article and stays.
+Then the content lines that are left choose the region of the page: the article or else the main
+element that holds more than half of them, by characters, or the innermost container of all of
+them. All remaining lines of that region are its text, short ones too. Elements that HTML has for
+something else (nav, aside, footer, scripts, fields, what is hidden) are out in any case.
 
 Each page is one row of one task: no shuffle.
 """
@@ -36,11 +40,11 @@ OWN = 0.1
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OPEN = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td template th tr ul".split())
 _BLOCK = _OPEN | frozenset("address br caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr li p pre summary thead tfoot".split())
-_REGION = frozenset("article body center div html main section".split())
+_REGION = frozenset("article body center div fieldset form html main section".split())
 _SELF_CLOSING = frozenset("p li dd dt option".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # fixed values: elements that never hold the article
-_OUT = frozenset("aside audio button canvas datalist dialog embed fieldset footer form head iframe input label menu math nav noscript object option script select style svg template textarea title video".split())
+_OUT = frozenset("aside audio button canvas datalist dialog embed footer head iframe input label menu math nav noscript object option script select style svg template textarea title video".split())
 # fixed values: words of class, id and role that mark what is not the article
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion banner banners cookie cookies consent gdpr notice notices "
@@ -48,24 +52,31 @@ _MARKS = frozenset(
     "recommendations share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation topbar toolbar masthead header footer foot comment comments commentlist reply replies "
     "respond disqus pagination pager skip copyright disclaimer legal complementary contentinfo search".split()
 )
+#: Part of the page's content that a container must hold to stay: without a name against it, and for all names.
+STAY, STAY_MORE = 0.25, 0.65
+#: What a form has against it by being one.
+FORM = 0.5
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _TAG = re.compile(r"<[/a-zA-Z!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _against(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+    """The part of an element's names that speak against it, by the attribute that speaks most; over 1: hidden."""
+    most = FORM if tag in ("form", "fieldset") else 0.0
     for name, value in attrs:
         if name == "hidden":
-            return True
+            return 2.0
         if not value:
             continue
         if name in ("class", "id", "role"):
-            if any(w in _MARKS for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower())):
-                return True
+            words = _WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower())
+            if words:
+                most = max(most, sum(w in _MARKS for w in words) / len(words))
         elif name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value.lower()):
-            return True
-    return False
+            return 2.0
+    return most
 
 
 class _Open(NamedTuple):
@@ -80,13 +91,13 @@ class _Open(NamedTuple):
 
 
 class _Lines(HTMLParser):
-    """Lines of a page as (text, tags, number of the innermost element); elements by number: (tag, parent),
-    parents first. What an event costs does not grow with the depth of nesting, but for elements it closes."""
+    """Lines of a page as (text, tags, number of the innermost element); elements by number: (tag, parent,
+    what its names have against it), parents first. What an event costs does not grow with the depth of nesting, but for elements it closes."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.elements: list[tuple[str, int]] = [("", -1)]
+        self.elements: list[tuple[str, int, float]] = [("", -1, 0.0)]
         self.stack: list[_Open] = [_Open("", 0, False, False, False)]
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
@@ -109,16 +120,17 @@ class _Lines(HTMLParser):
         if tag in _BLOCK and top.tag in _SELF_CLOSING and (tag not in ("ul", "ol", "dl", "div") or top.tag == "p"):
             self._pop(len(self.stack) - 1)
         _, parent, out, inside, header = self.stack[-1]
-        bad = tag in _OUT or tag == "header" and not out or tag not in ("html", "body", "article", "main") and tag not in _HEADING and _marked(tag, attrs)
-        bad = bad or tag == "article" and inside and _marked(tag, attrs)
+        against = 0.0 if tag in ("html", "body", "main") or tag in _HEADING or tag == "article" and not inside else _against(tag, attrs)
+        # a name inside a line of text, and what is hidden, is out; a container is judged when all is read
+        bad = tag in _OUT or tag == "header" and not out or against > 1 or against > 0 and tag not in _BLOCK
         if out and header and tag in _HEADING:
             bad, out, header = False, False, False  # the heading of an article that stands in the article's own header
         elif out:
             header = header and tag in ("header", "div", "section")
         elif bad:
             header = inside and tag == "header"
-        if bad or out or tag in _OPEN or tag in _SELF_CLOSING or tag in _HEADING:
-            self.elements.append((tag, parent))
+        if bad or out or against or tag in _OPEN or tag in _SELF_CLOSING or tag in _HEADING:
+            self.elements.append((tag, parent, against))
             self.stack.append(_Open(tag, len(self.elements) - 1, out or bad, inside or tag in ("article", "main"), header))
             self.open[tag] += 1
 
@@ -184,21 +196,17 @@ def main_text(html: str) -> str:
     parser.feed(without_cut_tag(html))
     parser.close()
     parser._end_line()
-    lines, elements = parser.lines, parser.elements
+    elements = parser.elements
+    lines = _without_marked(parser.lines, elements)
     if not lines:
         return ""
-    content = content_lines([len(text) / max(1, tags) for text, tags, _ in lines])
-    held, depth = [0] * len(elements), [0] * len(elements)  # content lines in each element
-    for (_, _, at), good in zip(lines, content, strict=True):
-        held[at] += good
-    for n in range(len(elements) - 1, 0, -1):
-        held[elements[n][1]] += held[n]
+    held = _held(lines, elements)
+    depth = [0] * len(elements)
     for n in range(1, len(elements)):
         depth[n] = depth[elements[n][1]] + 1
-    whole = [n for n in range(len(elements)) if held[n] == held[0]]
-    region = next((n for tag in ("article", "main") for n in whole if elements[n][0] == tag), None)
+    region = next((n for tag in ("article", "main") for n in range(len(elements)) if elements[n][0] == tag and 2 * held[n] > held[0]), None)
     if region is None:
-        region = max(whole, key=lambda n: (depth[n], n))
+        region = max((n for n in range(len(elements)) if held[n] == held[0]), key=lambda n: (depth[n], n))
         while elements[region][0] not in _REGION and elements[region][1] >= 0:
             region = elements[region][1]  # a paragraph, quote, list or table is no region
     inside = [False] * len(elements)
@@ -207,6 +215,29 @@ def main_text(html: str) -> str:
     return " ".join(text for text, _, at in lines if inside[at])
 
 
+def _held(lines: list[tuple[str, int, int]], elements: list[tuple[str, int, float]]) -> list[int]:
+    """Characters of content lines in each element."""
+    held = [0] * len(elements)
+    content = content_lines([len(text) / max(1, tags) for text, tags, _ in lines])
+    for (text, _, at), good in zip(lines, content, strict=True):
+        held[at] += len(text) if good else 0
+    for n in range(len(elements) - 1, 0, -1):
+        held[elements[n][1]] += held[n]
+    return held
+
+
+def _without_marked(lines: list[tuple[str, int, int]], elements: list[tuple[str, int, float]]) -> list[tuple[str, int, int]]:
+    """lines but for those in containers whose names have more against them than their content is worth."""
+    if not lines or not any(against for _, _, against in elements):
+        return lines
+    held = _held(lines, elements)
+    gone = [False] * len(elements)
+    for n in range(1, len(elements)):
+        _, parent, against = elements[n]
+        gone[n] = gone[parent] or against > 0 and held[n] <= (STAY + STAY_MORE * against) * held[0]
+    return [x for x in lines if not gone[x[2]]]
+
+
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without html, with text and n_chars (its code points).
 
