@@ -4,9 +4,13 @@ A paragraph is a line, or a group of neighbouring lines over which a notice may
 notices; a multinomial logistic regression, trained here on variants of notices, of sentences made of
 the licences' names, and of plain sentences, gives each family a score. The class `unknown` takes part
 like a family, and a family counts only above a probability that was set on sentences of other
-patterns, held out whole. A prediction stands if the paragraph also holds enough of the word pairs of
-one of the family's templates. Weights are whole thousandths,
-so that sums are exact everywhere.
+patterns, held out whole. Versions and neighbours (GPL 2 and 3, BSD 2 and 3, CC BY with more letters)
+are families of their own. A prediction stands if the paragraph also holds a template of the family:
+of a notice CONFIRM percent of its word pairs and all with a number, of a name all of its pairs and what
+ties it to a licence (`under`, `licensed`, `identifier`). A second family of a paragraph stands if its
+name has a template too, or is joined by `and` or `or` to one that has, and no rule speaks against it.
+A sentence that negates (`not licensed`) is unknown. Weights are whole thousandths, so that sums are
+exact everywhere.
 
 Main path: DataFrame functions. Training happens on the driver, on the notices below, of a fixed
 number, and not on the corpus. Only lines with a content word are cut into word pairs; weights and
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 #: Variants of each notice, and of each sentence made of a pattern and a name, for training.
 VARIANTS, MADE_VARIANTS = 10, 5
-#: Percent of a template's word pairs that a line must hold.
+#: Percent of a notice's word pairs that a paragraph must hold.
 CONFIRM = 60
+#: Weight, in thousandths, against a family whose name goes on as another's (MIT-0), and of a negation.
+AGAINST = 30_000
 SCALE = 1000
 #: Words that a wrapped notice may have more than the longest notice, for words put in between.
 SLACK = 8
@@ -37,9 +43,12 @@ NOTICES: dict[str, list[str]] = {
                    "you may not use this file except in compliance with the License"],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License version 3", "SPDX-License-Identifier: GPL-3.0",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "gpl-2.0": ["Released under the GNU General Public License version 2", "SPDX-License-Identifier: GPL-2.0",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
     "lgpl-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
     "bsd-3-clause": ["Licensed under the BSD 3-Clause License.", "Released under the 3-clause BSD license", "SPDX-License-Identifier: BSD-3-Clause",
                      "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-sa-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
@@ -56,6 +65,16 @@ NAMES: dict[str, list[str]] = {
     "agpl-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL version 3", "AGPLv3", "AGPL-3.0"],
     "bsd-3-clause": ["BSD 3-Clause License", "3-clause BSD license", "new BSD license", "BSD-3-Clause"],
     "mpl-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
+    "gpl-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL version 2", "GPLv2", "GPL-2.0"],
+    "lgpl-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL version 2.1", "LGPLv2.1", "LGPL-2.1"],
+    "bsd-2-clause": ["BSD 2-Clause License", "2-clause BSD license", "simplified BSD license", "BSD-2-Clause"],
+    "apache-1.1": ["Apache License, Version 1.1", "Apache License 1.1", "Apache-1.1"],
+    "mpl-1.1": ["Mozilla Public License, version 1.1", "Mozilla Public License 1.1", "MPL 1.1", "MPL-1.1"],
+    "epl-1.0": ["Eclipse Public License, version 1.0", "Eclipse Public License 1.0", "EPL 1.0", "EPL-1.0"],
+    "mit-0": ["MIT No Attribution License", "MIT-0 License", "MIT-0"],
+    "cc-by-nd-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives 4.0", "CC BY-ND 4.0"],
+    "cc-by-nc-sa-4.0": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "CC BY-NC-SA 4.0"],
+    "cc-by-nc-nd-4.0": ["Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "CC BY-NC-ND 4.0"],
     "isc": ["ISC License", "ISC licence", "ISC"],
     "epl-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0", "EPL-2.0"],
     "bsl-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"],
@@ -69,8 +88,12 @@ PATTERNS = [
     "Released under the {}.", "Licensed under the {}", "This project is licensed under the terms of the {}", "Distributed under the {}", "SPDX-License-Identifier: {}", "The code is {}-licensed.", "License: {}", "You can use this under {} terms",
     "Made available under {}.", "Use of this source code is governed by the {}", "It is covered by the {}", "Published under the {}",
 ]
-# pieces of such sentences that confirm a name
-TEMPLATES = ["under the {}", "under {}", "the {} terms", "under {} terms", "is {} licensed", "license {}", "license identifier {}", "by the {}", "of the {}"]
+# pieces of such sentences that confirm a name, and those that do so beside another one
+TEMPLATES = ["under the {}", "under {}", "the {} terms", "under {} terms", "is {} licensed", "license {}", "license identifier {}", "governed by the {}", "covered by the {}", "terms of the {}"]
+JOINED = ["or {}", "and {}", "or the {}", "and the {}"]
+# pairs of common words that tie a name to a licence, and pairs that negate
+CONTEXT = ["under the", "governed by", "covered by"]
+NEGATIONS = ["not licensed", "not released", "not distributed", "not published", "not available", "not covered", "not governed", "not under", "isn t", "never licensed", "never released", "neither licensed", "longer licensed", "longer under"]
 # plain sentences for the class unknown, with words of the notices; every fourth is held out
 OTHER = [
     "The driver showed her license at the gate.", "He was released from the hospital under supervision.", "The general public may visit the museum free of charge.", "Version 2.0 of the game comes out in May.",
@@ -93,8 +116,9 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(words: list[str]) -> set[str]:
-    """Content words and pairs of neighbours with at least one content word."""
-    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a not in STOP or b not in STOP}
+    """Content words and pairs of neighbours with at least one content word, or that tie or negate."""
+    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+    pairs = {x for x in pairs if x in CONTEXT or x in NEGATIONS or any(w not in STOP for w in x.split())}
     return {w for w in words if w not in STOP} | pairs
 
 
@@ -124,7 +148,10 @@ def model() -> tuple[list[str], dict[str, list[int]], list[int], float]:
     rng = np.random.default_rng(11)
     known = sentences(held=False)
     classes = [c for c, _ in known]
-    vocabulary = sorted({f for c, texts in known[1:] for t in texts for f in features_of(words_of(t))})
+    vocabulary = {f for c, texts in known[1:] for t in texts for f in features_of(words_of(t))}
+    # a name may end beside any word; what the templates name counts, and no other pair of held-out patterns
+    vocabulary |= {f for _, _, f, _, _, _ in notice_pairs()} | set(NEGATIONS)
+    vocabulary = sorted(vocabulary)
     place = {f: i for i, f in enumerate(vocabulary)}
 
     def sample(told: list[tuple[str, list[str]]]):
@@ -149,11 +176,11 @@ def model() -> tuple[list[str], dict[str, list[int]], list[int], float]:
         b[1:] -= 2.0 * (p - goal).mean(0)[1:]
     weights, bias = np.rint(w * SCALE).astype(int), np.rint(b * SCALE).astype(int)
     p = _softmax((held_x @ weights + bias) / SCALE)
-    best = p.argmax(1)
+    best, top = p[:, 1:].argmax(1) + 1, p[:, 1:].max(1)
     # the least probability of which 98 % of the held-out claims are right
-    sure = np.sort(p.max(1)[(best != held_y) & (best > 0)])[::-1]
-    claims = lambda least: ((best > 0) & (p.max(1) >= least)).sum()
-    least = next((x for x in np.arange(0.5, 0.9, 0.01) if (sure >= x).sum() <= 0.02 * claims(x)), 0.9)
+    sure = top[best != held_y]
+    claims = lambda least: (top >= least).sum()
+    least = next((x for x in np.arange(0.1, 0.95, 0.01) if (sure >= x).sum() <= 0.02 * claims(x)), 0.95)
     return classes, {f: weights[i].tolist() for f, i in place.items()}, bias.tolist(), float(np.round(least, 2))
 
 
@@ -162,18 +189,28 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def notice_pairs() -> list[tuple[int, str, str, int]]:
-    """(number, family, word pair, pairs in the template) for the template comparison."""
-    told = [(f, t) for f, texts in NOTICES.items() for t in texts] + [(f, t.format(x)) for f, names in NAMES.items() for x in names for t in TEMPLATES]
+def notice_pairs() -> list[tuple[int, str, str, int, int, int]]:
+    """(number, family, word pair, pairs in the template, whether this one is needed, what the template is:
+    0 a name, 1 a name beside another, 2 a notice) for the template comparison."""
+    told = [(f, t, None) for f, texts in NOTICES.items() for t in texts] + [(f, t.format(x), t) for f, names in NAMES.items() for x in names for t in [*TEMPLATES, *JOINED]]
     out, seen = [], set()
-    for family, text in told:
+    for family, text, template in told:
         pairs = tuple(sorted({f for f in features_of(words_of(text)) if " " in f}))
         if pairs and (family, pairs) not in seen:
             seen.add((family, pairs))
-            out += [(len(seen), family, p, len(pairs)) for p in pairs]
+            needed = [p for p in pairs if template or any(c.isdigit() for c in p)]
+            out += [(len(seen), family, p, len(pairs), int(p in needed), 2 if template is None else int(template in JOINED)) for p in pairs]
     return out
 
 
+def rules_against() -> list[tuple[str, int, int]]:
+    """(word pair, class, weight): names that go on as another family's name, and negations for all."""
+    classes = model()[0]
+    names = [(f, words_of(x)) for f, own in NAMES.items() for x in own]
+    goes_on = {(f"{a[-1]} {b[len(a)]}", f) for f, a in names for g, b in names if f != g and len(b) > len(a) and b[: len(a)] == a}
+    return [(pair, classes.index(f), -AGAINST) for pair, f in sorted(goes_on)] + [(pair, 0, AGAINST) for pair in NEGATIONS]
+
+
 def content_words() -> list[str]:
     return sorted({f for f in model()[1] if " " not in f})
 
@@ -183,7 +220,7 @@ def _quoted(rows: list[tuple]) -> str:
 
 
 def weight_rows() -> list[tuple[str, int, int]]:
-    return [(f, c, w) for f, row in model()[1].items() for c, w in enumerate(row) if w]
+    return [(f, c, w) for f, row in model()[1].items() for c, w in enumerate(row) if w] + rules_against()
 
 
 def _words(line: Column) -> Column:
@@ -224,10 +261,10 @@ def _paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def license_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h (hash of the text), pos, end, family and confirmed: every line (end is pos) and
-    every group of lines pos to end that has a feature.
+    every group of lines pos to end that has a feature, a row for each of its families.
 
-    family is unknown where no family reaches the least probability; confirmed says whether a
-    family's lines hold CONFIRM percent of one of its notices. Letters count in lower case.
+    The best family is unknown where none reaches the least probability; others count that a
+    template names there. Letters count in lower case.
     """
     spark = docs.sparkSession
     classes, features, bias, least = model()
@@ -235,23 +272,36 @@ def license_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     # a paragraph is its features once: repeated rows of one document meet here
     key = ["doc_id", "h", "pos", "end"]
-    known = spark.sql(f"SELECT * FROM VALUES {_quoted([(f,) for f in features])} AS t(f)")
+    known = spark.sql(f"SELECT * FROM VALUES {_quoted([(f,) for f in sorted({*features, *(f for f, _, _ in rules_against())})])} AS t(f)")
     grams = words.select(*key, F.explode(F.array_distinct(F.concat("w", pairs))).alias("f")).join(F.broadcast(known), "f")
     weights = spark.sql(f"SELECT * FROM VALUES {_quoted(weight_rows())} AS t(f, c, v)")
-    notices = spark.sql(f"SELECT * FROM VALUES {_quoted(notice_pairs())} AS t(k, family, f, of)")
+    notices = spark.sql(f"SELECT * FROM VALUES {_quoted(notice_pairs())} AS t(k, family, f, of, need, joined)")
     grams = grams.distinct()
     hits = grams.join(F.broadcast(weights), "f")
     sums = hits.groupBy(*key).agg(*(F.coalesce(F.sum(F.when(F.col("c") == k, F.col("v"))), F.lit(0)).alias(f"s{k}") for k in range(len(classes))))
     score = [F.col(f"s{k}") + bias[k] for k in range(len(classes))]
     top = F.greatest(*score)
-    share = 1 / sum((F.exp((s - top) / SCALE) for s in score), F.lit(0.0))
-    best = F.coalesce(*(F.when(s == top, F.lit(c)) for s, c in zip(score, classes, strict=True)))
-    named = sums.select(*key, F.when(share >= least, best).otherwise(F.lit("unknown")).alias("family"))
-    held = grams.join(F.broadcast(notices), "f").groupBy(*key, "k", "family").agg(F.count("*").alias("n"), F.max("of").alias("of"))
-    held = held.where(100 * F.col("n") >= CONFIRM * F.col("of")).select(*key, "family").distinct().withColumn("confirmed", F.lit(True))
-    same = [named[x].eqNullSafe(held[x]) for x in key]
-    joined = named.join(held, [*same, named["family"] == held["family"]], "left")
-    return joined.select(*(named[x] for x in key), named["family"], F.coalesce(held["confirmed"], F.lit(False)).alias("confirmed"))
+    family = F.greatest(*score[1:])
+    share = F.exp((family - top) / SCALE) / sum((F.exp((s - top) / SCALE) for s in score), F.lit(0.0))
+    best = F.coalesce(*(F.when(s == family, F.lit(c)) for s, c in zip(score[1:], classes[1:], strict=True)))
+    alone = [F.when(s - score[0] >= -AGAINST // 2, F.lit(c)) for s, c in zip(score[1:], classes[1:], strict=True)]
+    scored = sums.select(*key, F.when(share >= least, best).otherwise(F.lit("unknown")).alias("best"), F.array_compact(F.array(*alone)).alias("alone"))
+    held = grams.join(F.broadcast(notices), "f").groupBy(*key, "k", "family").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.sum("need").alias("needed"), F.max("joined").alias("joined"))
+    needs = spark.sql(f"SELECT * FROM VALUES {_quoted(_needs())} AS t(k, needs)")
+    held = held.join(F.broadcast(needs), "k").where((100 * F.col("n") >= CONFIRM * F.col("of")) & (F.col("needed") == F.col("needs")))
+    held = held.groupBy(*key).agg(F.count_if(F.col("joined") != 1).alias("tied"), F.collect_set(F.when(F.col("joined") < 2, F.col("family"))).alias("names"), F.collect_set("family").alias("templates"))
+    held = held.where("tied > 0").select(*(F.col(x).alias(f"{x}_") for x in key), "names", "templates")
+    none = F.array().cast("array<string>")
+    both = scored.join(held, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in key], "left").withColumns({c: F.coalesce(c, none) for c in ("names", "templates")})
+    more = F.when(F.col("best") == "unknown", F.array("best")).otherwise(F.array_union(F.array("best"), F.array_intersect("names", "alone")))
+    return both.select(*key, "templates", F.explode(more).alias("family")).select(*key, "family", F.array_contains("templates", F.col("family")).alias("confirmed"))
+
+
+def _needs() -> list[tuple[int, int]]:
+    found: dict[int, int] = {}
+    for k, _, _, _, need, _ in notice_pairs():
+        found[k] = found.get(k, 0) + need
+    return list(found.items())
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,21 +342,28 @@ def licenses_sql() -> str:
     score = [f"sum(CASE WHEN c = {k} THEN v ELSE 0 END) + {bias[k]}" for k in range(len(classes))]
     names = ", ".join(f"{s} AS s{k}" for k, s in enumerate(score))
     top = f"greatest({', '.join(f's{k}' for k in range(len(classes)))})"
-    best = "CASE " + " ".join(f"WHEN s{k} = m THEN '{c}'" for k, c in enumerate(classes)) + " END"
+    family = f"greatest({', '.join(f's{k}' for k in range(1, len(classes)))})"
+    best = "CASE " + " ".join(f"WHEN s{k} = y THEN '{c}'" for k, c in enumerate(classes) if k) + " END"
     total = " + ".join(f"exp((s{k} - m) / {SCALE}.0::DOUBLE)" for k in range(len(classes)))
+    alone = ", ".join(f"CASE WHEN s{k} - s0 >= {-AGAINST // 2} THEN '{c}' END" for k, c in enumerate(classes) if k)
     return f"""
 WITH weight(f, c, v) AS (VALUES {_quoted(weight_rows())}),
-notice(k, family, f, size) AS (VALUES {_quoted(notice_pairs())}),
+pair(k, family, f, size, need, joined) AS (VALUES {_quoted(notice_pairs())}),
+notice AS (SELECT *, sum(need) OVER (PARTITION BY k) AS needs FROM pair),
 l AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) x),
 w AS (SELECT doc_id, pos, regexp_extract_all(lower(line), '[a-z0-9]+') AS w FROM l),
 g AS (SELECT doc_id, pos, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS f FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, pos, {names} FROM g JOIN weight USING (f) GROUP BY doc_id, pos),
-m AS (SELECT *, {top} AS m FROM s),
-named AS (SELECT doc_id, pos, CASE WHEN 1 / ({total}) >= {least} THEN {best} ELSE 'unknown' END AS family FROM m),
-held AS (SELECT DISTINCT doc_id, pos, family FROM (
-  SELECT doc_id, pos, k, family, count(*) AS n, max(size) AS size FROM g JOIN notice USING (f) GROUP BY doc_id, pos, k, family) x WHERE 100 * n >= {CONFIRM} * size),
-r AS (SELECT n.doc_id, n.family, h.family IS NOT NULL AS ok FROM named n LEFT JOIN held h ON h.doc_id = n.doc_id AND h.pos = n.pos AND h.family = n.family WHERE n.family <> 'unknown'),
-d AS (SELECT doc_id, coalesce(array_to_string(list_sort(list(DISTINCT family) FILTER (WHERE ok)), ','), '') AS licenses, count(*) FILTER (WHERE ok) AS a, count(*) FILTER (WHERE NOT ok) AS b FROM r GROUP BY doc_id)
+m AS (SELECT *, {top} AS m, {family} AS y FROM s),
+named AS (SELECT doc_id, pos, CASE WHEN exp((y - m) / {SCALE}.0::DOUBLE) / ({total}) >= {least} THEN {best} ELSE 'unknown' END AS best, [{alone}] AS alone FROM m),
+t AS (SELECT doc_id, pos, k, family, max(joined) AS kind FROM g JOIN notice USING (f) GROUP BY doc_id, pos, k, family
+      HAVING 100 * count(*) >= {CONFIRM} * max(size) AND sum(need) = max(needs)),
+held AS (SELECT doc_id, pos, list(DISTINCT family) AS templates, coalesce(list(DISTINCT family) FILTER (WHERE kind < 2), []) AS names FROM t GROUP BY doc_id, pos HAVING count(*) FILTER (WHERE kind <> 1) > 0),
+r AS (SELECT n.doc_id, n.pos, family, list_contains(coalesce(templates, []), family) AS ok FROM (
+  SELECT n.doc_id, n.pos, templates, unnest(list_distinct(list_concat([best], list_intersect(coalesce(names, []), alone)))) AS family
+  FROM named n LEFT JOIN held h ON h.doc_id = n.doc_id AND h.pos = n.pos WHERE best <> 'unknown') n),
+d AS (SELECT doc_id, coalesce(array_to_string(list_sort(list(DISTINCT family) FILTER (WHERE ok)), ','), '') AS licenses, count(DISTINCT pos) FILTER (WHERE ok) AS a,
+             count(DISTINCT pos) - count(DISTINCT pos) FILTER (WHERE ok) AS b FROM r GROUP BY doc_id)
 SELECT x.doc_id, coalesce(licenses, '') AS licenses, coalesce(a, 0)::BIGINT AS n_license_lines, coalesce(b, 0)::BIGINT AS n_unconfirmed
 FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id
 """

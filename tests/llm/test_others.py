@@ -358,7 +358,7 @@ def test_pages_with_nulls_and_clashing_names(spark):
 
 
 def test_licenses(spark):
-    assert [licenses.model()[0][0], licenses.model()[3] >= 0.5] == ["unknown", True]
+    assert licenses.model()[0][0] == "unknown" and 0.1 < licenses.model()[3] < 0.95  # set by held-out sentences, off the ends of its grid
     texts = ["x\nReleased under the MIT License.\ny", "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", "She studied at MIT.", "a license", None, ""]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     assert [got[i] for i in range(6)] == ["mit", "apache-2.0,cc-by-nc-4.0", "", "", "", ""]
@@ -379,6 +379,35 @@ def test_held_out_licence_sentences(spark):
     assert [got[i] for i in range(6)] == ["mit", "mit", "apache-2.0", "bsl-1.0", "", ""]
 
 
+def test_versions_neighbours_negations_and_several_families(spark):
+    told = [
+        ("Licensed under the GNU General Public License version 2", "gpl-2.0"),
+        ("Released under the GNU Lesser General Public License, version 2.1", "lgpl-2.1"),
+        ("BSD 2-Clause License", ""),
+        ("Licensed under the BSD 2-Clause License.", "bsd-2-clause"),
+        ("Licensed under the Apache License, Version 1.1", "apache-1.1"),
+        ("Licensed under the Mozilla Public License 1.1", "mpl-1.1"),
+        ("Licensed under CC BY-ND 4.0", "cc-by-nd-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"),
+        ("Licensed under MIT-0", "mit-0"),
+        ("This is not licensed under the MIT License", ""),
+        ("The MIT license was invented in Boston", ""),
+        ("License: MIT OR Apache-2.0", "apache-2.0,mit"),
+        ("Dual licensed under MIT and Apache 2.0", "apache-2.0,mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+        ("Licensed under the GNU General Public License, version 3", "gpl-3.0"),
+        ("Licensed under the GNU Affero General Public License, version 3", "agpl-3.0"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2.0"),
+        ("Stanford or MIT", ""),
+        ("The code is no longer licensed under the Apache License, Version 2.0", ""),
+        ("Licensed under the MIT license", "mit"),
+        ("Released under the Eclipse Public License 2.0", "epl-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only OR BSD-2-Clause", "bsd-2-clause,gpl-2.0"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs(spark, ["word " * 5 + "\n" + t for t, _ in told])).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(told)] == told
+
+
 def test_wrapped_notices(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
