@@ -182,11 +182,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def _blocks(rows: DataFrame, size: int, *columns: str) -> DataFrame:
-    """dim, b and rows (columns): rows dealt by their id, the first of columns, into blocks of about size."""
+def _blocks(rows: DataFrame, size: int, *columns: str) -> tuple[DataFrame, int]:
+    """(dim, b and rows (columns): rows dealt by their id, the first of columns, into blocks of about size; how many blocks)."""
     n = max(1, -(-rows.count() // size))
     dealt = rows.select(F.size(columns[1]).alias("dim"), F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int").alias("b"), *columns)
-    return dealt.groupBy("dim", "b").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return dealt.groupBy("dim", "b").agg(F.collect_list(F.struct(*columns)).alias("rows")), n
 
 
 def _best(k: int, same: bool):
@@ -231,9 +231,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None
         good = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.where(F.col(own).isNotNull() & F.col(vector).isNotNull() & good)
 
-    asked = _blocks(fine(queries, "query_id", "query_vector"), BLOCK_QUERIES, "query_id", "query_vector", *more).select("dim", F.col("b").alias("q"), F.col("rows").alias("asked"))
-    held = _blocks(fine(vectors, vec_id, embedding), BLOCK_VECTORS, vec_id, embedding, *more)
-    pairs = asked.join(held, "dim").repartition("dim", "q", "b").select("asked", "rows")
+    asked, _ = _blocks(fine(queries, "query_id", "query_vector"), BLOCK_QUERIES, "query_id", "query_vector", *more)
+    held, n = _blocks(fine(vectors, vec_id, embedding), BLOCK_VECTORS, vec_id, embedding, *more)
+    # each block of queries once for each block of vectors, so that the keys are as many as these
+    asked = asked.select("dim", F.col("rows").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    pairs = asked.join(held, ["dim", "b"]).select("asked", "rows")
     scored = pairs.mapInArrow(_best(k, same is not None), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
