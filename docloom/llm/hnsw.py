@@ -222,7 +222,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF_SEARC
     # blocks travel to the shards of their dimension; an index moves once, or with few shards in a few copies
     copies = max(1, min(n_blocks, LEAST_TASKS // shards))
     held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "ids", "vectors", "layers", "entry", F.lit(None).cast("array<struct<query_id:bigint,embedding:array<float>>>").alias("queries"))
-    sent = blocks.join(index.select("dim", "shard"), "dim").select("dim", "shard", F.pmod("block", F.lit(copies)).cast("int").alias("copy"), *(F.lit(None).cast(t).alias(c) for c, t in index.dtypes if c in ("ids", "vectors", "layers", "entry")), "queries")
+    # a block for each shard that its dimension has: the keys are as many as shards, not as dimensions
+    each = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index.select("dim", "shard"), ["dim", "shard"])
+    sent = each.select("dim", "shard", F.pmod("block", F.lit(copies)).cast("int").alias("copy"), *(F.lit(None).cast(t).alias(c) for c, t in index.dtypes if c in ("ids", "vectors", "layers", "entry")), "queries")
     key = ["dim", "shard", "copy"]
     tasks = held.union(sent).repartition(shards * copies, *key).sortWithinPartitions(*key, F.col("queries").isNotNull())
     found = tasks.mapInArrow(_searched(k, ef), "query_id long, vec_id long, score double")

@@ -200,6 +200,23 @@ def test_repeated_rows_take_no_place_of_other_ids(spark):
     assert found == {7: [8, *range(20, 29)], 100: list(range(20, 30))}
 
 
+@pytest.mark.parametrize("n, shard_rows", [(4096, 4096), (9000, 4096), (9000, 9000)])
+def test_recall_of_whole_shards(spark, n, shard_rows):
+    rng = np.random.default_rng(n + shard_rows)
+    vectors = (rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(n, 24))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    asked = np.arange(0, n, 100)
+    got = hnsw.nearest(rows, rows.where("vec_id % 100 = 0"), k=10, shard_rows=shard_rows).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    gap = np.sqrt(((vectors[asked].astype(float)[:, None] - vectors.astype(float)[None]) ** 2).sum(2))
+    gap[np.arange(len(asked)), asked] = np.inf
+    best = np.argsort(gap, 1, kind="stable")[:, :10]
+    recall = sum(len(found[q] & set(b.tolist())) for q, b in zip(asked.tolist(), best, strict=True)) / best.size
+    assert len(found) == len(asked) and recall >= 0.95, recall
+
+
 def test_main_text():
     page = '<body class="x"><div class="menu">m</div><div id="c"><h1>T</h1><p>' + "Long text. " * 20 + '<p>Short.<p class="notice">n<p>a&nbsp;&lt;b&gt;</div><div class="comments">c</div><footer>f</footer><script>"</p>"</script>'
     assert main_text(page) == "T " + "Long text. " * 20 + "Short. a <b>"
