@@ -631,6 +631,16 @@ def query_response(spark, d):
     return service.answered(rows, {"s": "Please call."}, TEST_TABLES["safety"]).drop("query", "drafted")
 
 
+@query()
+def respond_requests(spark, d):
+    """The whole way from each conversation's last turn to its response, over the documents."""
+    texts = documents(spark, d).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("url"))
+    asked = requests(spark, d).withColumn("history", F.transform("history", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))))
+    asked = asked.where(T.strip("query") != "").withColumnRenamed("conv_id", "query_id")
+    out = service.respond(asked, bm25_index(spark, d), read(spark, d, "embeddings"), texts, TEST_TABLES, referrals={"s": "Please call."})
+    return out.withColumns({"citations": F.size("citations"), "trace": F.col("trace.passage_count")})
+
+
 @query(f"""WITH {HISTORY_CTE}, x AS (SELECT conv_id, m[-1].t AS q, m[:len(m) - 1] AS b FROM h),
 y AS (SELECT conv_id, q, array_to_string(list_transform(list_filter(b[-6:], lambda x: {STRIP('x.t')} <> ''), lambda x: upper(x.r[1]) || x.r[2:] || ': ' || {STRIP('x.t')}), chr(10)) AS told, len(list_filter(b, lambda x: x.r = 'assistant')) AS n FROM x)
 SELECT conv_id, 'C: ' || told || ' Q: ' || CASE WHEN told = '' THEN q ELSE 'History:' || chr(10) || told || chr(10) || chr(10) || 'Latest: ' || q || chr(10) || chr(10) || CASE WHEN n >= 2 THEN 'Conclude and name the next action.' ELSE 'Ask one next question or give the next step.' END END || '.' AS prompt FROM y""")

@@ -6,6 +6,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from docloom.functions import rules
 from docloom.functions import text as T
+from docloom.functions.udfs import hashed_vector
 from docloom.operators import dialog, evaluation, search, service, stages
 from docloom.sources import files
 from tests.test_operators import loop_structure
@@ -162,3 +163,29 @@ def test_items_to_vectors_and_export(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"items": []}')
     with pytest.raises(Exception, match="no array of items"):
         files.json_items(spark, str(tmp_path / "x.json"), StructType([StructField("id", StringType())]), list_only=True).collect()
+
+
+def written(text):
+    if "pump" in text.split("Question:")[1]:
+        raise ConnectionError("no model here")
+    return "The door seal keeps water inside the drum. Something else entirely."
+
+
+def test_a_request_to_its_response(spark):
+    docs = spark.createDataFrame([(0, "The washer door seal keeps water inside the drum. Wipe it dry.", "u0"), (1, "A pump of the washer moves water out.", "u1"), (2, "Bananas are yellow.", "u2")], "id long, text string, url string")
+    index = search.build_index(docs, "id")
+    vectors = docs.select(F.col("id").alias("vec_id"), hashed_vector("text", F.lit(64)).alias("embedding"))
+    tables = {"categories": [("washer", ["washer"]), ("fridge", ["fridge"])], "brands": [("acme", ["acme"])], "topics": ["how"], "problems": ["broken"], "safety": [("gas", ["gas"])]}
+    turn = [("user", "hello"), ("assistant", "yes?")]
+    rows = [(1, "how does the washer work", None), (2, "washer seal", turn), (3, "acme washer door seal water drum", turn), (4, "acme washer pump moves water", turn), (5, "gas near the acme washer door seal", turn), (6, "zzz qqq xxx", None), (7, "how does the fridge work", [("user", "my washer is broken"), ("assistant", "oh")])]
+    asked = spark.createDataFrame(rows, "query_id long, query string, history array<struct<role: string, text: string>>")
+    score = search.overlap("query", "text")
+    got = {r["query_id"]: r for r in service.respond(asked, index, vectors, docs, tables, score=score, answer=service.generated(written), referrals={"gas": "Leave the house."}, k=2).collect()}
+    assert {q: r["decision"] for q, r in got.items()} == {1: "need_specifications", 2: "need_brand", 3: "answer", 4: "answer", 5: "safety", 6: "low_confidence", 7: "need_specifications"}
+    assert got[1]["trace"] is None and not got[1]["refusal"] and got[6]["refusal"] and got[6]["refusal_reason"] == "Low confidence"
+    assert got[5]["answer"] == "Leave the house." and got[5]["safety_category"] == "gas" and got[5]["trace"]["passage_count"] == 2
+    assert got[3]["answer"].startswith("The door seal") and [(c["sentence_no"], c["passage_rank"]) for c in got[3]["citations"]] == [(0, 1)]
+    assert got[4]["answer"] == "[ERROR] Generation failed: no model here"
+    plain = {r["query_id"]: r for r in service.respond(asked, index, vectors, docs, tables, score=score, k=2).collect()}
+    assert "door seal" in plain[3]["answer"] and plain[6]["answer"] == got[6]["answer"]
+    assert service.respond(asked.limit(0), index, vectors, docs, tables).collect() == []
