@@ -200,7 +200,7 @@ def test_repeated_rows_take_no_place_of_other_ids(spark):
     assert found == {7: [8, *range(20, 29)], 100: list(range(20, 30))}
 
 
-@pytest.mark.parametrize("n, shard_rows", [(4096, 4096), (9000, 4096), (9000, 9000)])
+@pytest.mark.parametrize("n, shard_rows", [(4096, 4096), (5000, 5000)])
 def test_recall_of_whole_shards(spark, n, shard_rows):
     rng = np.random.default_rng(n + shard_rows)
     vectors = (rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(n, 24))).astype(np.float32)
