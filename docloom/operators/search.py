@@ -182,6 +182,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def usable(rows: DataFrame, own: str, vector: str, *numbers: str) -> DataFrame:
+    """Rows with an id and a vector of finite numbers, in double precision; other columns go."""
+    rows = rows.select(F.col(own).cast("long").alias(own), F.col(vector).cast("array<double>").alias(vector), *(F.col(c).cast("double").alias(c) for c in numbers))
+    good = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col(own).isNotNull() & F.col(vector).isNotNull() & good)
+
+
 def _blocks(rows: DataFrame, size: int, *columns: str) -> tuple[DataFrame, int]:
     """(dim, b and rows (columns): rows dealt by their id, the first of columns, into blocks of about size; how many blocks)."""
     n = max(1, -(-rows.count() // size))
@@ -189,7 +196,7 @@ def _blocks(rows: DataFrame, size: int, *columns: str) -> tuple[DataFrame, int]:
     return dealt.groupBy("dim", "b").agg(F.collect_list(F.struct(*columns)).alias("rows")), n
 
 
-def _best(k: int, same: bool):
+def best_of_blocks(k: int, same: bool):
     """Pairs of a block of queries and a block of vectors to the k best of each query in the block."""
 
     def unit(rows: pa.StructArray) -> np.ndarray:
@@ -225,18 +232,12 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None
     take no part; vectors of another length than the query's are no candidates.
     """
     more = [same] if same else []
-
-    def fine(rows: DataFrame, own: str, vector: str) -> DataFrame:
-        rows = rows.select(F.col(own).cast("long").alias(own), F.col(vector).cast("array<double>").alias(vector), *(F.col(c).cast("double").alias(c) for c in more))
-        good = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return rows.where(F.col(own).isNotNull() & F.col(vector).isNotNull() & good)
-
-    asked, _ = _blocks(fine(queries, "query_id", "query_vector"), BLOCK_QUERIES, "query_id", "query_vector", *more)
-    held, n = _blocks(fine(vectors, vec_id, embedding), BLOCK_VECTORS, vec_id, embedding, *more)
+    asked, _ = _blocks(usable(queries, "query_id", "query_vector", *more), BLOCK_QUERIES, "query_id", "query_vector", *more)
+    held, n = _blocks(usable(vectors, vec_id, embedding, *more), BLOCK_VECTORS, vec_id, embedding, *more)
     # each block of queries once for each block of vectors, so that the keys are as many as these
     asked = asked.select("dim", F.col("rows").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
     pairs = asked.join(held, ["dim", "b"]).select("asked", "rows")
-    scored = pairs.mapInArrow(_best(k, same is not None), "query_id long, vec_id long, score double")
+    scored = pairs.mapInArrow(best_of_blocks(k, same is not None), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

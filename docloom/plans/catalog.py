@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.functions import udfs as U
-from docloom.operators import chunking, cite, corpus, crawl, dialog, evaluation, search, service, stages
+from docloom.operators import cells, chunking, cite, corpus, crawl, dialog, evaluation, search, service, stages
 from docloom.scratch import Scratch
 from docloom.session import ship_code
 from docloom.sources import files
@@ -117,6 +117,29 @@ def dense_filtered_topk(spark, d):
     return search.dense(read(spark, d, "embeddings"), vector_questions(spark, d), 10, same="label")
 
 
+_CELLS: dict[tuple, cells.Cells] = {}
+
+
+def vector_index(spark, d) -> cells.Cells:
+    """The index of the embeddings, written once for an application and the files as they are."""
+    rows = read(spark, d, "embeddings")
+    key = (spark.sparkContext.applicationId, d, *files.stamps(spark, rows))
+    if key not in _CELLS:
+        dimension = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+        _CELLS[key] = cells.build(rows, Scratch(spark, "vector-index").path("index"), dimension, shared=["label"])
+    return _CELLS[key]
+
+
+@query(f"WITH {DENSE_CTE} {DENSE_TOP.format('', 10)}")
+def dense_index_topk(spark, d):
+    return cells.nearest(vector_index(spark, d), vector_questions(spark, d), 10)
+
+
+@query(f"WITH {DENSE_CTE} {DENSE_TOP.format(' WHERE ql = vl', 10)}")
+def dense_index_filtered_topk(spark, d):
+    return cells.nearest(vector_index(spark, d), vector_questions(spark, d), 10, same="label")
+
+
 @query("""SELECT count(*) AS vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_dimension,
   count(*) FILTER (WHERE sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) NOT BETWEEN 0.99 AND 1.01) AS bad_norm FROM embeddings""")
 def dense_norm_check(spark, d):
