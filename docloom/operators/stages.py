@@ -5,14 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import rules as R
 from docloom.functions import text as T
-from docloom.functions.udfs import hashed_vector, nfkc
+from docloom.functions.udfs import hashed_vector, html_markdown, nfkc
 from docloom.operators import chunking, corpus
+from docloom.scratch import Scratch
 from docloom.sources import files
+from docloom.sources.versions import Version, Versions
 
 _CHUNK = ["chunk_id", "text", "strategy", "heading_path", "url", "brand", "category", "title", "has_table", "page_type"]
 
 
+EXTRACTED = "url string, doc_id string, source_url string, brand string, category string, title string, heading_path string, page_type string, has_table boolean, content_hash string, crawl_timestamp string, effective_date string, status string, owner string, error string, text string"
+NORMALIZED = "url string, brand string, category string, title string, has_table boolean, page_type string, status string, text string"
+CHUNKS = "chunk_id string, text string, strategy string, heading_path string, url string, brand string, category string, title string, has_table boolean, page_type string"
+
+
+def extracted(raw: DataFrame, done: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """The rows that extraction adds to its manifest, with their text: of raw pages (url, brand,
+    category, is_pdf, scraped_at, status, content) that are ok and have no ok row in done.
+
+    ok rows have source_url and text; the others have url. A page whose text equals that of an earlier
+    one, by scraped_at and address, or that of one of owners (content_hash, owner), is a duplicate and
+    names its owner; one that cannot be read is failed, with an error, as are PDF files, which have no
+    reader. Pages without an address are passed over, null pages have an empty text. Texts move once,
+    by a number of their own: a text that a third of the pages share is no hot key.
+    """
+    scratch = Scratch(raw.sparkSession, "extract")
+    rows = raw.where("status = 'ok' AND url IS NOT NULL").withColumn("is_pdf", F.coalesce("is_pdf", F.lit(False)))
+    if done is not None:
+        rows = corpus.not_done(rows, done.select(T.filled("url", "source_url").alias("url"), "status"))
+    read = rows.withColumn("m", html_markdown(F.when(~F.col("is_pdf"), F.col("content")), F.col("url")))
+    text = F.when(~F.col("is_pdf"), T.without_boilerplate("m.body"))
+    error = F.when(F.col("is_pdf"), "no reader for PDF files").otherwise(F.col("m.error"))
+    read = read.select("url", "brand", "category", "scraped_at", "is_pdf", F.col("m.title").alias("title"), text.alias("text"), error.alias("error"))
+    pages = scratch.keep(read.withColumns({"content_hash": T.content_hash("text"), "n": F.monotonically_increasing_id()}), "pages")
+    first = pages.where("text IS NOT NULL").groupBy("content_hash").agg(F.min(F.struct("scraped_at", "url", "n")).alias("first"))
+    held = raw.sparkSession.createDataFrame([], "content_hash string, owner string") if owners is None else owners.groupBy("content_hash").agg(F.min("owner").alias("owner"))
+    first = scratch.keep(first.join(held, "content_hash", "left"), "first")
+    own = first.where("owner IS NULL").select(F.col("first.n").alias("n"))
+    none = F.lit(None).cast("string")
+    ok = pages.join(own, "n", "left_semi").select(
+        none.alias("url"), T.url_hash("url").alias("doc_id"), F.col("url").alias("source_url"), "brand", "category", "title", T.heading_path("text").alias("heading_path"),
+        R.support_type("url", F.lit(""), "text", F.col("is_pdf")).alias("page_type"), F.contains("text", F.lit("|---")).alias("has_table"), "content_hash", F.coalesce("scraped_at", F.lit("")).alias("crawl_timestamp"),
+        none.alias("effective_date"), F.lit("ok").alias("status"), none.alias("owner"), none.alias("error"), "text",
+    )
+    again = pages.select("url", "content_hash", "n").join(first, "content_hash").where("owner IS NOT NULL OR n <> first.n")
+    again = again.select("url", "content_hash", F.coalesce("owner", "first.url").alias("owner"), F.lit("duplicate").alias("status"))
+    failed = pages.where("text IS NULL").select("url", F.lit("failed").alias("status"), F.coalesce("error", F.lit("")).alias("error"))
+    columns = ok.columns
+    return ok.unionByName(again, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True).select(columns)
+
+
+def run_extraction(store: Versions, raw: DataFrame, marks: dict[str, int] | None = None, hold_days: int | None = None) -> Version:
+    """Extracts and cleans pages and commits the rows of both manifests at once.
+
+    Pages that are done are passed over, and what an earlier run has extracted owns its text; with
+    hold_days only for as long after it was scraped, so that what a run looks up is bounded.
+    """
+    base = store.current()
+    done = store.read("extracted", EXTRACTED, base)
+    owners = done.where("status = 'ok'").select("content_hash", F.col("source_url").alias("owner"), "crawl_timestamp")
+    if hold_days is not None:
+        oldest = raw.agg(F.min(F.try_to_timestamp("scraped_at"))).first()[0]
+        if oldest is not None:
+            owners = owners.where(F.try_to_timestamp("crawl_timestamp") >= F.lit(oldest) - F.make_dt_interval(F.lit(hold_days)))
+    scratch = Scratch(raw.sparkSession, "run")
+    rows = scratch.keep(extracted(raw, done, owners), "rows")
+    made = store.change(append={"extracted": rows, "normalized": cleaned(rows, store.read("normalized", NORMALIZED, base))}, marks=marks, base=base)
+    scratch.drop("rows")
+    return made
+
+
+def run_chunking(store: Versions, strategy: str | None = None) -> Version:
+    """Chunks all cleaned pages anew, by both strategies or by one, and commits the table."""
+    base = store.current()
+    existing = store.read("chunks", CHUNKS, base) if "chunks" in base.tables else None
+    made = chunked(store.read("normalized", NORMALIZED, base), existing, strategy)
+    return store.change(replace={"chunks": made}, base=base)
+
+
 def cleaned(records: DataFrame, done: DataFrame) -> DataFrame:
     """The rows that cleaning adds to its manifest, with their text: records (url, source_url, brand,
     category, title, has_table, page_type, status, text) that are ok and not done yet."""
@@ -70,8 +142,7 @@ def rebuild_index(chunks: DataFrame, path: str, dimension: int = 64, embed=hashe
     n, bad = written.agg(F.count("*"), F.count_if(~norm.between(0.99, 1.01))).first()
     if not n or bad or n != chunks.count():
         raise ValueError(f"{n} vectors for {chunks.count()} chunks, {bad} of them not normalised")
-    written.write.mode("overwrite").parquet(path)
-    files.remove(spark, new)
+    files.replace(spark, new, path)
     return spark.read.parquet(path)
 
 

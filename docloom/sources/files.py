@@ -80,6 +80,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Gives a written folder the name of another, which is kept beside it until then."""
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = path.rstrip("/") + "_old"
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be renamed")
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} cannot be renamed")
+    fs.delete(at(old), True)
+
+
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The chunk table; no rows if there is none yet."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
