@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import rules as R
 from docloom.functions import text as T
 from docloom.functions import udfs as U
-from docloom.operators import cells, chunking, cite, corpus, crawl, dialog, evaluation, search, service, stages
+from docloom.operators import cells, chunking, cite, corpus, crawl, dialog, evaluation, search, service, session, stages
 from docloom.scratch import Scratch
 from docloom.session import ship_code
 from docloom.sources import files
@@ -719,6 +719,41 @@ def robots_gate(spark, d):
     return stages.robots_gate(pages.distinct(), rules, answers).join(pages.groupBy("url").agg(F.count("*").alias("n")), "url")
 
 
+# words of the test texts in the client's tables
+CLIENT_TABLES = {"categories": [("a", ["the", "that"]), ("b", ["der", "que"]), ("c", ["and", "le"])], "brands": [("X", ["with", "und", "la"]), ("Y", ["of"])], "appliances": ["the", "that", "der", "que", "and", "le"], "questions": ["of", "in", "ist", "un"]}
+_FIRST_WHOLE = lambda rules: "CASE " + " ".join(f"WHEN {WHOLE('|'.join(names))} THEN '{label}'" for label, names in rules) + " END"
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce({STRIP('text')}, '') AS text FROM conversations WHERE role = 'user'),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) AS k, {_FIRST_WHOLE(CLIENT_TABLES['categories'])} AS cat, {_FIRST_WHOLE(CLIENT_TABLES['brands'])} AS br,
+  len(regexp_split_to_array(text, '{WS}+')) >= 3 AND {WHOLE('|'.join(CLIENT_TABLES['appliances']))} AND {WHOLE('|'.join(CLIENT_TABLES['questions']))} AS iss,
+  {CASES('lower(text)', TEST_TABLES['categories'], 'NULL')} IS NOT NULL AND len({WORDS('text')}) >= 3 AND (contains(lower(text), 'tion') OR contains(lower(text), 'und') OR contains(lower(text), 're the') OR contains(lower(text), 'le la')) AS unclear FROM u),
+e AS (SELECT conv_id, 0::BIGINT AS k, NULL::BIGINT AS turn, 'new' AS phase, 'none' AS action, NULL::VARCHAR AS query, 0 AS history, NULL::VARCHAR AS category, NULL::VARCHAR AS brand, false AS reset, NULL::VARCHAR AS product FROM (SELECT DISTINCT conv_id FROM u) x
+  UNION ALL
+  SELECT conv_id, k, turn,
+    CASE WHEN blank THEN phase WHEN opens THEN CASE WHEN unclear THEN 'product' ELSE 'talk' END WHEN phase = 'product' THEN CASE WHEN br IS NULL THEN 'product' ELSE 'issue' END ELSE 'talk' END,
+    CASE WHEN blank THEN 'none' WHEN opens THEN CASE WHEN unclear THEN 'ask_product' ELSE 'query' END WHEN phase = 'product' THEN CASE WHEN br IS NULL THEN 'ask_brand' ELSE 'ask_issue' END ELSE 'query' END,
+    CASE WHEN blank OR (opens AND unclear) OR (NOT opens AND phase = 'product') THEN NULL WHEN NOT opens AND phase = 'issue' THEN text || ' (' || product || ')' ELSE text END,
+    CASE WHEN blank THEN history WHEN opens THEN CASE WHEN unclear THEN 1 ELSE 2 END WHEN phase = 'product' THEN history + CASE WHEN br IS NULL THEN 0 ELSE 1 END ELSE history + 2 END,
+    CASE WHEN opens AND NOT blank THEN cat ELSE category END, CASE WHEN blank THEN brand WHEN opens THEN NULL WHEN phase = 'product' AND br IS NOT NULL THEN br ELSE brand END, opens AND NOT blank AND phase = 'talk',
+    CASE WHEN blank THEN product WHEN opens THEN NULL WHEN phase = 'product' AND br IS NOT NULL THEN text ELSE product END
+  FROM (SELECT m.*, e.phase, e.history, e.category, e.brand, e.product, m.text = '' AS blank, e.phase = 'new' OR (e.phase = 'talk' AND m.iss AND coalesce(m.cat <> e.category, false)) AS opens FROM e JOIN m ON m.conv_id = e.conv_id AND m.k = e.k + 1) y)
+SELECT conv_id, turn, action, query, history::INTEGER AS history, category, brand, reset FROM e WHERE k > 0""")
+def session_steps(spark, d):
+    """What each message of the conversations' users sets off on the client."""
+    said = read(spark, d, "conversations").where("role = 'user'")
+    t = TEST_TABLES
+    return session.sessions(said, R.new_topic("text", t["categories"], t["topics"], t["problems"]), **CLIENT_TABLES)
+
+
+@query()
+def extract_stage(spark, d):
+    """What extraction adds to its manifest, of the pages."""
+    none = F.lit(None).cast("string")
+    raw = read(spark, d, "pages").select(F.col("url"), none.alias("brand"), none.alias("category"), F.lit(False).alias("is_pdf"), F.lpad(F.col("page_id").cast("string"), 20, "0").alias("scraped_at"), F.lit("ok").alias("status"), F.col("html").alias("content"))
+    return stages.extracted(raw).drop("text")
+
+
 def stage_records(spark, d) -> DataFrame:
     """The documents as extracted pages."""
     none = F.lit(None).cast("string")
