@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,10 @@ from docloom.functions.text import shingles
 from docloom.scratch import Scratch
 
 
+#: Places of a stretch that one task solves in order, and stretches of a group of them.
+STRETCH, STRETCHES = 2048, 4096
+
+
 def first_of_each(rows: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of each key. A limit in each task goes before the exchange, so hot keys are thin."""
     whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), key.alias("key"), order.alias("order"))
@@ -26,7 +31,7 @@ def near_pairs(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", look
 
 def _placed(rows: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """id, place, n and x: a row for each shingle of each text, written once."""
-    n = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", scratch).select("id", "place", F.explode(F.array(shingles("text"))).alias("s"))
+    n = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", scratch).where("text IS NOT NULL").select("id", "place", F.explode(F.array(shingles("text"))).alias("s"))
     return scratch.keep(n.select("id", "place", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "place", "n", F.xxhash64("s").alias("x"), F.hash("s").alias("y")), "placed")
 
 
@@ -56,57 +61,105 @@ def numbered(rows: DataFrame, order: str, scratch: Scratch, name: str = "place")
 
 
 def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85) -> DataFrame:
-    """id and kept: a row goes if one of the last lookback rows that are kept before it is a near duplicate.
-
-    The rule is sequential, but only rows of near pairs can go. Their verdicts are iterated: with the
-    rows thought gone so far, two rows lie as many kept places apart as places, less the gone ones
-    between them, and a row goes if a kept near row lies within reach. Each pass settles at least the
-    first unsettled row and all that do not hang on it; the rule has one solution, so that a pass
-    without change has found it. If gone rows stretch somebody's reach beyond the places that were
-    searched for pairs, the search is repeated with the longer reach.
+    """id and kept: a row goes if one of the last lookback rows that are kept before it is a near
+    duplicate. A null text is kept and counts among those.
+
+    The rule is sequential. Rows are dealt into stretches of neighbouring places, and a stretch needs of
+    all before it only the last lookback kept rows. It is first solved as if there were none; then each
+    gets those that the verdicts so far leave before it, over all stretches, and is solved again if they
+    are others than it was solved with. A round settles at least the first unsettled stretch, so that
+    the verdicts without change are the rule's; a run of copies over many stretches, of which each has
+    kept its first, is settled at once. A round costs a row at most a lookup of its shingles among
+    those of lookback rows, and no pairs are formed.
     """
-    scratch = Scratch(rows.sparkSession, "survivors")
-    placed = _placed(rows, doc_id, text, scratch)
-    reach, turn = lookback, 0
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "survivors")
+    hashed = F.when(F.col("text").isNotNull(), F.transform(shingles("text"), lambda s: F.xxhash64(s)))
+    placed = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", scratch)
+    placed = placed.select("id", "place", F.floor(F.col("place") / STRETCH).alias("stretch"), F.coalesce(hashed, F.array().cast("array<long>")).alias("s"))
+    placed = scratch.keep(placed, "sets")
+    scratch.drop("ranged")
+    none = F.array().cast("array<long>")
+    before = scratch.keep(placed.select("stretch").distinct().withColumn("before", none), "before0")
+    solved = scratch.keep(_solved(placed, before, lookback, percent), "solved0")
+    turn = 0
     while True:
-        pairs = scratch.keep(_pairs_within(placed, reach, percent).select("pa", "pb"), f"pairs{reach}")
-        gone = scratch.keep(pairs.select(F.col("pb").alias("p")).distinct(), f"gone{turn}")
-        while True:
-            # kept places between: those of gone rows come off
-            far = _gone_between(pairs, gone).where(F.col("pb") - F.col("pa") - F.col("between") <= lookback)
-            turn += 1
-            new = scratch.keep(far.join(gone.select(F.col("p").alias("pa")), "pa", "left_anti").select(F.col("pb").alias("p")).distinct(), f"gone{turn}")
-            changed = new.join(gone, "p", "left_anti").limit(1).count() + gone.join(new, "p", "left_anti").limit(1).count()
-            scratch.drop(f"gone{turn - 1}")
-            gone = new
-            if not changed:
-                break
-        most = _longest_reach(gone, lookback)
-        if most <= reach:
+        turn += 1
+        now = scratch.keep(_kept_before(solved, lookback), f"before{turn}")
+        other = now.join(before.withColumnRenamed("before", "was"), "stretch").where(F.col("before") != F.col("was")).select("stretch", "before")
+        if not other.limit(1).count():
             break
-        reach = max(most, 2 * reach)
-    ids = placed.join(gone, placed["place"] == gone["p"], "left_semi").select("id").distinct().withColumn("gone", F.lit(True))
-    return rows.select(F.col(doc_id).alias("id")).join(ids, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
-
-
-def _gone_between(pairs: DataFrame, gone: DataFrame) -> DataFrame:
-    """pairs with between: how many gone rows lie strictly between the two."""
-    near = pairs.select("pa", "pb", F.explode(F.sequence(F.col("pa") + 1, F.col("pb") - 1)).alias("p")).where("p < pb AND p > pa")
-    counted = near.join(gone, "p").groupBy("pa", "pb").agg(F.count("*").alias("between"))
-    return pairs.join(counted, ["pa", "pb"], "left").withColumn("between", F.coalesce("between", F.lit(0)))
-
-
-def _longest_reach(gone: DataFrame, lookback: int) -> int:
-    """No more places than this hold the last lookback kept rows before any row: lookback and the most
-    gone rows of two neighbouring stretches, counted until stretches are long enough."""
-    length = 2 * lookback
-    while True:
-        by = gone.groupBy(F.floor(F.col("p") / length).alias("s")).agg(F.count("*").alias("c"))
-        both = by.select("c", F.explode(F.array("s", F.col("s") + 1)).alias("s")).groupBy("s").agg(F.sum("c").alias("c"))
-        most = both.agg(F.max("c")).first()[0] or 0
-        if lookback + most <= length:
-            return lookback + most
-        length *= 2
+        again = _solved(placed, other, lookback, percent)
+        solved = scratch.keep(solved.join(other.select("stretch"), "stretch", "left_anti").unionByName(again), f"solved{turn}")
+        scratch.drop(f"solved{turn - 1}", f"before{turn - 1}")
+        before = now
+    gone = solved.select(F.explode("gone").alias("place"))
+    ids = placed.select("id", "place").join(gone.withColumn("gone", F.lit(True)), "place", "left")
+    return ids.select("id", F.col("gone").isNull().alias("kept"))
+
+
+def _solved(placed: DataFrame, before: DataFrame, lookback: int, percent: int) -> DataFrame:
+    """stretch, gone (places) and tail (the last kept places of its own) of the stretches of before, with
+    the places kept before them."""
+    held = before.select("stretch", F.explode("before").alias("place")).join(placed.select("place", "s"), "place")
+    rows = placed.join(before.select("stretch"), "stretch", "left_semi").select("stretch", "place", "s", F.lit(False).alias("held"))
+    both = rows.unionByName(held.select("stretch", "place", "s", F.lit(True).alias("held")))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        sizes: dict[int, int] = {}  # of the last kept rows, oldest first
+        has: dict[int, set] = {}  # a shingle to the kept rows that have it
+        sets: dict[int, list] = {}
+        gone, tail = [], []
+        for place, s, inherited in zip(part["place"], part["s"], part["held"], strict=True):
+            if not inherited:
+                shared: dict[int, int] = {}
+                for x in s:
+                    for k in has.get(x, ()):
+                        shared[k] = shared.get(k, 0) + 1
+                if any(100 * c >= percent * (sizes[k] + len(s) - c) for k, c in shared.items()):
+                    gone.append(place)
+                    continue
+                tail.append(place)
+            if len(sizes) == lookback:
+                old = next(iter(sizes))
+                del sizes[old]
+                for x in sets.pop(old):
+                    has[x].discard(old)
+                    if not has[x]:
+                        del has[x]
+            sizes[place], sets[place] = len(s), s
+            for x in s:
+                has.setdefault(x, set()).add(place)
+        return pd.DataFrame({"stretch": [part["stretch"].iloc[0]], "gone": [gone], "tail": [tail[-lookback:]]})
+
+    return both.groupBy("stretch").applyInPandas(solve, "stretch long, gone array<long>, tail array<long>")
+
+
+def _kept_before(solved: DataFrame, lookback: int) -> DataFrame:
+    """stretch and before: the last kept places ahead of each stretch, folded within groups of stretches,
+    over the groups (a row each), and within them again."""
+    tails = solved.select("stretch", "tail", F.floor(F.col("stretch") / STRETCHES).alias("b"))
+
+    def fold(part: pd.DataFrame, start: list, key: str) -> tuple[list, list]:
+        out, last = [], list(start)
+        for own in part.sort_values(key)["tail"]:
+            out.append(last)
+            last = [*last, *own][-lookback:]
+        return out, last
+
+    def group(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": [part["b"].iloc[0]], "tail": [fold(part, [], "stretch")[1]]})
+
+    def over(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": part.sort_values("b")["b"], "start": fold(part, [], "b")[0]})
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("stretch")
+        return pd.DataFrame({"stretch": part["stretch"], "before": fold(part, part["start"].iloc[0], "stretch")[0]})
+
+    starts = tails.groupBy("b").applyInPandas(group, "b long, tail array<long>").withColumn("all", F.lit(True)).groupBy("all").applyInPandas(over, "b long, start array<long>")
+    return tails.join(starts, "b").groupBy("b").applyInPandas(within, "stretch long, before array<long>")
 
 
 def not_done(new: DataFrame, manifest: DataFrame, key: str = "url") -> DataFrame:

@@ -180,6 +180,47 @@ def test_survivors_equal_the_sequential_rule(spark):
         assert sorted(r["id"] for r in got.where("kept").collect()) == [i for i, _ in kept]
 
 
+def test_survivors_of_stretches_and_long_runs(spark, monkeypatch):
+    """Stretches much shorter than runs of copies, chains in which each row is near the next only, null texts."""
+    monkeypatch.setattr(corpus, "STRETCH", 16)
+    monkeypatch.setattr(corpus, "STRETCHES", 4)
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 80)]
+    rows, w = [], list(base)
+    for i in range(400):
+        if i % 3 == 0:
+            w = [*w[1:], f"c{i}"]  # a drifting text: neighbours are near, distant rows are not
+        t = " ".join(w if 60 < i < 260 else [f"r{i}x{k}" for k in range(12)] if i % 5 else base)
+        rows.append((i, None if i % 37 == 0 else t))
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} if t else set()
+    kept = []
+    for i, t in rows:
+        s = shingles(t)
+        if not any(s and o and 100 * len(s & o) >= 85 * len(s | o) for _, o in kept[-7:]):
+            kept.append((i, s))
+    got = corpus.near_survivors(spark.createDataFrame(rows, "doc_id long, text string"), lookback=7)
+    assert sorted(r["id"] for r in got.where("kept").collect()) == [i for i, _ in kept] and got.count() == 400
+
+
+def test_null_texts_have_no_pair(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a b"), (4, "a b")], "doc_id long, text string")
+    assert [(r["a"], r["b"]) for r in corpus.near_pairs(rows).collect()] == [(3, 4)]
+    assert {r["id"] for r in corpus.near_survivors(rows).where("kept").collect()} == {1, 2, 3}
+    assert corpus.near_survivors(rows.limit(0)).count() == 0
+
+
+def test_survivors_of_a_run_of_thousands_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "STRETCH", 256)
+    body = " ".join(f"w{k}" for k in range(200))
+    rows = [(i, f"{body} e{i}" if 10 <= i < 5010 else f"own {i} text of its kind {i}") for i in range(5100)]
+    rounds = []
+    solve = corpus._solved
+    monkeypatch.setattr(corpus, "_solved", lambda *a: rounds.append(1) or solve(*a))
+    got = corpus.near_survivors(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["id"] for r in got.where("kept").collect()) == [*range(11), *range(5010, 5100)]
+    assert len(rounds) <= 3  # not one for each of the 20 stretches of the run
+
+
 def test_quote_looks_where_words_come_into_sight(spark):
     def loop(claim, passage):
         low, ks = passage.lower(), [w for w in claim.lower().split() if len(w) > 3][:5]
