@@ -298,3 +298,24 @@ def test_an_index_has_bounded_buckets(spark, monkeypatch):
     index = search.build_index(table)
     assert index.postings.rdd.getNumPartitions() <= 9
     assert search.bm25(index, spark.createDataFrame([(1, "w501")], "query_id long, query string"), 3).count() == 3
+
+
+def test_a_search_moves_the_best_of_each_block_alone(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_DOCS", 64)
+    monkeypatch.setattr(search, "PASS_WORDS", 6)  # several passes
+    docs, table = zipf_corpus(spark)
+    asked = [(1, "w0 w1 w503"), (2, "w2 w0 w0"), (3, "nowhere"), (4, "w0 w1 w2 w3 w4 w5"), (5, ""), (6, "w1900")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    index = search.build_index(table)
+    got = {}
+    for r in search.bm25(index, queries, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    for q, text in asked:
+        assert [(i, pytest.approx(s, abs=2e-6)) for _, i, s in sorted(got[q])] == plain_bm25(docs, text, 5), q
+    weights = Scratch(spark, "t").keep(search._weights(index, queries), "asked")
+    scratch = Scratch(spark, "t")
+    found = search._best(index, weights, 0, 5, None, scratch)
+    assert found.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 5 * index.blocks < len(docs)
+    some = table.where("doc_id % 3 = 0").select("doc_id")
+    cut = search._best(index, weights, 0, 5, some, scratch)
+    assert cut.count() and cut.where("doc_id % 3 <> 0").count() == 0
