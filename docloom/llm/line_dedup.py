@@ -132,26 +132,30 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     # of the earliest lines of its tokens a line is held against the one of most tokens
     best = F.row_number().over(Window.partitionBy("x_k1", "x_k2").orderBy(F.desc("shared"), "y_k1", "y_k2"))
     met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
-    sets = scratch.keep(_tokens(_texts(docs, rows), classes, width).select("k1", "k2", "tok"), "sets")
+    # dealt once by the keys that all joins below have; each of them would exchange the sets again
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = scratch.keep_bucketed(_tokens(_texts(docs, rows, buckets), classes, width).select("k1", "k2", "tok"), "sets", buckets, ["k1", "k2"], [])
     scratch.free()
     gone = scratch.keep(_verified(met, sets, percent), "gone1")
+    scratch.free()
     left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
     more = _possible(left.join(rows.alias("y"), "t"), percent).where("shared >= need")
     more = scratch.keep(more.join(met, _PAIR, "left_anti").select(*_PAIR), "met2")
+    scratch.free()
     gone = gone.union(scratch.keep(_verified(more, sets, percent), "gone2")).union(repeats)
     scratch.drop("met1", "met2", "sets")
     scratch.free()
     return first, gone
 
 
-def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """k1, k2, w: the words of the lines that share a token, each taken from its first occurrence."""
+def _texts(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """k1, k2, w: the words of the lines that share a token, each taken from its first occurrence; dealt by k1 and k2."""
     places = rows.select("k1", "k2", "o").distinct()
     places = places.groupBy(F.col("o.doc_id").alias("id_"), F.col("o.h").alias("h_")).agg(F.collect_list(F.struct(F.col("o.pos").alias("pos"), "k1", "k2")).alias("at_"))
     held = docs.join(places, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
     held = held.select("at_", F.explode(F.array(F.split("text", "\n"))).alias("parts")).select("parts", F.inline("at_"))
     # rows that repeat a document give its lines again
-    held = held.select("k1", "k2", F.get("parts", F.col("pos")).alias("line")).groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    held = held.select("k1", "k2", F.get("parts", F.col("pos")).alias("line")).repartition(parts, "k1", "k2").groupBy("k1", "k2").agg(F.first("line").alias("line"))
     return _once(held, "w", _words(F.col("line"))).select("k1", "k2", "w")
 
 

@@ -115,3 +115,23 @@ def test_unequal_lines_with_few_equal_shingles(spark):
     want = brute_lines(rows)
     assert want[1] == "own 1" and want[3] == "own 3" and want[8] == "own 8" and want[9] != "own 9"
     assert {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()} == want
+
+
+def test_token_sets_of_lines_are_dealt_once(spark, monkeypatch):
+    from docloom.llm.line_dedup import dedup_lines
+    from docloom.scratch import Scratch
+
+    kept, own = {}, Scratch.keep_bucketed
+
+    def spy(self, df, table, buckets, by, order):
+        kept[table] = (list(by), own(self, df, table, buckets, by, order))
+        return kept[table][1]
+
+    monkeypatch.setattr(Scratch, "keep_bucketed", spy)
+    words = [f"w{i}" for i in range(24)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["x"])), (3, "other " + " ".join(words[::-1]))]
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "", 3: rows[2][1]}
+    by, sets = kept["sets"]
+    plan = sets.groupBy("k1", "k2").count()._jdf.queryExecution().executedPlan().toString()
+    assert by == ["k1", "k2"] and "Exchange" not in plan
