@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,34 @@ def zipf_corpus(spark, n=3000, seed=4):
     return docs, spark.createDataFrame(docs, "doc_id long, text string")
 
 
+def test_a_block_scores_its_queries_many_at_a_time(monkeypatch):
+    """As a loop over queries does, whatever the size of a batch; ties fall to the smaller id."""
+    rng = random.Random(5)
+    posts = {(d, t): rng.choice([0.5, 1.0]) for d in range(40) for t in range(12) if rng.random() < 0.4}
+    asks = {(q, t): rng.choice([-1.0, 0.0, 2.0]) for q in range(30) for t in range(14) if rng.random() < 0.3}
+    held = pa.table({"doc_id": [d * 7 % 40 for d, _ in posts], "no": [t for _, t in posts], "impact": list(posts.values())})
+    asked = pa.table({"query_id": [q for q, _ in asks], "no": [t for _, t in asks], "weight": list(asks.values()), "doc_id": pa.nulls(len(asks), pa.int64())})
+    want = set()
+    for q in range(30):
+        score = {}
+        for (d, t), impact in posts.items():
+            if (q, t) in asks:
+                score[d * 7 % 40] = score.get(d * 7 % 40, 0) + asks[q, t] * impact
+        want |= {(q, d, v) for d, v in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]}
+    for cells in (1, 150, 1 << 20):
+        monkeypatch.setattr(search, "CELLS", cells)
+        got = search._best_of_block(4, False)(held, asked)
+        assert set(zip(*(got[c].to_pylist() for c in ("query_id", "doc_id", "part")))) == want
+    assert search._best_of_block(4, False)(held.slice(0, 0), asked).num_rows == 0
+
+
+def test_terms_are_counted_where_their_document_lies(spark):
+    docs = spark.createDataFrame([(1, "b a, B é"), (2, None), (3, "..."), (4, "a")], "doc_id long, text string")
+    counts = search.term_counts(docs)
+    assert sorted(map(tuple, counts.collect())) == [(1, 4, "a", 1), (1, 4, "b", 2), (1, 4, "é", 1), (4, 1, "a", 1)]
+    assert "Aggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_bm25(docs, query, k):
     """The k best by the formula, document by document."""
     words = [re.findall(r"\w+", (t or "").lower()) for _, t in docs]

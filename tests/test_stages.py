@@ -97,6 +97,20 @@ def test_retrieve_reranks_the_fused_hits(spark):
     assert told == {7: "financial aid deadlines are in may", 8: "admissions open in fall"}
 
 
+def test_a_hit_text_is_cut_into_tokens_once_for_all_queries(spark, monkeypatch):
+    """The default rerank reads tokens of texts, not of hits, and carries no text through the ranking."""
+    seen, own = [], search.reranked
+    monkeypatch.setattr(search, "reranked", lambda hits, score, k=5: seen.append((hits.columns, str(score))) or own(hits, score, k))
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 3} all") for i in range(6)], "id long, text string").withColumn("url", F.lit("u"))
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(6)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(q, f"w{q} all", [1.0, 0.3]) for q in range(4)], "query_id long, query string, query_vector array<float>")
+    index = search.build_index(docs, "id")
+    got = service.retrieve(index, vectors, docs, asked, 6, 3)
+    want = service.retrieve(index, vectors, docs, asked, 6, 3, search.overlap("query", "text"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "text" not in seen[0][0] and "regexp" not in seen[0][1] and "text" in seen[1][0]
+
+
 def test_prompt_and_question(spark):
     turns = "array<struct<role:string,text:string>>"
     rows = spark.createDataFrame([("q {context}", [("user", "hi"), ("assistant", "yes?")]), ("q", [])], f"q string, h {turns}")
