@@ -4,8 +4,11 @@ A line's tokens are its distinct shingles of five words (all words as one, if fe
 hashes led by a rarity class, so that sorting a line's tokens puts rare ones first in one order for
 all lines. Two lines of n and m tokens with Jaccard index t share at least o = t / (1 + t) * (n + m)
 tokens, hence a token among the first n - o + 1 of one and the first m - o + 1 of the other (prefix
-filter), whose places leave room for o common tokens (positional filter), and their sizes differ
-little (length filter). What remains is verified on whole token sets. Sets of 3 tokens at most need
+filter), whose places leave room for o common tokens (positional filter), their sizes differ
+little (length filter), and the parities of their tokens in 32 classes differ in n + m - 2 * o classes
+at most, as each token that one line has alone changes one (parity filter). Lines that share a phrase
+alone fail the last, so that a phrase of many lines makes no pairs of them all. What remains is
+verified on whole token sets. Sets of 3 tokens at most need
 an equal set and meet by the set's hash. A line that matches an earlier one, by (document id, text
 hash, place), goes.
 
@@ -121,21 +124,24 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     of = Window.partitionBy("t")
     spread = prefix.select("*", *(f(c).over(of).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("lo", F.min), ("hi", F.max))))
     rows = spread.where("lo_k1 <> hi_k1 OR lo_k2 <> hi_k2").select("t", "k1", "k2", "n", "at").distinct()
-    rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "shared")
+    rows = scratch.keep(rows.join(first.select("k1", "k2", order.alias("o")), ["k1", "k2"]), "met0")
     scratch.free()
     equal, rows = rows.where(few), rows.where(~few)
     earliest = equal.groupBy("t", "n").agg(F.min("o").alias("o_"))
     repeats = equal.join(earliest, ["t", "n"]).where(F.col("o") > F.col("o_")).select("k1", "k2")
 
-    leader = rows.groupBy("t").agg(F.min(F.struct("o", "k1", "k2", "n", "at")).alias("y"))
-    met = _possible(rows.alias("x").join(leader.select("t", "y.*").alias("y"), "t"), percent)
-    # of the earliest lines of its tokens a line is held against the one of most tokens
-    best = F.row_number().over(Window.partitionBy("x_k1", "x_k2").orderBy(F.desc("shared"), "y_k1", "y_k2"))
-    met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
     # dealt once by the keys that all joins below have; each of them would exchange the sets again
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = scratch.keep_bucketed(_tokens(_texts(docs, rows, buckets), classes, width).select("k1", "k2", "tok"), "sets", buckets, ["k1", "k2"], [])
     scratch.free()
+    # parities join here, so that the exchange of all prefixes does without them
+    rows = scratch.keep(rows.join(sets.select("k1", "k2", _parities(F.col("tok")).alias("par")), ["k1", "k2"]), "shared")
+    scratch.free()
+    leader = rows.groupBy("t").agg(F.min(F.struct("o", "k1", "k2", "n", "par", "at")).alias("y"))
+    met = _possible(rows.alias("x").join(leader.select("t", "y.*").alias("y"), "t"), percent)
+    # of the earliest lines of its tokens a line is held against the one of most tokens
+    best = F.row_number().over(Window.partitionBy("x_k1", "x_k2").orderBy(F.desc("shared"), "y_k1", "y_k2"))
+    met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
     gone = scratch.keep(_verified(met, sets, percent), "gone1")
     scratch.free()
     left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
@@ -148,6 +154,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     return first, gone
 
 
+def _parities(tok: Column) -> Column:
+    """32 bits, each whether the number of tokens of its class is odd; a long, as bit_count takes the sign
+    of an int for 32 more bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tok, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(31).cast("int"))))
+
+
 def _texts(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """k1, k2, w: the words of the lines that share a token, each taken from its first occurrence; dealt by k1 and k2."""
     places = rows.select("k1", "k2", "o").distinct()
@@ -160,14 +173,15 @@ def _texts(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a line x and an earlier line y that pass the length filter, with shared: how many tokens
+    """Pairs of a line x and an earlier line y that pass the length and parity filters, with shared: how many tokens
     of pairs they have that pass the positional filter, as all common tokens of lines that match do;
     one of them passes the prefix filter too. need: how many tokens two whole prefixes must share if the
     lines match, as beyond them one set has too few left."""
     n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
     most = _overlap(percent, n, m)
     room = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    rows = pairs.where((F.col("y.o") < F.col("x.o")) & (n >= _share(percent, m)) & (m >= _share(percent, n)) & (room >= most))
+    apart = F.bit_count(F.col("x.par").bitwiseXOR(F.col("y.par")))
+    rows = pairs.where((F.col("y.o") < F.col("x.o")) & (n >= _share(percent, m)) & (m >= _share(percent, n)) & (room >= most) & (apart <= n + m - 2 * most))
     need = most + 1 - F.greatest(_share(percent, n), _share(percent, m))
     rows = rows.select(*(F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in "xy" for k in ("k1", "k2")), ((i <= n - most) & (j <= m - most)).alias("fits"), need.alias("need"))
     return rows.groupBy(*_PAIR).agg(F.count("*").alias("shared"), F.max("fits").alias("fits"), F.min("need").alias("need")).where("fits")

@@ -135,3 +135,24 @@ def test_token_sets_of_lines_are_dealt_once(spark, monkeypatch):
     by, sets = kept["sets"]
     plan = sets.groupBy("k1", "k2").count()._jdf.queryExecution().executedPlan().toString()
     assert by == ["k1", "k2"] and "Exchange" not in plan
+
+
+def test_lines_that_share_a_phrase_make_no_pairs(spark, monkeypatch):
+    """A phrase of many lines is no reason to pair them all; near copies among them are found all the same."""
+    from docloom.llm import line_dedup
+
+    found, own = [], line_dedup._possible
+
+    def spy(pairs, percent):
+        out = own(pairs, percent)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_possible", spy)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    lines = [f"{phrase} " + " ".join(f"w{i}x{j}" for j in range(14)) for i in range(60)]
+    lines += [f"{lines[7]} end", f"start {lines[9]}"]
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows) and got[60] == got[61] == "" and got[7] and got[9]
+    assert sum(found) <= 20
