@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,38 +25,78 @@ def first_of_each(rows: DataFrame, key: Column, order: Column) -> DataFrame:
 def near_pairs(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85) -> DataFrame:
     """a, b, jaccard: rows at most lookback places apart by id whose 5-word shingles agree.
 
-    Rows are numbered without a global sort (see numbered). A null text has no pair.
+    Rows are numbered without a global sort (see numbered). A null text has no pair. Only prefixes of the
+    shingles in the order of their hashes meet (see _candidates); the pairs that they leave are decided
+    on whole sets, which are made for rows of such pairs alone.
     """
     scratch = Scratch(rows.sparkSession, "near")
-    return _pairs_within(_placed(rows, doc_id, text, scratch), lookback, percent).select("a", "b", "jaccard")
+    own = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    head = lambda s: F.struct(F.size(s).alias("n"), F.slice(s, F.lit(1), F.size(s) - _share(percent, F.size(s)) + 1).alias("x"))
+    made = lambda r: r.select("id", F.xxhash64("text").alias("h"), F.explode(F.array(F.when(F.col("text").isNotNull(), _hashes()))).alias("s"), *_AT).select("id", "h", head(F.col("s")).alias("head"), *_AT)
+    placed = numbered(own, "id", scratch, then=made)
+    met = scratch.keep(_candidates(placed.where("head.n > 0").select("place", "head.*"), lookback, percent), "met")
+    # a repeated id with the same text has the same set
+    named = placed.select("place", "id", "h")
+    for k in "ab":
+        met = met.join(named.select(F.col("place").alias(f"p{k}"), F.col("id").alias(k), F.col("h").alias(f"h{k}")), f"p{k}")
+    met = scratch.keep(met, "pairs")
+    needed = met.select(F.col("a").alias("id"), F.col("ha").alias("h")).union(met.select("b", "hb")).distinct()
+    texts = own.where("text IS NOT NULL").withColumn("h", F.xxhash64("text")).join(needed, ["id", "h"], "left_semi")
+    sets = scratch.keep(texts.groupBy("id", "h").agg(F.first("text").alias("text")).select("id", "h", _hashes().alias("s")), "sets")
+    for k in "ab":
+        met = met.join(sets.select(F.col("id").alias(k), F.col("h").alias(f"h{k}"), F.col("s").alias(f"s{k}")), [k, f"h{k}"])
+    both = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
+    union = F.col("n") - F.col("c")
+    return both.where(100 * F.col("c") >= percent * union).select("a", "b", F.round(F.col("c") / union, 6).alias("jaccard"))
+
+
+def _hashes() -> Column:
+    """The hashes of text's distinct shingles, in their order."""
+    return F.sort_array(F.array_distinct(F.transform(shingles("text"), lambda s: F.xxhash64(s))))
+
+
+def _share(percent: int, n: Column) -> Column:
+    """The least part of a set of n that one alike shares."""
+    return F.floor((n * percent + 99) / 100).cast("int")
+
+
+def _candidates(heads: DataFrame, lookback: int, percent: int) -> DataFrame:
+    """pa, pb: rows (place, n, x) of which the first can be alike, by the first elements of their sorted sets.
+
+    Sets of n and m alike share at least o = percent * (n + m) / (100 + percent) elements, hence one
+    among the first n - o + 1 of one and the first m - o + 1 of the other. Of the heads, the one that ends
+    first has met all that it shares with the other set, so that the heads share o less the rest of it.
+    An element meets only rows of the same or the next stretch of lookback places, so that common ones
+    stay local.
+    """
+    rows = heads.select("place", "n", F.floor(F.col("place") / lookback).alias("stretch"), F.posexplode("x").alias("at", "x"))
+    a = rows.select(F.col("place").alias("pa"), F.col("n").alias("na"), F.col("at").alias("ia"), "x", "stretch")
+    b = rows.withColumn("stretch", F.explode(F.array(F.col("stretch"), F.col("stretch") - 1))).select(F.col("place").alias("pb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "x", "stretch")
+    na, nb = F.col("na"), F.col("nb")
+    least = F.floor(((na + nb) * percent + 99 + percent) / (100 + percent)).cast("int")
+    near = (F.col("pb") > F.col("pa")) & (F.col("pb") - F.col("pa") <= lookback) & (na >= _share(percent, nb)) & (nb >= _share(percent, na))
+    met = a.join(b, ["x", "stretch"]).where(near).withColumn("fits", (F.col("ia") <= na - least) & (F.col("ib") <= nb - least))
+    both = met.groupBy("pa", "pb", "na", "nb").agg(F.count("*").alias("c"), F.max("fits").alias("fits"))
+    return both.where(F.col("fits") & (F.col("c") > least - F.greatest(_share(percent, na), _share(percent, nb)))).select("pa", "pb")
 
 
-def _placed(rows: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
-    """id, place, n and x: a row for each shingle of each text, written once."""
-    n = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", scratch).where("text IS NOT NULL").select("id", "place", F.explode(F.array(shingles("text"))).alias("s"))
-    return scratch.keep(n.select("id", "place", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "place", "n", F.xxhash64("s").alias("x"), F.hash("s").alias("y")), "placed")
+#: The number of a row's range and its place in it.
+_AT = ["p_", "i_"]
 
 
-def _pairs_within(placed: DataFrame, lookback: int, percent: int) -> DataFrame:
-    """a, b, pa, pb, jaccard. A shingle (two hashes, 96 bits) meets only rows in the same or the next
-    stretch of lookback places, so that common shingles stay local."""
-    sized = placed.withColumn("stretch", F.floor(F.col("place") / lookback))
-    a = sized.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("n").alias("na"), "x", "y", "stretch")
-    b = sized.withColumn("stretch", F.explode(F.array(F.col("stretch"), F.col("stretch") - 1))).select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("n").alias("nb"), "x", "y", "stretch")
-    met = a.join(b, ["x", "y", "stretch"]).where((F.col("pb") > F.col("pa")) & (F.col("pb") - F.col("pa") <= lookback))
-    both = met.groupBy("a", "b", "pa", "pb", "na", "nb").agg(F.count("*").alias("c"))
-    union = F.col("na") + F.col("nb") - F.col("c")
-    return both.where(100 * F.col("c") >= percent * union).select("a", "b", "pa", "pb", F.round(F.col("c") / union, 6).alias("jaccard"))
+def _ranged(rows: DataFrame, order: str) -> DataFrame:
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    return ranged.withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
 
 
-def numbered(rows: DataFrame, order: str, scratch: Scratch, name: str = "place") -> DataFrame:
+def numbered(rows: DataFrame, order: str, scratch: Scratch, name: str = "place", then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """rows with their place (from 0) by order: counted by range, then within it, never in one task.
 
     The ranges are drawn once: the rows are written with the number of their range and their place
-    in it, and counts and places both come from the written table.
+    in it, and counts and places both come from the written table. then makes what is written of the rows in
+    their ranges and keeps the columns p_ and i_.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
-    ranged = scratch.keep(ranged.withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranged")
+    ranged = scratch.keep(then(_ranged(rows, order)), "ranged")
     counts = ranged.groupBy("p_").agg(F.count("*").alias("c_"))
     before = F.coalesce(F.sum("c_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
     return ranged.join(F.broadcast(counts.select("p_", before.alias("b_"))), "p_").withColumn(name, F.col("b_") + F.col("i_")).drop("p_", "i_", "b_")
@@ -75,10 +117,11 @@ def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = rows.sparkSession
     scratch = Scratch(spark, "survivors")
     hashed = F.when(F.col("text").isNotNull(), F.transform(shingles("text"), lambda s: F.xxhash64(s)))
-    placed = numbered(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", scratch)
-    placed = placed.select("id", "place", F.floor(F.col("place") / STRETCH).alias("stretch"), F.coalesce(hashed, F.array().cast("array<long>")).alias("s"))
-    placed = scratch.keep(placed, "sets")
-    scratch.drop("ranged")
+    ranged = _ranged(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id")
+    # a stretch lies in one range, so that its number needs no count of the rows before; the sets are dealt by it once
+    place = F.shiftleft(F.col("p_").cast("long"), 33) + F.col("i_")
+    placed = ranged.select("id", place.alias("place"), _stretch(place).alias("stretch"), F.coalesce(hashed, F.array().cast("array<long>")).alias("s"))
+    placed = scratch.keep_bucketed(placed, "sets", int(spark.conf.get("spark.sql.shuffle.partitions")), "stretch", [])
     none = F.array().cast("array<long>")
     before = scratch.keep(placed.select("stretch").distinct().withColumn("before", none), "before0")
     solved = scratch.keep(_solved(placed, before, lookback, percent), "solved0")
@@ -93,25 +136,32 @@ def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
         solved = scratch.keep(solved.join(other.select("stretch"), "stretch", "left_anti").unionByName(again), f"solved{turn}")
         scratch.drop(f"solved{turn - 1}", f"before{turn - 1}")
         before = now
-    gone = solved.select(F.explode("gone").alias("place"))
-    ids = placed.select("id", "place").join(gone.withColumn("gone", F.lit(True)), "place", "left")
-    return ids.select("id", F.col("gone").isNull().alias("kept"))
+    ids = placed.select("id", "place", "stretch").join(solved.select("stretch", "gone"), "stretch")
+    return ids.select("id", (~F.array_contains("gone", F.col("place"))).alias("kept"))
+
+
+def _stretch(place: Column) -> Column:
+    """The stretch of a place, which has the number of its range in the bits from the 34th on."""
+    return F.shiftleft(F.shiftright(place, 33), 32) + F.floor(place.bitwiseAND((1 << 33) - 1) / STRETCH)
 
 
 def _solved(placed: DataFrame, before: DataFrame, lookback: int, percent: int) -> DataFrame:
     """stretch, gone (places) and tail (the last kept places of its own) of the stretches of before, with
-    the places kept before them."""
-    held = before.select("stretch", F.explode("before").alias("place")).join(placed.select("place", "s"), "place")
-    rows = placed.join(before.select("stretch"), "stretch", "left_semi").select("stretch", "place", "s", F.lit(False).alias("held"))
-    both = rows.unionByName(held.select("stretch", "place", "s", F.lit(True).alias("held")))
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
+    the places kept before them. The sets are read where they lie; only those kept before a stretch move."""
+    asked = before.select("stretch", F.explode("before").alias("place"))
+    owners = asked.select("place").distinct().groupBy(_stretch(F.col("place")).alias("stretch")).agg(F.collect_list("place").alias("places"))
+    kept = placed.join(owners, "stretch").where(F.array_contains("places", F.col("place"))).select(F.col("place").alias("at"), F.col("s").alias("kept"))
+    held = asked.join(kept, F.col("place") == F.col("at")).select("stretch", "place", F.col("kept").alias("s"))
+    rows = placed.join(before.select("stretch"), "stretch", "left_semi").select("stretch", "place", "s")
+
+    def solve(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        part = pd.concat([kept.assign(held=True), own.assign(held=False)]).sort_values("place")
         sizes: dict[int, int] = {}  # of the last kept rows, oldest first
         has: dict[int, set] = {}  # a shingle to the kept rows that have it
         sets: dict[int, list] = {}
         gone, tail = [], []
         for place, s, inherited in zip(part["place"], part["s"], part["held"], strict=True):
+            s = s.tolist()
             if not inherited:
                 shared: dict[int, int] = {}
                 for x in s:
@@ -133,7 +183,7 @@ def _solved(placed: DataFrame, before: DataFrame, lookback: int, percent: int) -
                 has.setdefault(x, set()).add(place)
         return pd.DataFrame({"stretch": [part["stretch"].iloc[0]], "gone": [gone], "tail": [tail[-lookback:]]})
 
-    return both.groupBy("stretch").applyInPandas(solve, "stretch long, gone array<long>, tail array<long>")
+    return rows.groupBy("stretch").cogroup(held.groupBy("stretch")).applyInPandas(solve, "stretch long, gone array<long>, tail array<long>")
 
 
 def _kept_before(solved: DataFrame, lookback: int) -> DataFrame:

@@ -210,6 +210,32 @@ def test_null_texts_have_no_pair(spark):
     assert corpus.near_survivors(rows.limit(0)).count() == 0
 
 
+def test_near_pairs_move_a_part_of_the_shingles(spark, monkeypatch):
+    """No table has a row for each shingle, and of pairs that share half of their words few are candidates."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 200)]
+    rows = [(i, " ".join([*base[:100], *(f"r{i}x{k}" for k in range(100))])) for i in range(20)]
+    rows += [(100 + i, " ".join([*base, f"e{i}"])) for i in range(3)]
+    written = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.setdefault(name, keep(self, df, name)))
+    got = corpus.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(100, 101), (100, 102), (101, 102)]
+    assert all(table.count() <= len(rows) + 30 for table in written.values())  # of 253 pairs
+
+
+def test_survivors_move_no_texts_and_deal_their_sets_once(spark, monkeypatch):
+    written, solved = [], []
+    keep, solve = Scratch.keep, corpus._solved
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: written.append(df.columns) or keep(self, df, name))
+    monkeypatch.setattr(corpus, "_solved", lambda placed, *a: solved.append(placed) or solve(placed, *a))
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e "), F.col("id").cast("string")).alias("text"))
+    assert corpus.near_survivors(rows).where("kept").count() == 300
+    assert not any("text" in columns for columns in written)
+    plan = solved[0].groupBy("stretch").applyInPandas(lambda x: x[["stretch"]], "stretch long")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_survivors_of_a_run_of_thousands_of_copies(spark, monkeypatch):
     monkeypatch.setattr(corpus, "STRETCH", 256)
     body = " ".join(f"w{k}" for k in range(200))
