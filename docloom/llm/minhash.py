@@ -20,12 +20,13 @@ label propagation over written tables.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.scratch import Scratch
@@ -45,6 +46,8 @@ SALTS = 64
 LARGE_BUCKET, LEADER_ROUNDS = 12, 3
 #: Ratio of the size classes in which the prefix filter looks for partners.
 CLASS_RATIO = 1.04
+#: Bits of a shingle's hash that choose the bucket whose count tells how rare it is.
+RARITY_BITS = 18
 
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -241,13 +244,34 @@ def _pairs(mixed: DataFrame, leader: str) -> DataFrame:
     return mixed.where(F.col("comp") != F.col(leader).getField("comp")).select(F.least("node", at).alias("a"), F.greatest("node", at).alias("b"))
 
 
-def _shingle_rows(width: int):
+def _bucket_counts(width: int):
+    """How many shingles of the nodes of a task fall into each bucket of hashes; empty ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for found in shingle_sets(batch.column(1), width):
+                np.add.at(counts, found >> np.uint64(64 - RARITY_BITS), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "c"])
+
+    return run
+
+
+def _prefix_rows(width: int, percent: int, counts):
+    """node, n, shingle and at (its place in the order) of the first shingles of each node, rare buckets first. A
+    shingle alone in its bucket meets nothing and has no row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = counts.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for node, found in zip(ids, shingle_sets(batch.column(1), width), strict=True):
-                size = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, node)), pa.array(np.full(size, size, np.int64)), pa.array(found.view(np.int64))], names=["node", "n", "shingle"])
+                often, n = held[found >> np.uint64(64 - RARITY_BITS)], len(found)
+                first = np.lexsort((found, often))[: n - math.ceil(percent / 100 * n - 1e-6) + 1]
+                at = np.flatnonzero(often[first] > 1)
+                columns = [np.full(len(at), node), np.full(len(at), n, np.int64), found[first[at]].view(np.int64), at.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "n", "shingle", "at"])
 
     return run
 
@@ -257,20 +281,21 @@ def _prefix_pairs(scratch: Scratch, nodes: DataFrame, texts: DataFrame, width: i
 
     Sets of n and m elements are linked only if they share at least o = percent * (n + m) / (100 +
     percent) elements, and then, in one order of all elements, the first n - o + 1 of one and the
-    first m - o + 1 of the other meet. Rare elements come first. A node looks for partners by
+    first m - o + 1 of the other meet. Elements of rare buckets of hashes come first, so that a table of fixed
+    size orders them where a text lies and only a node's first ones leave it. A node looks for partners by
     classes of size, so that no more of its elements count than the class allows, and the elements'
     prevalent component only answers: two of its nodes need no comparison.
     """
     part = percent / (100 + percent)
     overlap = lambda n, m: F.ceil(F.lit(part) * (n + m) - F.lit(1e-6))
-    rows = scratch.keep(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingle_rows(width), "node long, n long, shingle long"), "shingles")
-    # a shingle of one node alone meets nothing: such ones come first in the order and are only counted
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    held = scratch.keep(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "held")
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for bucket, c in held.mapInArrow(_bucket_counts(width), "bucket int, c long").groupBy("bucket").agg(F.sum("c")).collect():  # of a fixed size
+        counts[bucket] = c
+    counts = scratch.spark.sparkContext.broadcast(counts)
+    rows = held.mapInArrow(_prefix_rows(width, percent, counts), "node long, n long, shingle long, at long")
     size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS_RATIO))).cast("int")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
-    first = rows.join(often, "shingle").withColumn("at", alone + rank).where(F.col("at") <= F.col("n") - low_of(percent, "n"))
-    first = scratch.keep(first.join(nodes, "node").select("shingle", "node", "comp", "n", "at", size_class(F.col("n")).alias("class")), "prefixes")
+    first = scratch.keep(rows.join(nodes, "node").select("shingle", "node", "comp", "n", "at", size_class(F.col("n")).alias("class")), "prefixes")
     by_comp = first.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
     main = by_comp.groupBy("shingle").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "main")
     low, high = low_of(percent, "n"), F.floor(F.col("n") * 100 / percent + F.lit(1e-6))

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from docloom.llm import minhash
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.minhash import band_keys, estimate, keep_one_of_each, near_duplicates, registers
 from docloom.llm.wordhash import shingle_sets
@@ -65,6 +66,24 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert sorted(keep_one_of_each(frame(spark, [(1, "a b"), (2, "a b"), (3, "c")])).toPandas()["doc_id"]) == [1, 3]
 
 
+def test_first_shingles_alone_leave_a_task(spark):
+    """Copies of a core with own words, in two components: all pairs that can be linked meet, and common shingles stay."""
+    rng = np.random.default_rng(6)
+    core = [f"w{x}" for x in rng.integers(0, 9000, 200)]
+    texts = {i: " ".join([*core[: 200 - 4 * (i % 12)], *(f"o{i % 24}x{k}" for k in range(4 * (i % 12))), f"e{i}"]) for i in range(96)}
+    nodes = spark.createDataFrame([(i, i % 2) for i in texts], "node long, comp long")
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    written = {}
+    scratch = minhash.Scratch(spark, "t")
+    keep = scratch.keep
+    scratch.keep = lambda df, name: written.setdefault(name, keep(df, name))
+    got = {(r["a"], r["b"]) for r in minhash._prefix_pairs(scratch, nodes, rows, 5, 80).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    linked = {(a, b) for a in sets for b in sets if a < b and (b - a) % 2 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked and linked <= got
+    assert "shingles" not in written and written["prefixes"].count() * 4 < sum(map(len, sets.values()))
+
+
 @pytest.mark.parametrize("share", [0.5, 0.85, 0.95])
 def test_estimate_is_near(share):
     rng = np.random.default_rng(1)
