@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.functions import rules as R
@@ -77,3 +78,15 @@ def test_markdown_of_pages(spark):
     row = spark.createDataFrame([(html, "u"), (None, "v")], "html string, url string").select(U.html_markdown("html", "url").alias("m")).select("m.*").collect()
     assert row[0]["title"] == "T" and row[0]["body"].startswith("# A\n\nx y\n\n- i\n\n| a | b |\n|---|---|") and row[0]["status"] == "ok"
     assert row[1]["title"] == "v" and row[1]["body"] == ""
+
+
+def test_texts_are_taken_a_piece_at_a_time(spark, monkeypatch):
+    """A batch of long texts is never all of Python's strings at once; a long text is a piece of its own."""
+    monkeypatch.setattr(U, "PIECE_BYTES", 10)
+    texts = ["a" * 4, None, "b" * 4, "c" * 30, "d", "", "e" * 9]
+    taken = [p.to_pylist() for p in U.pieces(pa.array(texts))]
+    assert [x for p in taken for x in p] == texts and all(len(p) == 1 or sum(len(x or "") for x in p) <= 10 for p in taken) and len(taken) == 3
+    assert [len(p) for p in U.pieces(pa.array([], pa.string()))] == [0]
+    many = spark.createDataFrame([(i, "ﬁ" * (i % 7) if i % 5 else None) for i in range(50)], "i long, t string").repartition(1)
+    got = many.select("i", "t", U.nfkc("t").alias("v"), U.html_markdown(F.concat(F.lit("<body><p>"), "t", F.lit("</p>")), F.lit("u")).alias("m")).collect()
+    assert all(r["v"] == (None if r["t"] is None else "fi" * len(r["t"])) and r["m"]["body"] == (r["t"] or "") and r["m"]["status"] == "ok" for r in got) and len(got) == 50
