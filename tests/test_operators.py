@@ -210,6 +210,24 @@ def test_null_texts_have_no_pair(spark):
     assert corpus.near_survivors(rows.limit(0)).count() == 0
 
 
+def test_tasks_hold_one_block_of_vectors_and_few_scores(spark, monkeypatch):
+    """A group is scored by itself and its queries in pieces, however many blocks a task has."""
+    monkeypatch.setattr(search, "PIECE", 3)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(40, 4))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id < 10").toDF("query_id", "query_vector")
+    plan = search.dense(vectors, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "collect_list" not in plan
+    table = lambda ids, name, own: pa.table({name: ids, own: [v[i].tolist() for i in ids]})
+    shapes = []
+    monkeypatch.setattr(search.np, "round", lambda x, n, of=np.round: shapes.append(x.shape) or of(x, n))
+    found = search.best_of_group(3, None)(table(list(range(40)), "vec_id", "embedding"), table(list(range(10)), "query_id", "query_vector")).to_pylist()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(i, int(j)) for i in range(10) for j in np.argsort(-(unit[i] @ unit.T), kind="stable")[:3]]
+    assert [(r["query_id"], r["vec_id"]) for r in found] == want and max(shapes) == (3, 40)
+
+
 def test_near_pairs_move_a_part_of_the_shingles(spark, monkeypatch):
     """No table has a row for each shingle, and of pairs that share half of their words few are candidates."""
     rng = np.random.default_rng(4)
