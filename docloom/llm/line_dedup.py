@@ -5,7 +5,7 @@ hashes led by a rarity class, so that sorting a line's tokens puts rare ones fir
 all lines. Two lines of n and m tokens with Jaccard index t share at least o = t / (1 + t) * (n + m)
 tokens, hence a token among the first n - o + 1 of one and the first m - o + 1 of the other (prefix
 filter), whose places leave room for o common tokens (positional filter), their sizes differ
-little (length filter), and the parities of their tokens in 32 classes differ in n + m - 2 * o classes
+little (length filter), and the parities of their tokens in 64 classes differ in n + m - 2 * o classes
 at most, as each token that one line has alone changes one (parity filter). Lines that share a phrase
 alone fail the last, so that a phrase of many lines makes no pairs of them all. What remains is
 verified on whole token sets. Sets of 3 tokens at most need
@@ -21,7 +21,11 @@ misses comes early: both cost time only, as any order gives the same lines.
 Scale. Equal lines are one line from the first aggregation on. Lines that make up more than one in
 2,000 of all (2,000 at most) enter the token exchange by their first occurrence only. Tokens of one
 line alone go before any join; each line is compared with the earliest line of its tokens first,
-and only lines that this does not remove meet the rest.
+and only lines that this does not remove meet the rest. They meet by tokens that CROWD lines at most
+have in their prefixes. Two lines that share a token of more lines are both among the lines that have
+such a token, so that these meet once more among themselves, by prefixes in the order of the exact
+numbers of them that have a token: a phrase of many lines, of which the sketch knows nothing, is last
+in that order, and lines that share the phrase alone do not meet.
 
 Main path: DataFrame functions only.
 """
@@ -41,6 +45,8 @@ BUCKETS = 1 << 17
 FREQUENT, TRACKED, SKETCHES = 1 << 14, 1 << 16, 64
 #: A line is hot if it is more than one in so many of all lines.
 HOT_PART = 2000
+#: Lines that share a token of more lines than so many meet in an order of their own.
+CROWD = 32
 _SPACE = " \t\n\x0b\x0c\r"
 _ORDER = ["doc_id", "h", "pos"]
 _PAIR = ["x_k1", "x_k2", "y_k1", "y_k2"]
@@ -73,7 +79,20 @@ def _classes(lines: DataFrame, width: int) -> str:
     top = some.groupBy(F.lit(1).alias("g")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.inline(F.expr(f"approx_top_k_estimate(s, {FREQUENT})")))
     found = [0] * BUCKETS
     for item, count in top.where("count > 1").collect():  # FREQUENT rows at most
-        found[item & (BUCKETS - 1)] = max(found[item & (BUCKETS - 1)], min(126, int(4 * math.log2(count))))
+        found[item & (BUCKETS - 1)] = max(found[item & (BUCKETS - 1)], _class(count))
+    return ",".join(map(str, found))
+
+
+def _class(count: int) -> int:
+    return min(126, int(4 * math.log2(count)))
+
+
+def _exact_classes(sets: DataFrame) -> str:
+    """As _classes, from the number of sets that have a token."""
+    counts = sets.select(F.explode("tok").alias("t")).groupBy("t").count().where("count > 1")
+    found = [0] * BUCKETS
+    for bucket, count in counts.groupBy(F.col("t").bitwiseAND(BUCKETS - 1)).agg(F.max("count")).collect():  # BUCKETS rows at most
+        found[bucket] = _class(count)
     return ",".join(map(str, found))
 
 
@@ -82,11 +101,14 @@ def _hashes(width: int) -> Column:
     return F.when(F.size("w") >= width, each).otherwise(F.array(F.xxhash64("w")))
 
 
+def _token(h: Column, classes: str) -> Column:
+    table = F.split(F.lit(classes), ",").cast("array<bigint>")
+    return F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
+
+
 def _tokens(rows: DataFrame, classes: str, width: int) -> DataFrame:
     """rows with tok: the line's distinct tokens, rare first."""
-    table = F.split(F.lit(classes), ",").cast("array<bigint>")
-    token = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
-    return _once(rows, "tok", F.sort_array(F.array_distinct(F.transform(_hashes(width), token))))
+    return _once(rows, "tok", F.sort_array(F.array_distinct(F.transform(_hashes(width), lambda h: _token(h, classes)))))
 
 
 def _share(percent: int, n: Column) -> Column:
@@ -135,7 +157,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     sets = scratch.keep_bucketed(_tokens(_texts(docs, rows, buckets), classes, width).select("k1", "k2", "tok"), "sets", buckets, ["k1", "k2"], [])
     scratch.free()
     # parities join here, so that the exchange of all prefixes does without them
-    rows = scratch.keep(rows.join(sets.select("k1", "k2", _parities(F.col("tok")).alias("par")), ["k1", "k2"]), "shared")
+    rows = rows.join(sets.select("k1", "k2", _parities(F.col("tok")).alias("par")), ["k1", "k2"]).withColumn("c", F.count("*").over(of))
+    rows = scratch.keep_bucketed(rows, "shared", buckets, ["t"], [])
     scratch.free()
     leader = rows.groupBy("t").agg(F.min(F.struct("o", "k1", "k2", "n", "par", "at")).alias("y"))
     met = _possible(rows.alias("x").join(leader.select("t", "y.*").alias("y"), "t"), percent)
@@ -144,21 +167,28 @@ def removed_lines(docs: DataFrame, scratch: Scratch, percent: int = 80, width: i
     met = scratch.keep(met.withColumn("r_", best).where("r_ = 1").select(*_PAIR), "met1")
     gone = scratch.keep(_verified(met, sets, percent), "gone1")
     scratch.free()
-    left = rows.join(gone, ["k1", "k2"], "left_anti").alias("x")
-    more = _possible(left.join(rows.alias("y"), "t"), percent).where("shared >= need")
+    few_lines, crowds = rows.where(F.col("c") <= CROWD), rows.where(F.col("c") > CROWD)
+    more = _meet(few_lines, gone, percent)
+    if not crowds.isEmpty():
+        crowded = crowds.select("k1", "k2", "n", "o", "par").distinct().join(sets, ["k1", "k2"])
+        exact = _exact_classes(crowded)
+        crowded = _once(crowded, "again", F.sort_array(F.transform("tok", lambda h: _token(h, exact))))
+        prefix = F.slice("again", F.lit(1), F.col("n") - _share(percent, F.col("n")) + 1)
+        again = scratch.keep(crowded.select("k1", "k2", "n", "o", "par", F.posexplode(prefix).alias("at", "t")), "again")
+        # a pair that shares a token of a crowd has both lines in here; its count of shared tokens above is short
+        more = more.union(_meet(again, gone, percent)).distinct()
     more = scratch.keep(more.join(met, _PAIR, "left_anti").select(*_PAIR), "met2")
     scratch.free()
     gone = gone.union(scratch.keep(_verified(more, sets, percent), "gone2")).union(repeats)
-    scratch.drop("met1", "met2", "sets")
+    scratch.drop("met1", "met2", "sets", "shared", "again")
     scratch.free()
     return first, gone
 
 
 def _parities(tok: Column) -> Column:
-    """32 bits, each whether the number of tokens of its class is odd; a long, as bit_count takes the sign
-    of an int for 32 more bits."""
+    """64 bits, each whether the number of tokens of its class is odd."""
     one = F.lit(1).cast("long")
-    return F.aggregate(tok, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(31).cast("int"))))
+    return F.aggregate(tok, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))))
 
 
 def _texts(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
@@ -187,6 +217,12 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy(*_PAIR).agg(F.count("*").alias("shared"), F.max("fits").alias("fits"), F.min("need").alias("need")).where("fits")
 
 
+def _meet(rows: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a line of rows that has not gone and any earlier one that can match, by their tokens."""
+    left = rows.join(gone, ["k1", "k2"], "left_anti")
+    return _possible(left.alias("x").join(rows.alias("y"), "t"), percent).where("shared >= need").select(*_PAIR)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """k1, k2 of the x of pairs that match their y."""
     for s in "xy":

@@ -175,3 +175,25 @@ def test_lines_that_share_a_phrase_make_no_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
     assert got == brute_lines(rows) and got[60] == got[61] == "" and got[7] and got[9]
     assert sum(found) <= 20
+
+
+def test_a_phrase_of_a_crowd_of_long_lines_makes_no_pairs(spark, monkeypatch):
+    """A phrase too rare for the sketch, in lines too long for parities to tell apart, comes last in the order of exact counts."""
+    from docloom.llm import line_dedup
+
+    found, own = [], line_dedup._possible
+
+    def spy(pairs, percent):
+        out = own(pairs, percent)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_possible", spy)
+    monkeypatch.setattr(line_dedup, "_classes", lambda lines, width: ",".join(["0"] * line_dedup.BUCKETS))
+    phrase = " ".join(f"p{i}" for i in range(150))
+    lines = [f"{phrase} " + " ".join(f"w{i}x{j}" for j in range(150)) for i in range(48)]
+    lines += [f"{lines[7]} end", f"start {lines[9]}", f"{phrase} one more", f"{phrase} and other ends"]
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows) and got[48] == got[49] == got[51] == "" and got[7] and got[9] and got[50]
+    assert sum(found) <= 200  # each line once with the earliest, but not 48 * 47 / 2 pairs
