@@ -392,3 +392,16 @@ def test_a_search_moves_the_best_of_each_block_alone(spark, monkeypatch):
     some = table.where("doc_id % 3 = 0").select("doc_id")
     cut = search._best(index, weights, 0, 5, some, scratch)
     assert cut.count() and cut.where("doc_id % 3 <> 0").count() == 0
+
+
+def test_words_of_queries_are_not_dealt_to_blocks(spark, monkeypatch):
+    """Postings stay where they lie, words get there without an exchange, and what leaves a task is the k best of its blocks."""
+    monkeypatch.setattr(search, "BLOCK_DOCS", 16)
+    _, table = zipf_corpus(spark)
+    index = search.build_index(table)
+    plans, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, name))
+    queries = spark.createDataFrame([(q, f"w0 w{q} w{2 * q}") for q in range(40)], "query_id long, query string")
+    assert search.bm25(index, queries, 5).count() == 200
+    scoring = [p for p in plans if "InArrow" in p]
+    assert scoring and all(p.count("Exchange ") == 1 and "Exchange hashpartitioning(query_id" in p and "Coalesce" in p for p in scoring)
