@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,9 +102,11 @@ def numbered(rows: DataFrame, order: str, scratch: Scratch, name: str = "place",
     return ranged.join(F.broadcast(counts.select("p_", before.alias("b_"))), "p_").withColumn(name, F.col("b_") + F.col("i_")).drop("p_", "i_", "b_")
 
 
-def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85) -> DataFrame:
-    """id and kept: a row goes if one of the last lookback rows that are kept before it is a near
-    duplicate. A null text is kept and counts among those.
+def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lookback: int = 50, percent: int = 85, same: Column | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """id, kept and carried: a row goes if one of the last lookback rows that are kept before it is a near
+    duplicate. A null text is kept and counts among those. carried columns lie with the sets, so that they move
+    once. same is an expression of carried columns; of rows in which it agrees, all but the first by id are left out
+    beforehand.
 
     The rule is sequential. Rows are dealt into stretches of neighbouring places, and a stretch needs of
     all before it only the last lookback kept rows. It is first solved as if there were none; then each
@@ -117,11 +119,18 @@ def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = rows.sparkSession
     scratch = Scratch(spark, "survivors")
     hashed = F.when(F.col("text").isNotNull(), F.transform(shingles("text"), lambda s: F.xxhash64(s)))
-    ranged = _ranged(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id")
+    ranged = _ranged(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *(c for c in carried if c != "text")), "id")
     # a stretch lies in one range, so that its number needs no count of the rows before; the sets are dealt by it once
     place = F.shiftleft(F.col("p_").cast("long"), 33) + F.col("i_")
-    placed = ranged.select("id", place.alias("place"), _stretch(place).alias("stretch"), F.coalesce(hashed, F.array().cast("array<long>")).alias("s"))
-    placed = scratch.keep_bucketed(placed, "sets", int(spark.conf.get("spark.sql.shuffle.partitions")), "stretch", [])
+    placed = ranged.select("id", place.alias("place"), _stretch(place).alias("stretch"), F.coalesce(hashed, F.array().cast("array<long>")).alias("s"), *carried)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.keep_bucketed(placed, "sets", buckets, "stretch", [])
+    if same is not None:
+        scratch.free()
+        first = placed.select(same.alias("same"), "place").groupBy("same").agg(F.min("place").alias("place"))
+        first = first.groupBy(_stretch(F.col("place")).alias("stretch")).agg(F.collect_list("place").alias("first"))
+        first = scratch.keep_bucketed(first, "first", buckets, "stretch", [])
+        placed = placed.join(first, "stretch").where(F.array_contains("first", F.col("place"))).drop("first")
     none = F.array().cast("array<long>")
     before = scratch.keep(placed.select("stretch").distinct().withColumn("before", none), "before0")
     solved = scratch.keep(_solved(placed, before, lookback, percent), "solved0")
@@ -136,8 +145,8 @@ def near_survivors(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
         solved = scratch.keep(solved.join(other.select("stretch"), "stretch", "left_anti").unionByName(again), f"solved{turn}")
         scratch.drop(f"solved{turn - 1}", f"before{turn - 1}")
         before = now
-    ids = placed.select("id", "place", "stretch").join(solved.select("stretch", "gone"), "stretch")
-    return ids.select("id", (~F.array_contains("gone", F.col("place"))).alias("kept"))
+    ids = placed.select("id", "place", "stretch", *carried).join(solved.select("stretch", "gone"), "stretch")
+    return ids.select("id", (~F.array_contains("gone", F.col("place"))).alias("kept"), *carried)
 
 
 def _stretch(place: Column) -> Column:

@@ -13,7 +13,8 @@ from docloom.scratch import Scratch
 from docloom.sources import files
 from docloom.sources.versions import Version, Versions
 
-_CHUNK = ["chunk_id", "text", "strategy", "heading_path", "url", "brand", "category", "title", "has_table", "page_type"]
+_META = ["brand", "category", "title", "has_table", "page_type"]
+_CHUNK = ["chunk_id", "text", "strategy", "heading_path", "url", *_META]
 
 
 EXTRACTED = "url string, doc_id string, source_url string, brand string, category string, title string, heading_path string, page_type string, has_table boolean, content_hash string, crawl_timestamp string, effective_date string, status string, owner string, error string, text string"
@@ -97,33 +98,33 @@ def chunked(normalized: DataFrame, existing: DataFrame | None = None, strategy:
     """All chunks after a run: of normalized (url, text and metadata; status ok), by both strategies or by
     one, with the existing chunks of the other; each content once, no near duplicate of the last 50
     kept, none without a parent. Order is the existing ones, then by address, strategy and place."""
-    ok = normalized.where("status = 'ok'")
-    meta = ok.select("url", "brand", "category", "title", "has_table", "page_type")
+    ok = normalized.where("status = 'ok' AND url IS NOT NULL")
     parts = []
     if strategy in (None, "fixed"):
         parts.append(_fixed(ok))
     if strategy in (None, "structure_aware"):
-        made = chunking.structure_chunks(ok, "url", doc_id="url")
-        parts.append(made.select(F.col("doc_id").alias("url"), "chunk_id", F.col("chunk_text").alias("text"), "strategy", "heading_path", F.col("place")))
+        made = chunking.structure_chunks(ok, "url", doc_id="url", carried=_META)
+        parts.append(made.select(F.col("doc_id").alias("url"), "chunk_id", F.col("chunk_text").alias("text"), "strategy", "heading_path", "place", *_META))
     new = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = new.join(meta, "url").withColumn("age", F.lit(1))
+    # new chunks have a parent; those of the other strategy take part in any case and go at the end
+    rows = new.withColumns({"age": F.lit(1), "parent": F.lit(True)})
     if existing is not None and strategy is not None:
-        rows = existing.where(F.col("strategy") != strategy).select(*_CHUNK).withColumns({"age": F.lit(0), "place": F.lit(0).cast("long")}).unionByName(rows)
-    order = F.struct("age", "url", "strategy", "place", "chunk_id")
-    rows = corpus.first_of_each(rows.withColumn("order", order), T.content_hash("text"), F.col("order"))
-    kept = corpus.near_survivors(rows.select("order", "text"), "order").where("kept").select(F.col("id").alias("order"))
-    rows = rows.join(kept, "order", "left_semi")
-    return corpus.with_parent(rows, meta, "url").select(*_CHUNK)
+        held = existing.where(F.col("strategy") != strategy).select(*_CHUNK).withColumns({"age": F.lit(0), "place": F.lit(0).cast("long")})
+        rows = held.join(ok.select("url").distinct().withColumn("parent", F.lit(True)), "url", "left").withColumn("parent", F.coalesce("parent", F.lit(False))).unionByName(rows)
+    # a chunk moves once, with its order; its verdict comes to where it lies
+    rows = rows.select(F.struct("age", "url", "strategy", "place", "chunk_id").alias("order"), "text", "heading_path", *_META, "parent")
+    kept = corpus.near_survivors(rows, "order", same=F.unhex(T.content_hash("text")), carried=["text", "heading_path", *_META, "parent"])
+    return kept.where("kept AND parent").select("*", "id.url", "id.strategy", "id.chunk_id").select(*_CHUNK)
 
 
 def _fixed(pages: DataFrame) -> DataFrame:
-    chunks = chunking.fixed_chunks(pages.select("url", "text"), F.col("url"))
-    return chunks.select("url", "chunk_id", F.col("chunk_text").alias("text"), "strategy", F.lit(None).cast("string").alias("heading_path"), F.col("chunk_index").cast("long").alias("place"))
+    chunks = chunking.fixed_chunks(pages.select("url", "text", *_META), F.col("url"))
+    return chunks.select("url", "chunk_id", F.col("chunk_text").alias("text"), "strategy", F.lit(None).cast("string").alias("heading_path"), F.col("chunk_index").cast("long").alias("place"), *_META)
 
 
 def fixed_with_metadata(pages: DataFrame) -> DataFrame:
     """All fixed chunks of the pages, none left out."""
-    return _fixed(pages).join(pages.select("url", "brand", "category", "title", "has_table", "page_type"), "url").select(*_CHUNK)
+    return _fixed(pages.where("url IS NOT NULL")).select(*_CHUNK)
 
 
 def rebuild_index(chunks: DataFrame, path: str, dimension: int = 64, embed=hashed_vector) -> DataFrame:

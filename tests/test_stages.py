@@ -8,6 +8,7 @@ from docloom.functions import rules
 from docloom.functions import text as T
 from docloom.functions.udfs import hashed_vector
 from docloom.operators import dialog, evaluation, search, service, stages
+from docloom.scratch import Scratch
 from docloom.sources import files
 from tests.test_operators import loop_structure
 
@@ -54,6 +55,27 @@ def test_chunk_stage_equals_a_loop(spark):
     assert stages.chunked(pages(spark, texts, "failed")).count() == 0
 
 
+def test_chunks_move_once(spark, monkeypatch):
+    """One exchange of pieces by page and one of chunks by order; verdicts come to where the chunks lie."""
+    plans, keep = {}, Scratch.keep_bucketed
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "keep_bucketed", lambda self, df, name, *a: plans.update({name: plan(df)}) or keep(self, df, name, *a))
+    made = stages.chunked(pages(spark, [f"# A{i}\n" + " ".join(f"w{i}x{k}" for k in range(400)) for i in range(6)]))
+    assert plans["sets"].count("Exchange ") == 2 and "Exchange rangepartitioning(order" not in plan(made) and made.count() == 12
+
+
+def test_orphans_of_the_other_strategy_go_and_copies_of_a_null_url_too(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = pages(spark, [words(0), words(1)])
+    made = stages.chunked(rows, None, "fixed")
+    assert {r["url"] for r in made.collect()} == {"u00", "u01"}
+    old = made.withColumn("url", F.when(F.col("url") == "u01", "gone").otherwise(F.col("url")))
+    nulls = rows.withColumn("url", F.when(F.col("url") == "u00", F.lit(None)).otherwise(F.col("url")))
+    # the orphan takes part as the first of its text, and goes at the end
+    assert stages.chunked(rows, old, "structure_aware").select("url", "strategy").collect() == [("u00", "fixed")]
+    assert [tuple(r) for r in stages.chunked(nulls).select("url", "strategy").collect()] == [("u01", "fixed")]
+
+
 def test_cleaning_skips_what_is_done(spark):
     done = spark.createDataFrame([("u00", "ok"), ("u01", "failed")], "url string, status string")
     rows = pages(spark, ["a", "x \u201cy\u201d  z\u2026\r\n\n\n\ncaf\u0065\u0301"]).withColumn("source_url", F.col("url")).withColumn("url", F.lit(""))
